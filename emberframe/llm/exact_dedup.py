@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.llm.skew import join_groups
 from emberframe.session import cut
 
 SHARD_KEYS = 2048  #: digests of history in a shard, about
-HEAVY_GROUPS = 1000  #: groups of more than 1/HEAVY_GROUPS of all rows are joined by broadcast; there can't be more of them
 SPACE = "[\\x20\\x09-\\x0D]+"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,13 +180,8 @@ def exact_dedup(docs: DataFrame, historic=None, id_col: str = "doc_id", text_col
     shards = max(1, -(-counts["n"] // SHARD_KEYS))
     index = build_index(distinct.where("historic"), shards)
     groups = cut(resolve(index, distinct.where("NOT historic"), shards))
-    heavy_size = max(1, (counts["rows"] or 0) // HEAVY_GROUPS)
-    heavy = groups.where(F.col("group_size") > heavy_size).drop("member")
-    light = groups.where(F.col("group_size") <= heavy_size).drop("member")
-    first = keyed.join(F.broadcast(heavy), "digest", "left")
-    late = first.where("group_size IS NULL").select("digest", "doc_id", "row").join(light, "digest")
-    done = first.where("group_size IS NOT NULL").select(*late.columns)
-    return done.unionByName(late).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    done = join_groups(keyed.select("digest", "doc_id", "row"), groups.drop("member"), "digest", "group_size", counts["rows"] or 0)
+    return done.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 ORACLE_SQL = r"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.llm import exact_dedup, packing, token_frames
+from emberframe.llm import curriculum, exact_dedup, near_dedup, nearest, packing, token_frames, url_filter
 from emberframe.session import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -17,17 +17,33 @@ def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.token_frames(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op3_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=4)
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.ordered_plan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_frames, op4_exact_dedup, op7_packing)}
+    return {f.__name__: f for f in (op1_token_frames, op3_url_ratio, op4_exact_dedup, op5_near_dedup, op6_nearest, op7_packing, op8_curriculum)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_near_dedup": near_dedup.ORACLE_SQL, "op8_curriculum": curriculum.ORACLE_SQL}

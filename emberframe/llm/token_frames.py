@@ -33,7 +33,7 @@ from emberframe.session import cut, shuffle_partitions, work_dir
 
 SHARD_BYTES = 32_000_000  #: a shard file is closed when its frames reach this size
 END_ID = 2
-LEVEL = 3
+LEVEL = 1
 # fixed values of the public zstandard and seekable formats
 SKIPPABLE_IDS = 0x184D2A50
 SKIPPABLE_TABLE = 0x184D2A5E

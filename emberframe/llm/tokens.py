@@ -9,16 +9,26 @@ from __future__ import annotations
 
 import contextlib
 import os
-import re
 
 import numpy as np
 
 MEMO_PIECES = 400_000  #: pieces in each of two generations that a worker remembers, about 80 MB each; what isn't met again goes with its generation
 LONG_PIECE = 64  #: characters; longer pieces aren't remembered from one call to the next
-_ODD = re.compile(r" \s|\s ")
+ENDINGS = ".,;:!?#$%&*|)"  #: where these follow a letter or a digit, a new run of characters begins, whatever they are
+#: white space other than the space; the first part is ASCII
+WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
+WHITE_BEYOND = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _encoders: dict[str, "Encoder"] = {}
 
 
+def beside_space(text: str) -> bool:
+    """Whether a space stands beside other white space (or another space)."""
+    white = [c for c in WHITE if c in text]
+    if not text.isascii():
+        white += [c for c in WHITE_BEYOND if c in text]
+    return "  " in text or any(" " + c in text or c + " " in text for c in white)
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
@@ -27,6 +37,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        model = self.tokenizer.model
+        model._resize_cache(0)  # each piece comes once, so remembering it there as well is of no use
+        self.tokenizer.model = model
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         #: of each id whether its bytes start with the space, which byte-level vocabularies write as U+0120
         self.leads = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
@@ -34,6 +47,7 @@ class Encoder:
             self.leads[i] = token.startswith("\u0120")
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.endings: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -52,10 +66,28 @@ class Encoder:
         return out
 
     def _remember(self, pieces: list[str]) -> None:
-        if "" in pieces:  # a space at a text's end is a piece of its own
-            self.memo[""] = self._ids(" ").tobytes()
-            pieces = [p for p in pieces if p]
-        self.memo.update(zip(pieces, self._pieces(pieces), strict=True))
+        """Learns these pieces. A word and its ending are encoded apart, so that a word is encoded once for all its endings."""
+        memo, parts, ended = self.memo, set(), []
+        for piece in pieces:
+            word = piece.rstrip(ENDINGS)
+            if len(word) == len(piece) or not word or not word[-1].isalnum():
+                parts.add(piece)
+            else:
+                ended.append((piece, word))
+                if word not in memo:
+                    parts.add(word)
+        if "" in parts:  # a space at a text's end is a piece of its own
+            memo[""] = self._ids(" ").tobytes()
+            parts.discard("")
+        new = list(parts)
+        memo.update(zip(new, self._pieces(new), strict=True))
+        for piece, word in ended:
+            ending = piece[len(word) :]
+            if ending not in self.endings:
+                if len(self.endings) > 10_000:
+                    self.endings.clear()
+                self.endings[ending] = self._ids(ending).tobytes()
+            memo[piece] = memo[word] + self.endings[ending]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_PIECES:
@@ -63,7 +95,7 @@ class Encoder:
         flat: list[str] = []
         places: list[tuple[bytes, int, int]] = []
         for text in texts:
-            if _ODD.search(text):
+            if beside_space(text):
                 places.append((self._ids(text).tobytes(), 0, 0))
             else:
                 head, *rest = text.split(" ")
@@ -84,6 +116,7 @@ class Encoder:
             for piece in new:
                 if len(piece) > LONG_PIECE:
                     del self.memo[piece]
+                    self.memo.pop(piece.rstrip(ENDINGS), None)
         return [head + b"".join(known[a:b]) for head, a, b in places]
 
 
