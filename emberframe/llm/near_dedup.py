@@ -4,11 +4,12 @@ Documents are sets of word shingles. Sets that are equal form a class first, wit
 minwise tokens stands for each set. Independent trees branch representatives by tokens chosen per node: two sets with
 similarity s choose the same branch with probability s, and every node has BRANCHES branches, so a pair at the threshold
 of 0.8 gets down one tree with probability 0.998 and down one of the TREES with all but 4 in 10^9. Small nodes are
-compared exhaustively on the signatures; whatever may reach the threshold is confirmed on the full sets.
+compared exhaustively on parity sketches, which lose no pair at the threshold, and on the signatures; what is left is confirmed on
+the full sets.
 
 Large groups of near copies would fill every node of a tree. So representatives are first linked with leaders of their
 root nodes, and those confirmed links form components; a node whose members are all of one component holds no news and ends there.
-Nodes that stay large and mixed down to DEPTH are compared exhaustively all the same, in blocks.
+Nodes that stay large and mixed although they were branched are compared exhaustively all the same, in blocks.
 
 Defined results. Null texts and texts without words have an empty set, are linked with nothing and kept. A text with
 fewer words than a shingle has is one shingle. Rows with the same doc_id are linked by their sets like any others; a row without a doc_id is
@@ -36,10 +37,12 @@ SIMILARITY = (80, 100)
 SIGNATURE = 64  #: minwise tokens of a set
 MATCHES = 30  #: equal tokens of a pair that is confirmed; at the threshold fewer come about once in 10^9
 TREES, BRANCHES = 3, 4
+SKETCH = 2048  #: bits that tell pairs below the similarity apart from others without losing any
 SMALL = 64  #: members of a node that is compared exhaustively
 DEPTH = 8
 BLOCK = 2048  #: members that are compared at once
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 1
+EDGES_IN_TASK = 1_000_000
 FILTER_CELLS = 1 << 20  #: rows of the broadcast filter of ids, whatever the corpus
 
 _MULTIPLIERS = np.random.default_rng(2024).integers(1 << 62, size=SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,17 +56,24 @@ def signature(found: np.ndarray) -> bytes:
     return least.astype("<u4").tobytes()
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """SKETCH bits, each the parity of the members that fall on it. Where two sketches differ a member is in one set alone."""
+    parity = np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
 def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             some = batch.slice(at, 1024)
-            counts, prints, signatures = [], [], []
+            counts, prints, signatures, sketches = [], [], [], []
             for text in some.column(1).to_pylist():
                 found = shingle_set(text, n)
                 counts.append(len(found))
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signatures.append(signature(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "print", "signature"])
+                sketches.append(sketch(found) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, signatures, sketches))], names=["doc_id", "n_shingles", "print", "signature", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -85,37 +95,56 @@ def roots(representatives: DataFrame) -> DataFrame:
 
 
 def branches(members: DataFrame, depth: int) -> DataFrame:
-    """The children of nodes: members (id, node, signature) branch on places that the node's own hash chooses."""
+    """The children of nodes: members (id, node, size, signature) branch on places that the node's own hash chooses."""
     choices = [F.pmod(F.xxhash64("node", F.lit(depth), F.lit(i)), F.lit(SIGNATURE)).cast("int") for i in range(BRANCHES)]
     children = F.array(*[F.xxhash64("node", F.lit(i), c, token(c)) for i, c in enumerate(choices)])
-    return members.select("id", F.explode(children).alias("node"))
+    return members.select("id", F.explode(children).alias("node"), F.col("size").alias("above"))
+
+
+def _columns(table: pa.Table | pa.RecordBatch, of: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set sizes, signatures and sketches as arrays."""
+    n = table.column("n" + of).to_numpy()
+    binary = lambda name, kind: np.frombuffer(b"".join(table.column(name + of).to_pylist()), dtype=kind).reshape(len(n), -1)
+    return n, binary("signature", "<u4"), binary("sketch", np.uint64)
+
+
+def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Whether sets of n and m members whose sketches differ in so many bits can be similar: those bits are members of one set alone."""
+    part, whole = similarity
+    return differ * (whole + part) <= (n + m) * (whole - part)
 
 
-def _compare(table: pa.Table) -> pa.Table:
+def _compare(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
     """Pairs of one node's members (or of two of its blocks) of different components that may be similar."""
-    ids, components, side = table["id"].to_numpy(), table["component"].to_numpy(), table["side"].to_numpy()
-    signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype="<u4").reshape(len(ids), SIGNATURE)
+    ids, component, side = table["id"].to_numpy(), table["component"].to_numpy(), table["side"].to_numpy()
+    n, signatures, sketches = _columns(table)
     left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)  # 0: one block against itself
-    a, b = [], []
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(left), 64):
         rows = left[at : at + 64]
-        equal = np.zeros((len(rows), len(right)), dtype=np.uint8)
-        for place in range(SIGNATURE):
-            equal += signatures[rows, place][:, None] == signatures[right, place]
-        x, y = np.nonzero((equal >= MATCHES) & (components[rows][:, None] != components[right]))
-        a.append(ids[rows[x]])
-        b.append(ids[right[y]])
-    a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+        differ = np.zeros((len(rows), len(right)), dtype=np.int64)
+        for word in range(sketches.shape[1]):
+            differ += np.bitwise_count(sketches[rows, word][:, None] ^ sketches[right, word])
+        x, y = np.nonzero(may_link(n[rows][:, None], n[right], differ, similarity) & (component[rows][:, None] != component[right]))
+        x, y = rows[x], right[y]
+        if not (side != 0).any():
+            x, y = x[x < y], y[x < y]
+        for part in range(0, len(x), 65536):
+            p, q = x[part : part + 65536], y[part : part + 65536]
+            alike = (signatures[p] == signatures[q]).sum(axis=1) >= MATCHES
+            a.append(ids[p[alike]])
+            b.append(ids[q[alike]])
+    a, b = np.concatenate(a), np.concatenate(b)
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def node_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs of nodes: members (id, node, component, signature, size). A node of more than BLOCK members is compared block by block."""
+def node_pairs(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Candidate pairs of nodes: members (id, node, component, n, signature, sketch, size). A node of more than BLOCK members is compared block by block."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"), F.when(mine == other, 0).when(mine < other, 1).otherwise(2).alias("side")))
-    dealt = members.withColumn("meet", F.explode(meets)).select("node", "meet.x", "meet.y", "meet.side", "id", "component", "signature")
-    return dealt.groupBy("node", "x", "y").applyInArrow(_compare, "a long, b long").distinct()
+    dealt = members.withColumn("meet", F.explode(meets)).select("node", "meet.x", "meet.y", "meet.side", "id", "component", "n", "signature", "sketch")
+    return dealt.groupBy("node", "x", "y").applyInArrow(lambda table: _compare(table, similarity), "a long, b long").distinct()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Iterator[pa.RecordBatch]:
@@ -144,19 +173,46 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     return both.select("a", F.col("id").alias("b"), "of_a", "members").mapInArrow(partial(_confirm, part=similarity[0], whole=similarity[1]), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of one task's edges (a, b): each id but the smallest, with the smallest."""
+    over: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        path = []
+        while (y := over.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for p in path:
+            over[p] = x
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            if a != b:
+                over[max(a, b)] = min(a, b)
+    ids = list(over)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(i) for i in ids], pa.int64())], names=["a", "b"])
+
+
+def components(edges: DataFrame, in_task: int = EDGES_IN_TASK) -> DataFrame:
     """id, component (the smallest id that can be reached) of all ids on edges (a, b).
 
-    Each round hands every id the least label around it, then the label of its label, until nothing changes.
+    Each task first joins what its own edges connect, at most about in_task of them. If there is more than one task,
+    rounds follow that hand every id the least label around it, then the label of its label, until nothing changes.
     """
-    both = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
+    edges = edges.where("a <> b").select("a", "b")
+    tasks = max(1, -(-edges.count() // in_task))
+    stars = cut(edges.repartition(tasks, "a").mapInArrow(_joined, "a long, b long"))
+    if tasks == 1:
+        return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    both = cut(stars.union(stars.select("b", "a")).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"))
     while True:
         around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         hop = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        moved = labels.join(around, "id").withColumn("least", F.least("component", "near")).join(hop, "component")
-        moved = moved.select("id", F.least("least", "further").alias("component"), (F.least("least", "further") < F.col("component")).alias("changed"))
-        moved = cut(moved)
+        moved = labels.join(around, "id").join(hop, "component").withColumn("least", F.least("component", "near", "further"))
+        moved = cut(moved.select("id", F.col("least").alias("component"), (F.col("least") < F.col("component")).alias("changed")))
         labels = moved.drop("changed")
         if moved.where("changed").isEmpty():
             return labels
@@ -166,12 +222,12 @@ def near_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     """A row per row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = stored(given.mapInArrow(partial(_describe, n=words), "doc_id long, n_shingles long, print binary, signature binary"), "signatures")
+    described = stored(given.mapInArrow(partial(_describe, n=words), "doc_id long, n_shingles long, print binary, signature binary, sketch binary"), "signatures")
     linked = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(linked.groupBy("print").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("signature").alias("signature")))
+    classes = cut(linked.groupBy("print").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch")))
     # equal sets of different rows with one doc_id: the id stands for one class here, the others are joined to it below
     same_id = classes.groupBy("id").agg(F.min("print").alias("print"))
-    representatives = classes.select("id", "print", "signature").join(same_id, ["id", "print"]).select("id", "signature")
+    representatives = classes.select("id", "print", "n", "signature", "sketch").join(same_id, ["id", "print"]).select("id", "n", "signature", "sketch")
     labels, table = _labels(spark, given, representatives, words, similarity)
     total = described.count()
     # a component's label per class, then per row
@@ -213,50 +269,52 @@ def _labels(spark, given: DataFrame, representatives: DataFrame, words: int, sim
 
     def likely_pairs(pairs: DataFrame) -> DataFrame:
         """Pairs whose signatures agree enough."""
-        one, two = signatures.select(F.col("id").alias("a"), F.col("signature").alias("of_a")), signatures.select(F.col("id").alias("b"), F.col("signature").alias("of_b"))
-        return pairs.join(one, "a").join(two, "b").mapInArrow(_agreeing, "a long, b long")
+        one, two = (signatures.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "signature", "sketch"))) for x in "ab")
+        return pairs.join(one, "a").join(two, "b").mapInArrow(partial(_agreeing, similarity=similarity), "a long, b long")
 
-    def link(pairs: DataFrame) -> bool:
-        """Confirms pairs and joins components; whether there was anything new."""
+    def link(pairs: DataFrame) -> float:
+        """Confirms pairs and joins components; the share of pairs that were confirmed."""
         nonlocal edges, labels
-        new = cut(confirmed(pairs, sets, similarity))
-        if new.isEmpty():
-            return False
+        asked, new = pairs.count(), cut(confirmed(pairs, sets, similarity))
+        if not (there := new.count()):
+            return 0.0
         edges = edges.union(new)
-        labels = components(edges)
-        return True
+        labels = cut(components(edges))
+        return there / asked
 
     # each representative with the leader that it shares the most nodes with
     shared_most = nodes.where("id <> leader").groupBy("id", "leader").count().groupBy("id").agg(F.max_by("leader", F.struct("count", F.bitwise_not("leader"))).alias("leader"))
     link(cut(likely_pairs(shared_most.select(F.col("leader").alias("a"), F.col("id").alias("b")))))
-    # then with other leaders, as long as many components still join
+    # then with other leaders, each node's own
     for turn in range(LEADER_ROUNDS):
         members = cut(with_labels(nodes.select("id", "node")))
         leaders = members.groupBy("node").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "node", F.lit(turn))).alias("leader"), F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most AND size > 8")
         pairs = members.join(leaders, "node").where("leader.component <> component").select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
         pairs = cut(likely_pairs(pairs))
-        if pairs.isEmpty() or not link(pairs):
+        if link(pairs) < 0.1:
             break
-    level, found = nodes.select("id", "node"), None
+    level, found = nodes.select("id", "node", F.lit(None).cast("long").alias("above")), None
     for depth in range(DEPTH + 1):
         members = with_labels(level)
-        mixed = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("node", "size")
-        members = cut(members.join(mixed, "node").join(signatures, "id"))
-        leaves = members if depth == DEPTH else members.where(F.col("size") <= SMALL)
-        pairs = cut(node_pairs(leaves.select("id", "node", "component", "signature", "size")))
+        mixed = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("above").alias("above"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+        # a node that kept more than half of the one above holds members too alike for branching to part them
+        leaf = (F.col("size") <= SMALL) | F.coalesce(2 * F.col("size") > F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
+        members = cut(members.drop("above").join(mixed.select("node", "size", leaf.alias("leaf")), "node").join(signatures, "id"))
+        pairs = cut(node_pairs(members.where("leaf"), similarity))
         found = pairs if found is None else found.union(pairs)
-        rest = members.where(F.col("size") > SMALL)
-        if depth == DEPTH or rest.isEmpty():
+        rest = members.where("NOT leaf")
+        if rest.isEmpty():
             break
-        level = branches(rest.select("id", "node", "signature"), depth)
+        level = branches(rest.select("id", "node", "size", "signature"), depth)
     link(cut(found.distinct()))
     return labels, table
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agreeing(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype="<u4").reshape(-1, SIGNATURE) for n in ("of_a", "of_b"))
-        yield batch.select(["a", "b"]).filter(pa.array((one == two).sum(axis=1) >= MATCHES))
+        (n, p, u), (m, q, v) = _columns(batch, "_a"), _columns(batch, "_b")
+        fine = may_link(n, m, np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64), similarity) & ((p == q).sum(axis=1) >= MATCHES)
+        yield batch.select(["a", "b"]).filter(pa.array(fine))
 
 
 ORACLE_SQL = r"""
