@@ -181,7 +181,7 @@ def exact_dedup(docs: DataFrame, historic=None, id_col: str = "doc_id", text_col
     index = build_index(distinct.where("historic"), shards)
     groups = cut(resolve(index, distinct.where("NOT historic"), shards))
     done = join_groups(keyed.select("digest", "doc_id", "row"), groups.drop("member"), "digest", "group_size", counts["rows"] or 0)
-    return done.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return done.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row")
 
 
 ORACLE_SQL = r"""

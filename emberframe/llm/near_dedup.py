@@ -73,7 +73,7 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signatures.append(signature(found) if len(found) else None)
                 sketches.append(sketch(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, signatures, sketches))], names=["doc_id", "n_shingles", "print", "signature", "sketch"])
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(counts, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, signatures, sketches))], names=["doc_id", "row", "n_shingles", "print", "signature", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -219,10 +219,10 @@ def components(edges: DataFrame, in_task: int = EDGES_IN_TASK) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, component_id, kept."""
+    """A row per row of docs: doc_id, n_shingles, component_id, kept, row (its number in docs)."""
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = stored(given.mapInArrow(partial(_describe, n=words), "doc_id long, n_shingles long, print binary, signature binary, sketch binary"), "signatures")
+    described = stored(given.withColumn("row", F.monotonically_increasing_id()).mapInArrow(partial(_describe, n=words), "doc_id long, row long, n_shingles long, print binary, signature binary, sketch binary"), "signatures")
     linked = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(linked.groupBy("print").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch")))
     # equal sets of different rows with one doc_id: the id stands for one class here, the others are joined to it below
@@ -232,10 +232,10 @@ def near_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     total = described.count()
     # a component's label per class, then per row
     of_class = classes.select("print", "id", "copies").join(labels, "id", "left").select("print", "copies", F.coalesce("component", "id").alias("component_id"))
-    with_class = join_groups(linked.select("doc_id", "n_shingles", "print"), of_class, "print", "copies", total)
-    alone = described.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    result = with_class.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    result = result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    with_class = join_groups(linked.select("doc_id", "row", "n_shingles", "print"), of_class, "print", "copies", total)
+    alone = described.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"))
+    result = with_class.select("doc_id", "row", "n_shingles", "component_id").unionByName(alone)
+    result = result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "row")
     if table:
         spark.sql(f"DROP TABLE {table}")
     return result

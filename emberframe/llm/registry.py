@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.llm import curriculum, exact_dedup, near_dedup, nearest, packing, token_frames, url_filter
+from emberframe.llm import curriculum, exact_dedup, interpolation, language, near_dedup, nearest, packing, quality, token_frames, url_filter
 from emberframe.session import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -17,16 +17,20 @@ def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.token_frames(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op3_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=4)
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=4).drop("row")
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +45,17 @@ def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.ordered_plan(table(spark, sf_dir, "documents"))
 
 
+def op9_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_frames, op3_url_ratio, op4_exact_dedup, op5_near_dedup, op6_nearest, op7_packing, op8_curriculum)}
+    every = (op1_token_frames, op2_language_id, op3_url_ratio, op4_exact_dedup, op5_near_dedup, op6_nearest, op7_packing, op8_curriculum, op9_interpolation, op10_quality)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
