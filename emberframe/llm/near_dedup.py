@@ -4,8 +4,8 @@ Documents are sets of word shingles. Sets that are equal form a class first, wit
 minwise tokens stands for each set. Independent trees branch representatives by tokens chosen per node: two sets with
 similarity s choose the same branch with probability s, and every node has BRANCHES branches, so a pair at the threshold
 of 0.8 gets down one tree with probability 0.998 and down one of the TREES with all but 4 in 10^9. Small nodes are
-compared exhaustively on parity sketches, which lose no pair at the threshold, and on the signatures; what is left is confirmed on
-the full sets.
+compared exhaustively on a byte of each minwise token, then on parity sketches, which lose no pair at the threshold; what is
+left is confirmed on the full sets, made from the whole texts of just those pairs.
 
 Large groups of near copies would fill every node of a tree. So representatives are first linked with leaders of their
 root nodes, and those confirmed links form components; a node whose members are all of one component holds no news and ends there.
@@ -18,7 +18,6 @@ linked with nothing: its component_id is null and it is kept. An empty table giv
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -30,15 +29,16 @@ from pyspark.sql import functions as F
 
 from emberframe.llm.skew import join_groups
 from emberframe.llm.words import shingle_set
-from emberframe.session import cut, shuffle_partitions, stored
+from emberframe.session import cut, stored
 
 WORDS = 5  #: of a shingle
 SIMILARITY = (80, 100)
 SIGNATURE = 64  #: minwise tokens of a set
 MATCHES = 30  #: equal tokens of a pair that is confirmed; at the threshold fewer come about once in 10^9
 TREES, BRANCHES = 3, 4
-SKETCH = 2048  #: bits that tell pairs below the similarity apart from others without losing any
-SMALL = 64  #: members of a node that is compared exhaustively
+SKETCH = 1024  #: bits that tell pairs below the similarity apart from others without losing any
+SMALL = 1024  #: members of a node that is compared exhaustively; that costs less than moving it once more
+LEADER_PAIRS = 64  #: pairs of a leader that one task confirms, about
 DEPTH = 8
 BLOCK = 2048  #: members that are compared at once
 LEADER_ROUNDS = 1
@@ -66,21 +66,15 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             some = batch.slice(at, 1024)
-            counts, prints, signatures, sketches = [], [], [], []
+            counts, prints, signatures, marks, sketches = [], [], [], [], []
             for text in some.column(1).to_pylist():
                 found = shingle_set(text, n)
                 counts.append(len(found))
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signatures.append(signature(found) if len(found) else None)
+                marks.append(signatures[-1][::4] if len(found) else None)
                 sketches.append(sketch(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(counts, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, signatures, sketches))], names=["doc_id", "row", "n_shingles", "print", "signature", "sketch"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, n).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["id", "members"])
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(counts, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, signatures, marks, sketches))], names=["doc_id", "row", "n_shingles", "print", "signature", "marks", "sketch"])
 
 
 def token(coordinate: int | Column) -> Column:
@@ -102,10 +96,10 @@ def branches(members: DataFrame, depth: int) -> DataFrame:
 
 
 def _columns(table: pa.Table | pa.RecordBatch, of: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set sizes, signatures and sketches as arrays."""
+    """Set sizes, marks (the lowest byte of each minwise token) and sketches as arrays."""
     n = table.column("n" + of).to_numpy()
     binary = lambda name, kind: np.frombuffer(b"".join(table.column(name + of).to_pylist()), dtype=kind).reshape(len(n), -1)
-    return n, binary("signature", "<u4"), binary("sketch", np.uint64)
+    return n, binary("marks", np.uint8), binary("sketch", np.uint64)
 
 
 def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
@@ -117,41 +111,46 @@ def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, similarity: tuple
 def _compare(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
     """Pairs of one node's members (or of two of its blocks) of different components that may be similar."""
     ids, component, side = table["id"].to_numpy(), table["component"].to_numpy(), table["side"].to_numpy()
-    n, signatures, sketches = _columns(table)
+    n, marks, sketches = _columns(table)
     left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)  # 0: one block against itself
+    of_right = np.ascontiguousarray(marks[right].T)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(left), 64):
         rows = left[at : at + 64]
-        differ = np.zeros((len(rows), len(right)), dtype=np.int64)
-        for word in range(sketches.shape[1]):
-            differ += np.bitwise_count(sketches[rows, word][:, None] ^ sketches[right, word])
-        x, y = np.nonzero(may_link(n[rows][:, None], n[right], differ, similarity) & (component[rows][:, None] != component[right]))
+        alike = np.zeros((len(rows), len(right)), dtype=np.uint8)
+        for place in range(SIGNATURE):
+            alike += marks[rows, place][:, None] == of_right[place]
+        x, y = np.nonzero((alike >= MATCHES) & (component[rows][:, None] != component[right]))
         x, y = rows[x], right[y]
         if not (side != 0).any():
             x, y = x[x < y], y[x < y]
         for part in range(0, len(x), 65536):
             p, q = x[part : part + 65536], y[part : part + 65536]
-            alike = (signatures[p] == signatures[q]).sum(axis=1) >= MATCHES
-            a.append(ids[p[alike]])
-            b.append(ids[q[alike]])
+            fine = may_link(n[p], n[q], np.bitwise_count(sketches[p] ^ sketches[q]).sum(axis=1, dtype=np.int64), similarity)
+            a.append(ids[p[fine]])
+            b.append(ids[q[fine]])
     a, b = np.concatenate(a), np.concatenate(b)
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
 def node_pairs(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Candidate pairs of nodes: members (id, node, component, n, signature, sketch, size). A node of more than BLOCK members is compared block by block."""
+    """Candidate pairs of nodes: members (id, node, component, n, marks, sketch, size). A node of more than BLOCK members is compared block by block."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"), F.when(mine == other, 0).when(mine < other, 1).otherwise(2).alias("side")))
-    dealt = members.withColumn("meet", F.explode(meets)).select("node", "meet.x", "meet.y", "meet.side", "id", "component", "n", "signature", "sketch")
+    dealt = members.withColumn("meet", F.explode(meets)).select("node", "meet.x", "meet.y", "meet.side", "id", "component", "n", "marks", "sketch")
     return dealt.groupBy("node", "x", "y").applyInArrow(lambda table: _compare(table, similarity), "a long, b long").distinct()
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], words: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
+    known: tuple[int | None, str, np.ndarray] = (None, "", np.zeros(0, np.uint64))  # a leader's pairs come one after another
     for batch in batches:
         a, b = [], []
-        for x, y, p, q in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+        for i in range(batch.num_rows):
+            x, y, one, two = (batch.column(c)[i].as_py() for c in range(4))
+            if known[0] != x or known[1] != one:
+                known = (x, one, shingle_set(one, words))
+            p, q = known[2], shingle_set(two, words)
             if len(p) > len(q):
                 p, q = q, p
             if whole * len(p) < part * len(q):
@@ -163,14 +162,22 @@ def _confirm(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Those of pairs (a, b) whose full sets reach the similarity. sets is bucketed by id: only the leaders' sets move."""
-    salts = F.ceil(F.col("n") / 256)
-    leaders = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(F.col("a").alias("id"), salts.cast("int").alias("salts"))
-    leading = leaders.join(sets, "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("members").alias("of_a"))
-    dealt = pairs.join(leaders.withColumnRenamed("id", "a"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    both = dealt.join(leading, ["a", "salt"]).select("a", F.col("b").alias("id"), "of_a").join(sets, "id")
-    return both.select("a", F.col("id").alias("b"), "of_a", "members").mapInArrow(partial(_confirm, part=similarity[0], whole=similarity[1]), "a long, b long")
+def texts_of(given: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of these documents: a broadcast filter of bounded size first, the exact join after it."""
+    cells = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_CELLS)).alias("cell")).distinct()
+    likely = given.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_CELLS))).join(F.broadcast(cells), "cell", "left_semi")
+    return likely.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+
+
+def confirmed(pairs: DataFrame, given: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """Those of pairs (a, b) whose full sets reach the similarity. A leader's pairs are dealt to as many tasks as they need."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    leaders = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_PAIRS).cast("int").alias("salts"))
+    texts = texts_of(given, ids)
+    leading = leaders.join(texts, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("of_a"))
+    dealt = pairs.join(leaders, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    both = dealt.join(texts, F.col("b") == F.col("id")).select("a", "salt", "b", "text").join(leading, ["a", "salt"])
+    return both.select("a", "b", "of_a", "text").mapInArrow(partial(_confirm, words=words, part=similarity[0], whole=similarity[1]), "a long, b long").distinct()
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,45 +227,33 @@ def components(edges: DataFrame, in_task: int = EDGES_IN_TASK) -> DataFrame:
 
 def near_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept, row (its number in docs)."""
-    spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = stored(given.withColumn("row", F.monotonically_increasing_id()).mapInArrow(partial(_describe, n=words), "doc_id long, row long, n_shingles long, print binary, signature binary, sketch binary"), "signatures")
+    described = stored(given.withColumn("row", F.monotonically_increasing_id()).mapInArrow(partial(_describe, n=words), "doc_id long, row long, n_shingles long, print binary, signature binary, marks binary, sketch binary"), "signatures")
     linked = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(linked.groupBy("print").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch")))
+    classes = cut(linked.groupBy("print").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n"), *(F.min(c).alias(c) for c in ("signature", "marks", "sketch"))))
     # equal sets of different rows with one doc_id: the id stands for one class here, the others are joined to it below
     same_id = classes.groupBy("id").agg(F.min("print").alias("print"))
-    representatives = classes.select("id", "print", "n", "signature", "sketch").join(same_id, ["id", "print"]).select("id", "n", "signature", "sketch")
-    labels, table = _labels(spark, given, representatives, words, similarity)
+    representatives = classes.select("id", "print", "n", "signature", "marks", "sketch").join(same_id, ["id", "print"]).drop("print")
+    labels = _labels(given, representatives, words, similarity)
     total = described.count()
     # a component's label per class, then per row
     of_class = classes.select("print", "id", "copies").join(labels, "id", "left").select("print", "copies", F.coalesce("component", "id").alias("component_id"))
     with_class = join_groups(linked.select("doc_id", "row", "n_shingles", "print"), of_class, "print", "copies", total)
     alone = described.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"))
     result = with_class.select("doc_id", "row", "n_shingles", "component_id").unionByName(alone)
-    result = result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "row")
-    if table:
-        spark.sql(f"DROP TABLE {table}")
-    return result
+    return result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "row")
 
 
-def _labels(spark, given: DataFrame, representatives: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, str | None]:
-    """(id, component) of the representatives that are linked with another; the name of the table of sets."""
+def _labels(given: DataFrame, representatives: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(id, component) of the representatives that are linked with another."""
+    spark = given.sparkSession
     empty = spark.createDataFrame([], "id long, component long")
     root = roots(representatives)
     shared = root.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("leader")).where("size > 1")
     nodes = cut(root.join(shared, "node").select("id", "node", "leader"))
     candidates = nodes.select("id").distinct()
     if nodes.isEmpty():
-        return empty, None
-    # texts of the candidates alone are read into sets: a filter of bounded size first, the exact join after it
-    cells = candidates.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_CELLS)).alias("cell")).distinct()
-    likely = given.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_CELLS))).join(F.broadcast(cells), "cell", "left_semi")
-    chosen = likely.select(F.col("doc_id").alias("id"), "text").join(candidates, "id", "left_semi")
-    sets = chosen.mapInArrow(partial(_sets, n=words), "id long, members binary")
-    table = f"shingle_sets_{uuid.uuid4().hex}"
-    buckets = shuffle_partitions(spark)
-    sets.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id").format("parquet").saveAsTable(table)
-    sets = spark.table(table)
+        return empty
     signatures = cut(representatives.join(candidates, "id"))
 
     edges = spark.createDataFrame([], "a long, b long")
@@ -269,13 +264,13 @@ def _labels(spark, given: DataFrame, representatives: DataFrame, words: int, sim
 
     def likely_pairs(pairs: DataFrame) -> DataFrame:
         """Pairs whose signatures agree enough."""
-        one, two = (signatures.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "signature", "sketch"))) for x in "ab")
+        one, two = (signatures.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "marks", "sketch"))) for x in "ab")
         return pairs.join(one, "a").join(two, "b").mapInArrow(partial(_agreeing, similarity=similarity), "a long, b long")
 
     def link(pairs: DataFrame) -> float:
         """Confirms pairs and joins components; the share of pairs that were confirmed."""
         nonlocal edges, labels
-        asked, new = pairs.count(), cut(confirmed(pairs, sets, similarity))
+        asked, new = pairs.count(), cut(confirmed(pairs, given, words, similarity))
         if not (there := new.count()):
             return 0.0
         edges = edges.union(new)
@@ -299,15 +294,15 @@ def _labels(spark, given: DataFrame, representatives: DataFrame, words: int, sim
         mixed = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("above").alias("above"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
         # a node that kept more than half of the one above holds members too alike for branching to part them
         leaf = (F.col("size") <= SMALL) | F.coalesce(2 * F.col("size") > F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
-        members = cut(members.drop("above").join(mixed.select("node", "size", leaf.alias("leaf")), "node").join(signatures, "id"))
-        pairs = cut(node_pairs(members.where("leaf"), similarity))
+        members = cut(members.drop("above").join(mixed.select("node", "size", leaf.alias("leaf")), "node"))
+        pairs = cut(node_pairs(members.where("leaf").join(signatures.drop("signature"), "id"), similarity))
         found = pairs if found is None else found.union(pairs)
         rest = members.where("NOT leaf")
         if rest.isEmpty():
             break
-        level = branches(rest.select("id", "node", "size", "signature"), depth)
+        level = branches(rest.join(signatures.select("id", "signature"), "id"), depth)
     link(cut(found.distinct()))
-    return labels, table
+    return labels
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
