@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.gather import summed
-from emberframe.llm.words import A, mixed, word_hashes, words
+from emberframe.llm.words import A, distinct, mixed, word_hashes
 from emberframe.session import shuffle_partitions, work_dir
 
 BLOCK_TOKENS = 1_500_000  #: a block ends when it has so many
@@ -80,7 +80,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             some = batch.slice(at, 256)
             for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
-                tokens.append(np.append(word_hashes(words(text)), END))
+                tokens.append(np.append(word_hashes(text), END))
                 held += len(tokens[-1])
                 if held >= BLOCK_TOKENS:
                     yield Block(ids, tokens)
@@ -166,12 +166,12 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(context + 1.0)).astype(np.int64), BUCKETS - 1)
 
 
-def estimates(one: np.ndarray, two: np.ndarray, block: Block, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bigram estimate, word estimate, context count) of all tokens, from the counts of their words and bigrams."""
-    starts = np.cumsum(block.lengths) - block.lengths
+def estimates(one: np.ndarray, two: np.ndarray, lengths: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bigram estimate, word estimate, context count) of all tokens of documents of these lengths, from the counts of their words and bigrams."""
+    starts = np.cumsum(lengths) - lengths
     context = np.empty_like(one)
     context[1:] = one[:-1]
-    begins = one[np.cumsum(block.lengths) - 1]  # a document begins as often as it ends
+    begins = one[np.cumsum(lengths) - 1]  # a document begins as often as it ends
     context[starts] = begins
     return two / np.maximum(context, 1), one / max(total, 1), context
 
@@ -186,10 +186,15 @@ def _histogram(batches: Iterator[pa.RecordBatch], path: str, kept_tokens: int) -
     cells = np.zeros(BUCKETS * LEVELS * LEVELS, dtype=np.int64)
     answers = Answers(path)
     for number, block in enumerate(blocks(batches)):
-        counts = [answers.totals(number, block, order, "kept")[np.searchsorted(np.unique(grams), grams)] for order, grams in enumerate(block.grams)]
-        two, one, context = estimates(*counts, block, kept_tokens)
         mine = block.fold_of_tokens() == 2
-        at = (bucket(context[mine]) * LEVELS + level(two[mine])) * LEVELS + level(one[mine])
+        if not mine.any():
+            continue
+        counts = []
+        for order, grams in enumerate(block.grams):
+            asked, place = np.unique(grams[mine], return_inverse=True)
+            counts.append(answers.totals(number, block, order, "kept")[np.searchsorted(distinct(grams), asked)][place])
+        two, one, context = estimates(*counts, block.lengths[block.folds == 2], kept_tokens)
+        at = (bucket(context) * LEVELS + level(two)) * LEVELS + level(one)
         cells += np.bincount(at, minlength=len(cells))
     return cells
 
@@ -211,16 +216,16 @@ def learn_weights(cells: np.ndarray, uniform: float) -> np.ndarray:
     return np.maximum(weights, 1e-6) / np.maximum(weights, 1e-6).sum(axis=1, keepdims=True)
 
 
-def _score(batches: Iterator[pa.RecordBatch], path: str, tokens: int, distinct: int, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], path: str, tokens: int, vocabulary: int, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
     answers = Answers(path)
     for number, block in enumerate(blocks(batches)):
         counts = []
         for order, grams in enumerate(block.grams):
-            counts.append(answers.totals(number, block, order, "all")[np.searchsorted(np.unique(grams), grams)])
-        two, one, context = estimates(*counts, block, tokens)
+            counts.append(answers.totals(number, block, order, "all")[np.unique(grams, return_inverse=True)[1]])
+        two, one, context = estimates(*counts, block.lengths, tokens)
         w = weights[bucket(context)]
-        model = np.log10(w[:, 0] * two + w[:, 1] * one + w[:, 2] / (distinct + 1))
-        base = np.log10((counts[0] + 1) / (tokens + distinct + 1))
+        model = np.log10(w[:, 0] * two + w[:, 1] * one + w[:, 2] / (vocabulary + 1))
+        base = np.log10((counts[0] + 1) / (tokens + vocabulary + 1))
         starts = np.cumsum(block.lengths) - block.lengths
         total = lambda x: np.add.reduceat(x, starts)
         yield pa.RecordBatch.from_arrays([
@@ -239,11 +244,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # one folder for each task that will ask, with few files in it
     answered.repartition(ranges, "part").write.partitionBy("part").parquet(path)
     answers = spark.read.schema(ANSWERS).parquet(path)
-    distinct = answers.where("orders = 0").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    vocabulary = answers.where("orders = 0").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     kept, every = _tokens(given)
     cells = summed(given, partial(_histogram, path=path, kept_tokens=kept), BUCKETS * LEVELS * LEVELS)
-    weights = learn_weights(cells, 1 / (distinct + 1))
-    return given.mapInArrow(partial(_score, path=path, tokens=every, distinct=distinct, weights=weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    weights = learn_weights(cells, 1 / (vocabulary + 1))
+    return given.mapInArrow(partial(_score, path=path, tokens=every, vocabulary=vocabulary, weights=weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _tokens(given: DataFrame) -> tuple[int, int]:
