@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from emberframe.llm.gather import summed
 from emberframe.llm.skew import join_groups
+from emberframe.llm.tokens import forget
 from emberframe.llm.url_filter import host_of
 from emberframe.session import stored
 
@@ -66,6 +67,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
 def _likelihoods(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """For each row the tempered log-likelihoods of its text; the columns beside the text stay."""
+    forget()
     table = model.value
     for batch in batches:
         for at in range(0, batch.num_rows, 512):

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.skew import join_groups
+from emberframe.llm.tokens import forget
 from emberframe.llm.words import shingle_set
 from emberframe.session import cut, stored
 
@@ -63,6 +64,7 @@ def sketch(found: np.ndarray) -> bytes:
 
 
 def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             some = batch.slice(at, 1024)
@@ -143,6 +145,7 @@ def node_pairs(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
+    forget()
     known: tuple[int | None, str, np.ndarray] = (None, "", np.zeros(0, np.uint64))  # a leader's pairs come one after another
     for batch in batches:
         a, b = [], []

@@ -11,6 +11,7 @@ import contextlib
 import os
 
 import numpy as np
+import pyarrow as pa
 
 MEMO_PIECES = 400_000  #: pieces in each of two generations that a worker remembers, about 80 MB each; what isn't met again goes with its generation
 LONG_PIECE = 64  #: characters; longer pieces aren't remembered from one call to the next
@@ -125,3 +126,9 @@ def encoder(vocabulary: str) -> Encoder:
     if vocabulary not in _encoders:
         _encoders[vocabulary] = Encoder(vocabulary)
     return _encoders[vocabulary]
+
+
+def forget() -> None:
+    """Frees what the worker remembers of earlier encoding: stages of another kind that Spark runs in the same worker need the memory."""
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
