@@ -9,20 +9,23 @@ import pytest
 
 from emberframe import catalogue
 from emberframe.operators import events, positions
+from emberframe.plans import incidents
+
+QUERIES, SQL = catalogue.queries() | incidents.queries(), catalogue.oracle_sql() | incidents.oracle_sql()
 
 
 def plain(rows):
     return sorted(tuple("~" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v) for v in row) for row in rows)
 
 
-@pytest.mark.parametrize("name", list(catalogue.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, small, name):
     db = duckdb.connect()
-    for table in ("events", "orders"):
+    for table in ("events", "orders", "supplier", "nation", "customer"):
         db.execute(f"CREATE VIEW {table} AS FROM '{small}/{table}.parquet'")
-    found = catalogue.queries()[name](spark, small)
+    found = QUERIES[name](spark, small)
     names = sorted(found.columns)
-    want = db.execute(f"SELECT {', '.join(names)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
+    want = db.execute(f"SELECT {', '.join(names)} FROM ({SQL[name]})").fetchall()
     assert plain(found.select(*names).collect()) == plain(want)
 
 
@@ -30,7 +33,7 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["acq_date", "n", "frp_total"]
-    assert set(catalogue.queries()) <= set(__spark_entry__.queries())
+    assert set(QUERIES) <= set(__spark_entry__.queries())
 
 
 def test_components_of_chains_and_single_rows(spark):
