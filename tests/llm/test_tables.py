@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -78,3 +79,16 @@ def test_nearest_recall(spark):
         best = ids[np.lexsort((ids, -cosine))[:5]]
         hits, total = hits + len(set(best.tolist()) & set(found[ids[i]])), total + len(best)
     assert hits >= 0.9 * total
+
+
+def test_nearest_recall_with_many_more_lists_than_probes(spark):
+    x = np.random.default_rng(3).standard_normal((40_000, 64)).astype(np.float32)  # 200 lists; without structure, neighbours lie on many
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    found = defaultdict(set)
+    for r in nearest.nearest(frame, every=200).collect():
+        found[r.query_id].add(r.vec_id)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = x[::200] @ x.T
+    cosine[np.arange(200), np.arange(0, len(x), 200)] = -2
+    hits = sum(len(set(np.argsort(-c)[:5].tolist()) & found[200 * i]) for i, c in enumerate(cosine))
+    assert hits >= 0.9 * 1000
