@@ -3,10 +3,11 @@
 Rules (host, path) are allowed or blocked; the longest that fits wins. URLs that a rule decides also train two smoothed
 variable-order Markov models over bytes, one for accepted and one for rejected URLs: each order's counts are smoothed
 towards the next shorter context, hashed into tables of a fixed size. The mean log-likelihood difference per byte
-is calibrated on rule-decided URLs that the models haven't seen, and decides the URLs without a rule.
+is calibrated on rule-decided URLs that the models haven't seen, and decides the URLs without a rule. Models read the whole
+URL, with scheme, query and fragment; rules read host and path.
 
-Defined results. A null URL, or one without ://, has an empty host and path, no rule, and is scored as an empty string:
-difference 0. If no URL, or only one kind of URL, is decided by a rule, every difference is 0 and the verdict is allow.
+Defined results. A null URL is scored as an empty string: difference 0. It has an empty host and path and no rule, as has
+one without ://, which is scored as it stands. If no URL, or only one kind of URL, is decided by a rule, every difference is 0 and the verdict is allow.
 Repeated rows are judged alike, each for itself. An empty table gives no rows. Other columns are not read.
 """
 
@@ -136,22 +137,22 @@ def calibrate(histogram: np.ndarray) -> tuple[float, float]:
 
 def _judge(batches: Iterator[pa.RecordBatch], counts, scale: float, shift: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        d = difference([(u or "").encode() for u in batch.column("address").to_pylist()], counts.value) if counts else np.zeros(batch.num_rows)
+        d = difference([u.encode() for u in batch.column("address").to_pylist()], counts.value) if counts else np.zeros(batch.num_rows)
         yield batch.append_column("difference", pa.array(d)).append_column("accepted", pa.array(1 / (1 + np.exp(-(scale * d + shift)))))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, difference, accepted (the calibrated probability)."""
     url = F.col(url_col)
-    known = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    known = known.withColumn("fits", rule_of(F.col("host"), F.col("path"), rules)).withColumn("address", F.concat("host", "path"))
+    known = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(url.cast("string"), F.lit("")).alias("address"))
+    known = known.withColumn("fits", rule_of(F.col("host"), F.col("path"), rules))
     decided = known.where("fits IS NOT NULL").select("address", (F.col("fits.verdict") == "allow").cast("int").alias("accepted"), F.pmod(F.crc32("address"), F.lit(FOLDS)).alias("fold"))
     counts = summed(decided.where("fold <> 0").drop("fold"), _count, CELLS).reshape(2, ORDERS, 2, 1 << BITS)
     held, curve = None, (0.0, 0.0)
     if counts[0].any() and counts[1].any():
         held = pages.sparkSession.sparkContext.broadcast(counts.astype(np.float32))  # CELLS of them, whatever the corpus
         curve = calibrate(summed(decided.where("fold = 0").drop("fold"), partial(_histogram, counts=held), 2 * BINS))
-    schema = "page_id long, host string, path string, fits struct<rule:string,verdict:string>, address string, difference double, accepted double"
+    schema = "page_id long, host string, path string, address string, fits struct<rule:string,verdict:string>, difference double, accepted double"
     judged = known.mapInArrow(partial(_judge, counts=held, scale=curve[0], shift=curve[1]), schema)
     verdict = F.coalesce(F.col("fits.verdict"), F.when(F.col("accepted") >= 0.5, "allow").otherwise("block"))
     return judged.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), verdict.alias("verdict"), "difference", "accepted")

@@ -113,3 +113,11 @@ def test_url_model_tells_kinds_apart(spark):
     found = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert sum(found[5000 + i] == "allow" for i in range(20)) >= 18
     assert sum(found[6000 + i] == "block" for i in range(20)) >= 18
+
+
+def test_url_model_reads_the_query_and_urls_without_scheme(spark):
+    rows = [(i, f"http://site{i % 7}.com/go?recipe=cake-{i}") for i in range(300)] + [(1000 + i, f"http://q{i % 5}.net/es/go?xx=casino-{i}") for i in range(300)]
+    rows += [(5000, "http://fresh.org/go?recipe=cake-7"), (5001, "http://fresh.org/go?xx=casino-7"), (5002, "recipe=cake-8"), (5003, "xx=casino-8")]
+    found = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [found[5000 + i].verdict for i in range(4)] == ["allow", "block", "allow", "block"]
+    assert found[5000].host == "fresh.org" and found[5000].path == "/go" and found[5002].host == ""
