@@ -69,6 +69,21 @@ def test_languages(spark, small, docs, no_docs):
     assert {r.kept for r in language.identify(no_docs, pages).collect()} == {True}
 
 
+def test_other_text_is_rejected_and_every_label_modelled(spark):
+    given = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source")
+    rng = np.random.default_rng(1)
+    other = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. " * 3, "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。" * 3,
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. " * 3, rng.bytes(300).hex(), "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 500)),
+    ]
+    rows = [(-1 - i, text, None, None) for i, text in enumerate(other)]
+    found = {r.doc_id: r for r in language.identify(given.union(spark.createDataFrame(rows, given.schema)), table(spark, "/root/testdata/sf0.001", "pages").limit(0)).collect()}
+    assert {(found[-1 - i].lang, found[-1 - i].kept) for i in range(len(other))} == {("und", False)}
+    assert sum(found[r.doc_id].kept for r in given.where("lang IS NOT NULL").collect()) >= 0.98 * given.where("lang IS NOT NULL").count()
+    many = spark.createDataFrame([(f"text {i}", f"x{i:02}") for i in range(70)], "text string, lang string")
+    assert len(language.train(many)[0]) == 70
+
+
 def test_priors_shrink_towards_wider_levels(spark):
     rows = [(f"a.x.org", "x.org", "org", 0)] * 50 + [("b.x.org", "x.org", "org", 0)] + [("c.net", "c.net", "net", 1)] * 5
     priors = {r.host: r.prior for r in language.host_priors(spark.createDataFrame(rows, "host string, domain string, suffix string, seen int"), ["de", "en"]).collect()}
