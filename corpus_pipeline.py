@@ -1,32 +1,41 @@
 """The training-data pipeline: from documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents. Decisions travel by a row number that is stored with the
+table: run() gives it once, a stage that runs alone for itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from emberframe.llm import curriculum, exact_dedup, language, near_dedup, packing
-from emberframe.llm.rows import keep_rows
+from emberframe.llm.rows import ROW, keep_rows, numbered
 from emberframe.session import stored, table
 
 
+def decided(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs' rows that the operator keeps, in docs' columns."""
+    held = numbered(docs)
+    return keep_rows(held, operator(held)).select(*docs.columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go."""
-    return keep_rows(docs, language.kept_documents(docs))
+    return decided(docs, language.kept_documents)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return keep_rows(docs, exact_dedup.exact_dedup(docs))
+    return decided(docs, exact_dedup.exact_dedup)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return keep_rows(docs, near_dedup.near_groups(docs))
+    return decided(docs, near_dedup.near_groups)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +55,7 @@ ORACLE_SQL = None  # tokenizing and the language models are beyond SQL
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each but the last stored in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs = numbered(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, docs.drop(ROW), sf_dir)

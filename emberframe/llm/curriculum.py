@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberframe.llm.rows import ROW, numbered, row_of
 from emberframe.session import cut
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -35,7 +36,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     """doc_id, source, size, order: a fixed random order by doc_id."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("order"), F.monotonically_increasing_id().alias("row"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("order"), row_of(docs).alias("row"))
 
 
 def pick(values: tuple, place: Column) -> Column:
@@ -100,11 +101,10 @@ def plan(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE,
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs' rows in training order, as often as the mix takes them; docs' own columns."""
     id_col = options.get("id_col", "doc_id")
-    # docs is a stored table (or a narrow, repeatable plan over one): the plan and this read then number its rows alike
-    held = docs.withColumn("__row", F.monotonically_increasing_id())
-    planned = plan(docs, **options).select(F.col("row").alias("__row"), F.explode("positions").alias("__position"))
-    joined = held.join(planned, "__row")
-    return joined.orderBy("__position", id_col, "__row").select(*docs.columns)
+    held = numbered(docs)
+    planned = plan(held, **options).select(F.col("row").alias(ROW), F.explode("positions").alias("__position"))
+    joined = held.join(planned, ROW)
+    return joined.orderBy("__position", id_col, ROW).select(*docs.columns)
 
 
 def ordered_plan(docs: DataFrame, **options) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.llm.rows import row_of
 from emberframe.llm.skew import join_groups
 from emberframe.session import cut
 
@@ -146,7 +147,7 @@ def digests_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One short row per document: id, code points of the text, digest of the text without white space, a row locator."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), digest.alias("digest"), F.monotonically_increasing_id().alias("row"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), digest.alias("digest"), row_of(docs).alias("row"))
 
 
 def distinct_digests(keyed: DataFrame) -> DataFrame:

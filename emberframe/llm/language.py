@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.gather import summed
+from emberframe.llm.rows import row_of
 from emberframe.llm.skew import join_groups
 from emberframe.llm.tokens import forget
 from emberframe.llm.url_filter import host_of
@@ -136,7 +137,7 @@ def _likelihoods(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Record
 def evidence_of_documents(docs: DataFrame) -> DataFrame:
     """row, doc_id, page_id, text, declared, host, domain, suffix: the source is the host."""
     none = F.lit(None).cast("string")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.col("text").cast("string").alias("text"), none.alias("declared"), F.col("source").cast("string").alias("host"), none.alias("domain"), none.alias("suffix"))
+    return docs.select(row_of(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.col("text").cast("string").alias("text"), none.alias("declared"), F.col("source").cast("string").alias("host"), none.alias("domain"), none.alias("suffix"))
 
 
 def evidence_of_pages(pages: DataFrame) -> DataFrame:

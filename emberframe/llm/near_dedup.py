@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.llm.rows import row_of
 from emberframe.llm.skew import join_groups
 from emberframe.llm.tokens import forget
 from emberframe.llm.words import shingle_set
@@ -230,14 +231,14 @@ def components(edges: DataFrame, in_task: int = EDGES_IN_TASK) -> DataFrame:
 
 def near_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept, row (its number in docs)."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = stored(given.withColumn("row", F.monotonically_increasing_id()).mapInArrow(partial(_describe, n=words), "doc_id long, row long, n_shingles long, print binary, signature binary, marks binary, sketch binary"), "signatures")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_of(docs).alias("row"))
+    described = stored(given.mapInArrow(partial(_describe, n=words), "doc_id long, row long, n_shingles long, print binary, signature binary, marks binary, sketch binary"), "signatures")
     linked = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(linked.groupBy("print").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n"), *(F.min(c).alias(c) for c in ("signature", "marks", "sketch"))))
     # equal sets of different rows with one doc_id: the id stands for one class here, the others are joined to it below
     same_id = classes.groupBy("id").agg(F.min("print").alias("print"))
     representatives = classes.select("id", "print", "n", "signature", "marks", "sketch").join(same_id, ["id", "print"]).drop("print")
-    labels = _labels(given, representatives, words, similarity)
+    labels = _labels(given.drop("row"), representatives, words, similarity)
     total = described.count()
     # a component's label per class, then per row
     of_class = classes.select("print", "id", "copies").join(labels, "id", "left").select("print", "copies", F.coalesce("component", "id").alias("component_id"))

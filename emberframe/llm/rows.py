@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.session import cut
+from emberframe.session import cut, stored
 
 BROADCAST_ROWS = 200_000  #: dropped rows that are sent to every task, at most; more are shuffled
 
 
-def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """docs' rows whose number isn't dropped in decided (row, kept), in docs' columns.
+ROW = "__row"  #: the stored number of a row
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a stored number per row in ROW, given once: later scans read it however they are split."""
+    return docs if ROW in docs.columns else stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
 
-    Row numbers are those that monotonically_increasing_id gives docs, a stored table that is read alike both times.
-    """
-    dropped = cut(decided.where("NOT kept").select(F.col("row").alias("__row")))
+def row_of(docs: DataFrame) -> Column:
+    """The number of a row: the stored one, or one that is good for a single scan."""
+    return F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """numbered docs' rows whose number isn't dropped in decided (row, kept), in docs' columns."""
+    dropped = cut(decided.where("NOT kept").select(F.col("row").alias(ROW)))
     few = dropped.count() <= BROADCAST_ROWS
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(F.broadcast(dropped) if few else dropped, "__row", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(dropped) if few else dropped, ROW, "left_anti").select(*docs.columns)

@@ -130,3 +130,27 @@ def test_block_comparison_of_large_nodes(spark, monkeypatch):
     members = spark.createDataFrame(rows, "id long, node long, component long, n long, marks binary, sketch binary, size long")
     pairs = {(r.a, r.b) for r in near_dedup.node_pairs(members, (80, 100)).collect()}
     assert pairs == {(i, j) for i in range(30) for j in range(i + 1, 30)}
+
+
+def test_decisions_hold_when_a_later_scan_is_split_otherwise(spark, small, monkeypatch):
+    import corpus_pipeline
+    from emberframe.llm import rows
+    from emberframe.session import stored, table
+
+    docs = stored(table(spark, small, "documents").unionByName(table(spark, small, "documents")).coalesce(1), "twice")
+    key, cut = "spark.sql.files.maxPartitionBytes", rows.cut
+    before = spark.conf.get(key)
+
+    def shifting(df):
+        out = cut(df)
+        spark.conf.set(key, "20000")
+        return out
+
+    monkeypatch.setattr(rows, "cut", shifting)
+    try:
+        found = corpus_pipeline.exact(spark, docs, small)
+        assert found.columns == docs.columns
+        texts = ["".join((r.text or "").split()) for r in found.collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert len(texts) == len(set(texts)) <= docs.count() / 2
