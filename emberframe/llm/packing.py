@@ -1,11 +1,14 @@
 """Packing of whole documents into training sequences by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut at multiples of the window; full windows stand alone. The rests, cut further into pieces of at
-most PIECE ids, gather in blocks of BLOCK windows' ids. Within a block, multiway differencing merges the two partial
-partitions of the largest imbalance, the fullest part of one with the emptiest of the other, until one partition is
-left: near-equal windows. If a window exceeds the capacity, the window count rises by one and the block is dealt anew.
+A document's ids are cut at multiples of the window; full windows stand alone. The rests gather in blocks of BLOCK
+windows' ids. Within a block, multiway differencing merges the two partial partitions of the largest imbalance, the
+fullest part of one with the emptiest of the other, until one partition is left: near-equal windows. Where rests may not
+be cut, the window count rises by one and the block is dealt anew as long as a window exceeds the capacity. Where they
+may (the default), what exceeds it is cut off and goes to windows with room, whole where it fits, so that a block's
+windows are full; the count then rises only for ids that have no room at all.
 
-The work is a narrow map: nothing is shuffled, memory is bounded by a batch and a block.
+The work is a narrow map: nothing is shuffled, memory is bounded by a batch and a block. Each task's last block alone may
+leave sequences that aren't full.
 
 Defined results. A null or empty text is its end id alone, one piece. Every row is packed by itself, also rows with the
 same doc_id (or none). An empty table gives no rows. Other columns are not read.
@@ -15,7 +18,9 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +31,7 @@ from pyspark.sql import functions as F
 from emberframe.llm.tokens import encoder
 
 WINDOW = 1024  #: ids in a sequence at most
-BLOCK = 64  #: windows that are balanced against each other
-FILL = 1000  #: ids for each of a block's windows; the least possible count of windows is tried first
-PIECE = 128  #: ids in a piece of a rest at most
+BLOCK = 32  #: windows that are balanced against each other
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -49,37 +52,66 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
             keep = len(a) - over
             merged = a[:keep] + [(x + y, p + q) for (x, p), (y, q) in zip(a[keep:], reversed(b[:over]), strict=True)] + b[over:]
         merged.sort(key=lambda part: -part[0])
-        if len(merged) == k:  # only the imbalance counts from here on; sums are kept whole for the capacity test
-            imbalance = merged[0][0] - merged[-1][0]
-        else:
-            imbalance = merged[0][0]
+        imbalance = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
         made += 1
         heapq.heappush(heap, (-imbalance, made, merged))
     return [indexes for _, indexes in heap[0][2]] if heap else []
 
 
-def pack_sizes(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
-    """Parts of at most capacity; as few as differencing finds when it starts at the least possible count."""
+def _moved(windows: list[list[tuple[int, int, int]]], capacity: int) -> None:
+    """Cuts off what windows of (item, start, length) hold beyond the capacity and puts it where room is."""
+    spare, rooms = [], []
+    for at, window in enumerate(windows):
+        over = sum(length for _, _, length in window) - capacity
+        window.sort(key=lambda piece: piece[2])
+        while over > 0:
+            item, start, length = window.pop()  # the longest
+            taken = min(over, length)
+            if taken < length:
+                window.append((item, start, length - taken))
+            spare.append((taken, item, start + length - taken))
+            over -= taken
+        if over < 0:
+            rooms.append((-over, at))
+    rooms.sort()
+    for size, item, start in sorted(spare, reverse=True):
+        while size:
+            place = bisect_left(rooms, (size, -1))  # the smallest room that holds it whole, else the largest
+            room, at = rooms.pop(min(place, len(rooms) - 1))
+            part = min(size, room)
+            windows[at].append((item, start, part))
+            if room > part:
+                insort(rooms, (room - part, at))
+            size, start = size - part, start + part
+
+
+def pack_sizes(sizes: list[int], capacity: int = WINDOW, cut: bool = False) -> list[list[tuple[int, int, int]]]:
+    """Windows of pieces (index of the item, start in it, length), none beyond the capacity; as few as are found from the least possible count on."""
     k = max(1, -(-sum(sizes) // capacity))
     while True:
-        parts = difference(sizes, k)
-        if all(sum(sizes[i] for i in part) <= capacity for part in parts):
-            return parts
+        windows = [[(i, 0, sizes[i]) for i in part] for part in difference(sizes, k)]
+        if all(sum(p[2] for p in window) <= capacity for window in windows):
+            return windows
+        if cut:  # k windows have room for all
+            windows += [[] for _ in range(k - len(windows))]
+            _moved(windows, capacity)
+            return windows
         k += 1
 
 
-def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, window: int, block: int, fill: int, piece: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, window: int, block: int, cut: bool) -> Iterator[pa.RecordBatch]:
     encode, end = encoder(vocabulary).encode, np.array([end_id], dtype="<u4").tobytes()
-    sequence, out, pool, held = TaskContext.get().partitionId() << 36, [], [], 0
+    sequence, out, pool, held = TaskContext.get().partitionId() << 36, [], [], 0  # a pool's rests: doc_id, start, ids, doc_tokens
 
     def close() -> None:
         nonlocal sequence, pool, held
-        for part in pack_sizes([p[2] for p in pool], window):
+        for pieces in pack_sizes([len(p[2]) // 4 for p in pool], window, cut):
             offset = 0
-            for i in part:
-                out.append((*pool[i], sequence, offset))
-                offset += pool[i][2]
-            sequence += 1
+            for i, at, length in pieces:
+                doc_id, start, ids, n = pool[i]
+                out.append((doc_id, start + at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n, sequence, offset))
+                offset += length
+            sequence += bool(pieces)
         pool, held = [], 0
 
     def rows() -> pa.RecordBatch:
@@ -89,21 +121,19 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, win
         return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
-                start = 0
-                while n - start >= window:
-                    out.append((doc_id, start, window, zlib.crc32(ids[4 * start : 4 * (start + window)]), n, sequence, 0))
-                    sequence, start = sequence + 1, start + window
-                while start < n:
-                    size = min(piece, n - start, block * fill - held)
-                    pool.append((doc_id, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n))
-                    start, held = start + size, held + size
-                    if held == block * fill:
-                        close()
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+            ids += end
+            n = len(ids) // 4
+            start = n // window * window
+            for at in range(0, start, window):
+                out.append((doc_id, at, window, zlib.crc32(ids[4 * at : 4 * (at + window)]), n, sequence, 0))
+                sequence += 1
+            while start < n:
+                size = min(n - start, block * window - held) if cut else n - start
+                pool.append((doc_id, start, ids[4 * start : 4 * (start + size)], n))
+                start, held = start + size, held + size
+                if held >= block * window:
+                    close()
             if len(out) > 20_000:
                 yield rows()
     if pool:
@@ -112,9 +142,7 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, win
         yield rows()
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WINDOW, block: int = BLOCK, fill: int = FILL, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WINDOW, block: int = BLOCK, cut: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. vocabulary: path of a tokenizers file."""
-    from functools import partial
-
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return given.mapInArrow(partial(_packed, vocabulary=vocabulary, end_id=end_id, window=window, block=block, fill=min(fill, window), piece=piece), SCHEMA)
+    return given.mapInArrow(partial(_packed, vocabulary=vocabulary, end_id=end_id, window=window, block=block, cut=cut), SCHEMA)

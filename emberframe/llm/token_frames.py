@@ -40,7 +40,7 @@ SKIPPABLE_TABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 CHECKSUMS = 0x80
 
-MANIFEST = "part long, number long, path string, documents long, tokens long, bytes long"
+MANIFEST = "part long, number long, path string, documents long, tokens long, bytes long, first_id long, last_id long"
 
 
 class ShardWriter:
@@ -125,25 +125,23 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_
 
     def close() -> None:
         shard.close()
-        done.append({"part": part, "number": len(done), "path": shard.path, "documents": len(shard.ids), "tokens": shard.tokens, "bytes": shard.size})
+        done.append({"part": part, "number": len(done), "path": shard.path, "documents": len(shard.ids), "tokens": shard.tokens, "bytes": shard.size, "first_id": shard.ids[0], "last_id": shard.ids[-1]})
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            some = batch.slice(at, 512)
-            for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
-                shard = shard or ShardWriter(folder)
-                shard.add(doc_id, ids + end)
-                if shard.size >= shard_bytes:
-                    close()
-                    shard = None
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+            shard = shard or ShardWriter(folder)
+            shard.add(doc_id, ids + end)
+            if shard.size >= shard_bytes:
+                close()
+                shard = None
     if shard:
         close()
     if done:
-        yield pa.RecordBatch.from_pylist(done)
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in MANIFEST.split(", ")]))
 
 
 def write_frames(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the shards; the manifest: part, number, path, documents, tokens, bytes. In order of part and number it is in order of doc_id."""
+    """Writes the shards; the manifest: part, number, path, documents, tokens, bytes, first_id, last_id. In order of part and number it is in order of doc_id."""
     spark = docs.sparkSession
     folder = folder or work_dir(spark, "token-frames")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -177,10 +175,12 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([ids for _, ids in found], pa.binary())], names=["doc_id", "ids"])
 
 
-def read_documents(manifest: DataFrame, wanted: list[int]) -> DataFrame:
-    """doc_id and ids of the documents asked for; their frames alone are decompressed."""
-    asked = manifest.select("path", F.lit(wanted).cast("array<long>").alias("wanted"))
-    return asked.mapInArrow(_fetch, "doc_id long, ids binary")
+def read_documents(manifest: DataFrame, wanted: list[int | None]) -> DataFrame:
+    """doc_id and ids of the documents asked for: only shards whose range of ids holds one are opened, and their frames alone decompressed."""
+    asked = F.lit(wanted).cast("array<long>") if wanted else F.array().cast("array<long>")
+    # missing ids come first, so a shard that begins without one may hold ids from the smallest on
+    here = F.filter(asked, lambda w: F.when(w.isNull(), F.col("first_id").isNull()).otherwise((F.coalesce(F.col("first_id"), w) <= w) & (w <= F.col("last_id"))))
+    return manifest.select("path", here.alias("wanted")).where(F.size("wanted") > 0).mapInArrow(_fetch, "doc_id long, ids binary")
 
 
 def token_frames(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:

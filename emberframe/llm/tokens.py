@@ -1,124 +1,212 @@
 """Token ids of whole texts from a tokenizers file, in batches.
 
-The byte-level vocabularies never join text across a single space between two other characters, so such a text is the
-sequence of its space-led pieces and each distinct piece is encoded once per worker. A text with a space beside other
-white space is encoded whole.
+A byte-level vocabulary begins a new run of characters at every single space, and at every single line break, between
+two characters that aren't white space. So a text is the sequence of its space-led and break-led pieces. A batch's
+pieces are counted as Arrow columns, each distinct one is encoded once, and the texts' ids are gathered from them.
+Short pieces are remembered from batch to batch. Where white space stands beside white space, the text
+isn't cut there. Texts that hold a special token's string, and all texts of vocabularies of another kind, are encoded
+whole.
 """
 
 from __future__ import annotations
 
-import contextlib
 import os
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-MEMO_PIECES = 400_000  #: pieces in each of two generations that a worker remembers, about 80 MB each; what isn't met again goes with its generation
-LONG_PIECE = 64  #: characters; longer pieces aren't remembered from one call to the next
+MEMO_PIECES = 1_200_000  #: pieces that a worker remembers, about 60 MB; then it begins anew
+MEMO_BYTES = 40  #: longer pieces aren't remembered
+BATCH_BYTES = 8_000_000  #: of texts that are encoded together; a longer text goes alone
+JOINED = 32_768  #: pieces that are handed to the tokenizer as one text
 ENDINGS = ".,;:!?#$%&*|)"  #: where these follow a letter or a digit, a new run of characters begins, whatever they are
-#: white space other than the space; the first part is ASCII
-WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
-WHITE_BEYOND = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: white space: the space and the line break apart from the rest, whose part beyond ASCII is written as code points
+OTHER_WHITE = r"\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+UNCUT = rf"[ \n{OTHER_WHITE}][ \n{OTHER_WHITE}]|\A[{OTHER_WHITE}]|[{OTHER_WHITE}]\z"
+_CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
+
 _encoders: dict[str, "Encoder"] = {}
 
 
-def beside_space(text: str) -> bool:
-    """Whether a space stands beside other white space (or another space)."""
-    white = [c for c in WHITE if c in text]
-    if not text.isascii():
-        white += [c for c in WHITE_BEYOND if c in text]
-    return "  " in text or any(" " + c in text or c + " " in text for c in white)
+def gathered(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The slices source[starts[i] : starts[i] + lengths[i]] one after another."""
+    ends = np.cumsum(lengths)
+    at = np.arange(int(ends[-1]) if len(ends) else 0)
+    at += np.repeat(starts - (ends - lengths), lengths)
+    return source[at]
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
+    """encode(texts) gives each text's ids."""
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         model = self.tokenizer.model
-        model._resize_cache(0)  # each piece comes once, so remembering it there as well is of no use
-        self.tokenizer.model = model
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # each piece comes once, so remembering it there as well is of no use
+            self.tokenizer.model = model
+        self.specials = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        kind = self.tokenizer.pre_tokenizer
+        #: whether texts may be cut: bytes as they are, split by the usual pattern, no space put before a text
+        self.cuts = isinstance(kind, pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space and self.tokenizer.normalizer is None and self.tokenizer.truncation is None
         #: of each id whether its bytes start with the space, which byte-level vocabularies write as U+0120
         self.leads = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.leads[i] = token.startswith("\u0120")
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.endings: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece with a space before it. They are encoded as one text: each space starts the next piece's ids."""
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            ids = self._ids(" " + " ".join(part))
-            ends = np.append(np.flatnonzero(self.leads[ids]), len(ids)) * 4
-            if len(ends) != len(part) + 1:
-                raise ValueError("this vocabulary joins text across spaces")
-            raw, ends = ids.tobytes(), ends.tolist()
-            out += [raw[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
-        return out
-
-    def _remember(self, pieces: list[str]) -> None:
-        """Learns these pieces. A word and its ending are encoded apart, so that a word is encoded once for all its endings."""
-        memo, parts, ended = self.memo, set(), []
-        for piece in pieces:
-            word = piece.rstrip(ENDINGS)
-            if len(word) == len(piece) or not word or not word[-1].isalnum():
-                parts.add(piece)
-            else:
-                ended.append((piece, word))
-                if word not in memo:
-                    parts.add(word)
-        if "" in parts:  # a space at a text's end is a piece of its own
-            memo[""] = self._ids(" ").tobytes()
-            parts.discard("")
-        new = list(parts)
-        memo.update(zip(new, self._pieces(new), strict=True))
-        for piece, word in ended:
-            ending = piece[len(word) :]
-            if ending not in self.endings:
-                if len(self.endings) > 10_000:
-                    self.endings.clear()
-                self.endings[ending] = self._ids(ending).tobytes()
-            memo[piece] = memo[word] + self.endings[ending]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_PIECES:
-            self.memo, self.older = {}, self.memo
-        flat: list[str] = []
-        places: list[tuple[bytes, int, int]] = []
-        for text in texts:
-            if beside_space(text):
-                places.append((self._ids(text).tobytes(), 0, 0))
+            self.leads[i] = token.startswith("Ġ")
+        self.line = self._ids(["\n"])[0]
+        self._forget_pieces()
+
+    def _forget_pieces(self) -> None:
+        self.pieces, self.at, self.size, self.held = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, stems: pa.Array, of_line: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of plain stems that all begin with a line break, or of stems before which a space stands."""
+        ids, lengths = [], []
+        for at in range(0, len(stems), JOINED):
+            some = stems.slice(at, JOINED)
+            text = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some.cast(pa.string())), "" if of_line else " ")[0].as_py()
+            (found,) = self._ids([text if of_line else " " + text])
+            begins = np.flatnonzero(found == self.line[0] if of_line else self.leads[found])
+            if len(begins) != len(some):
+                raise ValueError("this vocabulary joins text across a space or a line break")
+            ids.append(found)
+            lengths.append(np.diff(np.append(begins, len(found))))
+        return (np.concatenate(ids), np.concatenate(lengths)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _stems(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths) of distinct stems: those with white space at an end or beside white space one by one, the others as joined texts."""
+        of_line = pc.starts_with(stems, "\n").to_numpy(zero_copy_only=False)
+        alone = pc.match_substring_regex(stems, rf"\A\n?\z|\A[ {OTHER_WHITE}]|[ \n{OTHER_WHITE}][ \n{OTHER_WHITE}]|[ \n{OTHER_WHITE}]\z").to_numpy(zero_copy_only=False)
+        starts, lengths, ids, held = np.zeros(len(stems), np.int64), np.zeros(len(stems), np.int64), [], 0
+        for kind in (True, False):
+            mine = np.flatnonzero(~alone & (of_line == kind))
+            found, sizes = self._joined(stems.take(pa.array(mine)), kind)
+            lengths[mine], starts[mine] = sizes, held + np.cumsum(sizes) - sizes
+            ids.append(found)
+            held += len(found)
+        mine = np.flatnonzero(alone)
+        for i, found in zip(mine.tolist(), self._ids([s if s[:1] == "\n" else " " + s for s in stems.take(pa.array(mine)).to_pylist()]), strict=True):
+            starts[i], lengths[i] = held, len(found)
+            ids.append(found)
+            held += len(found)
+        return np.concatenate(ids), starts, lengths
+
+    def _new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths) of distinct pieces. A word and its ending are encoded apart, so that a word is encoded once for all its endings."""
+        words = pc.utf8_rtrim(pieces, characters=ENDINGS)
+        ended = pc.and_(pc.not_equal(words, pieces), pc.match_substring_regex(words, r"[\pL0-9]\z"))
+        stems = pc.if_else(ended, words, pieces).dictionary_encode()
+        ids, starts, lengths = self._stems(stems.dictionary)
+        which = stems.indices.to_numpy(zero_copy_only=False)
+        ended = ended.to_numpy(zero_copy_only=False)
+        if not ended.any():
+            return ids, starts[which], lengths[which]
+        sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False)[ended]
+        tails = [p[n:] for p, n in zip(pieces.filter(pa.array(ended)).to_pylist(), sizes.tolist(), strict=True)]
+        tails = pa.array(tails, pa.large_string()).dictionary_encode()
+        endings = self._ids(tails.dictionary.to_pylist())
+        tail_sizes = np.array([len(e) for e in endings], dtype=np.int64)
+        tail_starts = len(ids) + np.cumsum(tail_sizes) - tail_sizes
+        of_tail = tails.indices.to_numpy(zero_copy_only=False)
+        # each piece is its stem and, where it has one, its ending
+        first, second = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        first[ended], second[ended] = tail_starts[of_tail], tail_sizes[of_tail]
+        parts = np.stack([starts[which], first], axis=1).ravel(), np.stack([lengths[which], second], axis=1).ravel()
+        out = gathered(np.concatenate([ids, *endings]), *parts)
+        whole = lengths[which] + second
+        return out, np.cumsum(whole) - whole, whole
+
+    def _pieces(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths) of these pieces."""
+        if len(self.pieces) > MEMO_PIECES:
+            self._forget_pieces()
+        coded = flat.dictionary_encode()
+        distinct, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        known = pc.index_in(distinct, value_set=self.pieces).fill_null(-1).to_numpy(zero_copy_only=False)
+        fresh = np.flatnonzero(known < 0)
+        pieces = distinct.take(pa.array(fresh))
+        ids, starts, lengths = self._new(pieces) if len(fresh) else (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        begin, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        old = known >= 0
+        begin[old], size[old] = self.at[known[old]], self.size[known[old]]
+        begin[fresh], size[fresh] = len(self.held) + starts, lengths
+        source = np.concatenate([self.held, ids])
+        again = pc.binary_length(pieces).to_numpy(zero_copy_only=False) <= MEMO_BYTES
+        if again.any():
+            mine = gathered(ids, starts[again], lengths[again])
+            self.at = np.concatenate([self.at, len(self.held) + np.cumsum(lengths[again]) - lengths[again]])
+            self.size = np.concatenate([self.size, lengths[again]])
+            self.held = np.concatenate([self.held, mine])
+            self.pieces = pa.concat_arrays([self.pieces, pieces.filter(pa.array(again))])
+        return source, begin[code], size[code]
+
+    def _cut(self, texts: pa.Array, uncut: np.ndarray) -> tuple[pa.Array, np.ndarray, list[str]]:
+        """(all pieces, how many each text has, first pieces that stand for themselves). Other texts begin like a line; the break's id is taken off again."""
+        led = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", pa.large_string()))
+        if not uncut.any():
+            lists = pc.split_pattern(led, " ")
+            return lists.flatten().cast(pa.large_string()), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), []
+        # each text by itself, in order; the break is kept as the first character of what follows it
+        lists, heads = [], []
+        for text, whole in zip(texts.to_pylist(), uncut.tolist(), strict=True):
+            if whole:
+                ends = [m.start() for m in _CUT.finditer(text)]
+                ends.append(len(text))
+                heads.append(text[: ends[0]])
+                lists.append(["\n", *(text[a + (text[a] == " ") : b] for a, b in zip(ends, ends[1:]))])  # noqa: B905
             else:
-                head, *rest = text.split(" ")
-                places.append((self._ids(head).tobytes() if head else b"", len(flat), len(flat) + len(rest)))
-                flat += rest
-        known = list(map(self.memo.get, flat))
-        gaps, at = [], -1
-        with contextlib.suppress(ValueError):
-            while True:
-                gaps.append(at := known.index(None, at + 1))
-        if gaps:
-            missing = {flat[i] for i in gaps}
-            again = missing & self.older.keys()
-            self.memo.update((piece, self.older[piece]) for piece in again)
-            self._remember(new := list(missing - again))
-            for i in gaps:
-                known[i] = self.memo[flat[i]]
-            for piece in new:
-                if len(piece) > LONG_PIECE:
-                    del self.memo[piece]
-                    self.memo.pop(piece.rstrip(ENDINGS), None)
-        return [head + b"".join(known[a:b]) for head, a, b in places]
+                lists.append(("\n" + text.replace("\n", " \n")).split(" "))
+        return pa.array([p for own in lists for p in own], pa.large_string()), np.array([len(own) for own in lists], dtype=np.int64), heads
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids, as little-endian unsigned 32-bit integers. A missing text counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        upto, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BATCH_BYTES, side="right")))
+            ids, lengths = self._batch(texts.slice(at, to - at))
+            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist()
+            for a, b in zip([0, *ends], ends):  # noqa: B905
+                yield raw[a:b]
+            at = to
+
+    def _batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, each text's number of ids)."""
+        apart = np.full(len(texts), not self.cuts)
+        for special in self.specials if self.cuts else ():
+            apart |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        if apart.all():
+            found = self._ids(texts.to_pylist())
+            return np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64)
+        mine = texts.filter(pa.array(~apart)) if apart.any() else texts
+        uncut = pc.match_substring_regex(mine, UNCUT).to_numpy(zero_copy_only=False)
+        flat, counts, first = self._cut(mine, uncut)
+        source, begin, size = self._pieces(flat)
+        heads = np.cumsum(counts) - counts
+        if first:
+            first = self._ids(first)
+            own = np.array([len(x) for x in first], dtype=np.int64)
+            begin[heads[uncut]], size[heads[uncut]] = len(source) + np.cumsum(own) - own, own
+            source = np.concatenate([source, *first])
+        begin[heads[~uncut]] += 1
+        size[heads[~uncut]] -= 1
+        ids, own = gathered(source, begin, size), np.add.reduceat(size, heads)
+        if not apart.any():
+            return ids, own
+        whole = self._ids(texts.filter(pa.array(apart)).to_pylist())
+        lengths, starts = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        lengths[~apart], lengths[apart] = own, [len(x) for x in whole]
+        starts[~apart], starts[apart] = np.cumsum(own) - own, len(ids) + np.cumsum(lengths[apart]) - lengths[apart]
+        return gathered(np.concatenate([ids, *whole]), starts, lengths), lengths
 
 
 def encoder(vocabulary: str) -> Encoder:
