@@ -1,19 +1,26 @@
 """Near-duplicate groups by chosen-path set similarity join.
 
-Documents are sets of word shingles. Sets that are equal form a class first, with its smallest doc_id as representative. A signature of
-minwise tokens stands for each set. Independent trees branch representatives by tokens chosen per node: two sets with
-similarity s choose the same branch with probability s, and every node has BRANCHES branches, so a pair at the threshold
-of 0.8 gets down one tree with probability 0.998 and down one of the TREES with all but 4 in 10^9. Small nodes are
-compared exhaustively on a byte of each minwise token, then on parity sketches, which lose no pair at the threshold; what is
-left is confirmed on the full sets, made from the whole texts of just those pairs.
-
-Large groups of near copies would fill every node of a tree. So representatives are first linked with leaders of their
-root nodes, and those confirmed links form components; a node whose members are all of one component holds no news and ends there.
-Nodes that stay large and mixed although they were branched are compared exhaustively all the same, in blocks.
+Documents are sets of word shingles. Sets that are equal form a class first. A signature of minwise tokens stands for
+each set. Independent trees branch classes by tokens chosen per node: two sets with similarity s choose the same branch
+with probability s, and every node has BRANCHES branches, so a pair at the threshold of 0.8 gets down one tree with
+probability 0.998 and down one of the TREES with all but 4 in 10^9. Small nodes are compared exhaustively on a byte of
+each minwise token, then on parity sketches, which lose no pair at the threshold; what is left is confirmed on the full
+sets, made from the whole texts of just those pairs.
+
+A large group of near copies would fill every node of a tree, so large root nodes are worn down before any branching: in
+each round every node draws a member as leader, each member of another component is compared with the likeliest of its
+nodes' leaders, and links that are confirmed join components. Only pairs of different components are news. A node has as many of them as its
+members outside the main component have partners, and becomes a leaf when these are few, however many members it has.
+Leaves are compared in blocks, outsiders against all. The recall above holds for pairs that only the trees join; a pair
+that leaders or others have joined is in one component already. Nodes that branching doesn't part are compared
+exhaustively all the same, which is quadratic in the members outside their main component.
+
+Of the pairs found, one for each pair of components is confirmed first, then those of components that are still apart.
 
 Defined results. Null texts and texts without words have an empty set, are linked with nothing and kept. A text with
-fewer words than a shingle has is one shingle. Rows with the same doc_id are linked by their sets like any others; a row without a doc_id is
-linked with nothing: its component_id is null and it is kept. An empty table gives no rows. Other columns are not read.
+fewer words than a shingle has is one shingle. Rows with the same doc_id are linked by their sets like any others, and
+with no row for having its doc_id; a row without a doc_id is linked with nothing: its component_id is null and it is
+kept. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,11 +46,12 @@ SIGNATURE = 64  #: minwise tokens of a set
 MATCHES = 30  #: equal tokens of a pair that is confirmed; at the threshold fewer come about once in 10^9
 TREES, BRANCHES = 3, 4
 SKETCH = 1024  #: bits that tell pairs below the similarity apart from others without losing any
-SMALL = 1024  #: members of a node that is compared exhaustively; that costs less than moving it once more
+FEW = 1 << 20  #: pairs of members of different components in a node that is compared exhaustively; that costs less than moving it once more
 LEADER_PAIRS = 64  #: pairs of a leader that one task confirms, about
 DEPTH = 8
 BLOCK = 2048  #: members that are compared at once
-LEADER_ROUNDS = 1
+LEADER_ROUNDS = 10  #: at most; they end when LEADER_MISSES rounds in a row link hardly anything
+LEADER_MISSES = 2
 EDGES_IN_TASK = 1_000_000
 FILTER_CELLS = 1 << 20  #: rows of the broadcast filter of ids, whatever the corpus
 
@@ -77,7 +85,7 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
                 signatures.append(signature(found) if len(found) else None)
                 marks.append(signatures[-1][::4] if len(found) else None)
                 sketches.append(sketch(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(counts, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, signatures, marks, sketches))], names=["doc_id", "row", "n_shingles", "print", "signature", "marks", "sketch"])
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), pa.array(counts, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, signatures, marks, sketches))], names=["doc_id", "row", "text_key", "n_shingles", "print", "signature", "marks", "sketch"])
 
 
 def token(coordinate: int | Column) -> Column:
@@ -85,10 +93,10 @@ def token(coordinate: int | Column) -> Column:
     return F.substring(F.col("signature"), F.lit(coordinate) * 4 + 1, F.lit(4))
 
 
-def roots(representatives: DataFrame) -> DataFrame:
+def roots(classes: DataFrame) -> DataFrame:
     """The root nodes of all trees: id, node. Each root branches on BRANCHES places of the signature of its own."""
     nodes = F.array(*[F.xxhash64(F.lit(i), token(i)) for i in range(TREES * BRANCHES)])
-    return representatives.select("id", F.explode(nodes).alias("node"))
+    return classes.select("id", F.explode(nodes).alias("node"))
 
 
 def branches(members: DataFrame, depth: int) -> DataFrame:
@@ -112,10 +120,10 @@ def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, similarity: tuple
 
 
 def _compare(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
-    """Pairs of one node's members (or of two of its blocks) of different components that may be similar."""
-    ids, component, side = table["id"].to_numpy(), table["component"].to_numpy(), table["side"].to_numpy()
+    """Pairs of one node's members, or of two of its blocks, that may be similar: a is outside the main component, b of another component."""
+    ids, component, side, outside = (table[c].to_numpy() for c in ("id", "component", "side", "outside"))
     n, marks, sketches = _columns(table)
-    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)  # 0: one block against itself
+    left, right = np.flatnonzero((side == 0) | (side == 2) & outside), np.flatnonzero(side != 0)  # 2: on both sides
     of_right = np.ascontiguousarray(marks[right].T)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(left), 64):
@@ -125,23 +133,36 @@ def _compare(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
             alike += marks[rows, place][:, None] == of_right[place]
         x, y = np.nonzero((alike >= MATCHES) & (component[rows][:, None] != component[right]))
         x, y = rows[x], right[y]
-        if not (side != 0).any():
-            x, y = x[x < y], y[x < y]
+        once = ~outside[y] | (ids[x] < ids[y])  # two outsiders meet twice
+        x, y = x[once], y[once]
         for part in range(0, len(x), 65536):
             p, q = x[part : part + 65536], y[part : part + 65536]
             fine = may_link(n[p], n[q], np.bitwise_count(sketches[p] ^ sketches[q]).sum(axis=1, dtype=np.int64), similarity)
             a.append(ids[p[fine]])
             b.append(ids[q[fine]])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+    return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+
+def node_stats(members: DataFrame, turn: int = 0) -> DataFrame:
+    """Per node of members (id, node, component, above): size, above, pairs of members of different components, main component and its size, a member as leader."""
+    drawn = F.min(F.struct(F.xxhash64("id", "node", F.lit(turn)).alias("chance"), F.col("id"), F.col("component"))).alias("leader")
+    per = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.max("above").alias("above"), drawn)
+    whole = per.groupBy("node").agg(
+        F.sum("n").alias("size"), F.max("above").alias("above"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.min("leader").alias("leader"),
+    )
+    return whole.select("node", "size", "above", "most", "main", (F.col("size") * F.col("size") - F.col("squares")).alias("pairs"), "leader")
 
 
 def node_pairs(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Candidate pairs of nodes: members (id, node, component, n, marks, sketch, size). A node of more than BLOCK members is compared block by block."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"), F.when(mine == other, 0).when(mine < other, 1).otherwise(2).alias("side")))
-    dealt = members.withColumn("meet", F.explode(meets)).select("node", "meet.x", "meet.y", "meet.side", "id", "component", "n", "marks", "sketch")
+    """Candidate pairs of nodes: members (id, node, component, main, size, most, n, marks, sketch). A node of more than BLOCK members is compared block by block."""
+    outside, blocks = F.col("component") != F.col("main"), F.ceil(F.col("size") / BLOCK).cast("int")
+    outer = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
+    x, y = F.pmod(F.xxhash64("id", F.lit(1)), outer).cast("int"), F.pmod(F.xxhash64("id"), blocks).cast("int")
+    meet = lambda i, j, side: F.struct(i.alias("x"), j.alias("y"), F.lit(side).alias("side"))
+    right = F.transform(F.sequence(F.lit(0), outer - 1), lambda i: meet(i, y, 1))
+    left = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: meet(x, j, 0))
+    meets = F.when((blocks == 1) & (outer == 1), F.array(meet(F.lit(0), F.lit(0), 2))).when(outside, F.concat(right, left)).otherwise(right)
+    dealt = members.withColumn("meet", F.explode(meets)).select("node", "meet.x", "meet.y", "meet.side", "id", "component", outside.alias("outside"), "n", "marks", "sketch")
     return dealt.groupBy("node", "x", "y").applyInArrow(lambda table: _compare(table, similarity), "a long, b long").distinct()
 
 
@@ -166,20 +187,21 @@ def _confirm(batches: Iterator[pa.RecordBatch], words: int, part: int, whole: in
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def texts_of(given: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of these documents: a broadcast filter of bounded size first, the exact join after it."""
-    cells = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_CELLS)).alias("cell")).distinct()
+def texts_of(given: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, text of these classes (id, doc_id, text_key): a broadcast filter of bounded size first, then one of repeated rows, the exact join after it."""
+    cells = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_CELLS)).alias("cell")).distinct()
     likely = given.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_CELLS))).join(F.broadcast(cells), "cell", "left_semi")
-    return likely.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    return likely.groupBy("doc_id", "text_key").agg(F.first("text").alias("text")).join(wanted, ["doc_id", "text_key"]).select("id", "text")
 
 
-def confirmed(pairs: DataFrame, given: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+def confirmed(pairs: DataFrame, given: DataFrame, keys: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
     """Those of pairs (a, b) whose full sets reach the similarity. A leader's pairs are dealt to as many tasks as they need."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    leaders = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_PAIRS).cast("int").alias("salts"))
-    texts = texts_of(given, ids)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = cut(keys.select("id", "doc_id", "text_key").join(ids, "id", "left_semi"))
+    leaders = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("led"))).withColumn("salts", F.ceil(F.col("led") / LEADER_PAIRS).cast("int"))
+    texts = texts_of(given, wanted)
     leading = leaders.join(texts, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("of_a"))
-    dealt = pairs.join(leaders, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    dealt = join_groups(pairs, leaders, "a", "led", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     both = dealt.join(texts, F.col("b") == F.col("id")).select("a", "salt", "b", "text").join(leading, ["a", "salt"])
     return both.select("a", "b", "of_a", "text").mapInArrow(partial(_confirm, words=words, part=similarity[0], whole=similarity[1]), "a long, b long").distinct()
 
@@ -229,91 +251,118 @@ def components(edges: DataFrame, in_task: int = EDGES_IN_TASK) -> DataFrame:
             return labels
 
 
+def classes_of(linked: DataFrame) -> DataFrame:
+    """A row per distinct set: id, print, copies, smallest doc_id and the text it has there, n, signature, marks, sketch."""
+    best = F.min(F.struct("doc_id", "text_key")).alias("best")
+    grouped = cut(linked.groupBy("print").agg(best, F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n"), *(F.min(c).alias(c) for c in ("signature", "marks", "sketch"))))
+    salt = 0
+    while True:  # a second turn is due when two of the prints' hashes agree, which 10^9 classes have with probability 0.03
+        classes = grouped.select(F.xxhash64("print", F.lit(salt)).alias("id"), "print", "copies", "best.doc_id", "best.text_key", "n", "signature", "marks", "sketch")
+        if classes.groupBy("id").count().where("count > 1").isEmpty():
+            return classes
+        salt += 1
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept, row (its number in docs)."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_of(docs).alias("row"))
-    described = stored(given.mapInArrow(partial(_describe, n=words), "doc_id long, row long, n_shingles long, print binary, signature binary, marks binary, sketch binary"), "signatures")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_of(docs).alias("row"), F.xxhash64(text_col).alias("text_key"))
+    described = stored(given.mapInArrow(partial(_describe, n=words), "doc_id long, row long, text_key long, n_shingles long, print binary, signature binary, marks binary, sketch binary"), "signatures")
     linked = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(linked.groupBy("print").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n"), *(F.min(c).alias(c) for c in ("signature", "marks", "sketch"))))
-    # equal sets of different rows with one doc_id: the id stands for one class here, the others are joined to it below
-    same_id = classes.groupBy("id").agg(F.min("print").alias("print"))
-    representatives = classes.select("id", "print", "n", "signature", "marks", "sketch").join(same_id, ["id", "print"]).drop("print")
-    labels = _labels(given.drop("row"), representatives, words, similarity)
+    classes = classes_of(linked)
+    labels = _labels(given.drop("row"), classes, words, similarity)
+    # the smallest doc_id of each component, then per class, then per row
     total = described.count()
-    # a component's label per class, then per row
-    of_class = classes.select("print", "id", "copies").join(labels, "id", "left").select("print", "copies", F.coalesce("component", "id").alias("component_id"))
+    named = cut(classes.select("id", "print", "copies", "doc_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    of_class = join_groups(named.select("component", "print", "copies"), least, "component", "classes", total).select("print", "copies", "component_id")
     with_class = join_groups(linked.select("doc_id", "row", "n_shingles", "print"), of_class, "print", "copies", total)
     alone = described.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"))
     result = with_class.select("doc_id", "row", "n_shingles", "component_id").unionByName(alone)
     return result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "row")
 
 
-def _labels(given: DataFrame, representatives: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """(id, component) of the representatives that are linked with another."""
+def _labels(given: DataFrame, classes: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(id, component) of the classes that are linked with another."""
     spark = given.sparkSession
-    empty = spark.createDataFrame([], "id long, component long")
-    root = roots(representatives)
-    shared = root.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("leader")).where("size > 1")
-    nodes = cut(root.join(shared, "node").select("id", "node", "leader"))
-    candidates = nodes.select("id").distinct()
+    root = roots(classes)
+    shared = root.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1")
+    every = classes.count() * TREES * BRANCHES
+    nodes = cut(join_groups(root, shared, "node", "size", every).select("id", "node", "first"))
+    signatures = cut(classes.drop("print", "copies").join(nodes.select("id").distinct(), "id"))
+    edges, labels = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
+    found = edges
     if nodes.isEmpty():
-        return empty
-    signatures = cut(representatives.join(candidates, "id"))
-
-    edges = spark.createDataFrame([], "a long, b long")
-    labels = empty
+        return labels
 
     def with_labels(members: DataFrame) -> DataFrame:
         return members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
+    def with_stats(members: DataFrame, turn: int = 0) -> DataFrame:
+        """Members of nodes of more than one component, with what node_stats tells."""
+        stats = cut(node_stats(members, turn))
+        total = stats.agg(F.sum("size")).first()[0] or 0
+        return join_groups(members.drop("above"), stats, "node", "size", total).where("pairs > 0")
+
     def likely_pairs(pairs: DataFrame) -> DataFrame:
-        """Pairs whose signatures agree enough."""
+        """Of the pairs whose signatures agree enough the likeliest one of each b."""
         one, two = (signatures.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "marks", "sketch"))) for x in "ab")
-        return pairs.join(one, "a").join(two, "b").mapInArrow(partial(_agreeing, similarity=similarity), "a long, b long")
+        leaders = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("led")).join(one, "a")
+        both = join_groups(pairs, leaders, "a", "led", pairs.count()).drop("led").join(two, "b")
+        agreeing = both.mapInArrow(partial(_agreeing, similarity=similarity), "a long, b long, alike int")
+        return cut(agreeing.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b"))
 
     def link(pairs: DataFrame) -> float:
         """Confirms pairs and joins components; the share of pairs that were confirmed."""
         nonlocal edges, labels
-        asked, new = pairs.count(), cut(confirmed(pairs, given, words, similarity))
+        if not (asked := pairs.count()):
+            return 0.0
+        new = cut(confirmed(pairs, given, signatures, words, similarity))
         if not (there := new.count()):
             return 0.0
         edges = edges.union(new)
         labels = cut(components(edges))
         return there / asked
 
-    # each representative with the leader that it shares the most nodes with
-    shared_most = nodes.where("id <> leader").groupBy("id", "leader").count().groupBy("id").agg(F.max_by("leader", F.struct("count", F.bitwise_not("leader"))).alias("leader"))
-    link(cut(likely_pairs(shared_most.select(F.col("leader").alias("a"), F.col("id").alias("b")))))
-    # then with other leaders, each node's own
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs of components that aren't joined yet, with these."""
+        of = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
+        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("p"), F.coalesce("of_b", "b").alias("q"))
+        return both.where("p <> q")
+
+    # each class with the first one that it shares the most nodes with
+    most = nodes.where("id <> first").groupBy("id", "first").count().groupBy("id").agg(F.max_by("first", F.struct("count", F.bitwise_not("first"))).alias("first"))
+    link(likely_pairs(cut(most.select(F.col("first").alias("a"), F.col("id").alias("b")))))
+    level, misses = nodes.select("id", "node", F.lit(None).cast("long").alias("above")), 0
     for turn in range(LEADER_ROUNDS):
-        members = cut(with_labels(nodes.select("id", "node")))
-        leaders = members.groupBy("node").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "node", F.lit(turn))).alias("leader"), F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most AND size > 8")
-        pairs = members.join(leaders, "node").where("leader.component <> component").select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
-        pairs = cut(likely_pairs(pairs))
-        if link(pairs) < 0.1:
+        large = with_stats(with_labels(level), turn).where(F.col("pairs") > FEW)
+        pairs = cut(large.where("leader.component <> component").select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct())
+        if pairs.isEmpty():
+            break
+        misses = 0 if link(likely_pairs(pairs)) >= 0.02 else misses + 1
+        if misses == LEADER_MISSES:
             break
-    level, found = nodes.select("id", "node", F.lit(None).cast("long").alias("above")), None
     for depth in range(DEPTH + 1):
-        members = with_labels(level)
-        mixed = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("above").alias("above"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
         # a node that kept more than half of the one above holds members too alike for branching to part them
-        leaf = (F.col("size") <= SMALL) | F.coalesce(2 * F.col("size") > F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
-        members = cut(members.drop("above").join(mixed.select("node", "size", leaf.alias("leaf")), "node"))
-        pairs = cut(node_pairs(members.where("leaf").join(signatures.drop("signature"), "id"), similarity))
-        found = pairs if found is None else found.union(pairs)
+        leaf = (F.col("pairs") <= FEW) | F.coalesce(2 * F.col("size") > F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
+        members = cut(with_stats(with_labels(level)).withColumn("leaf", leaf).drop("leader", "pairs"))
+        found = found.union(cut(node_pairs(members.where("leaf").join(signatures.select("id", "n", "marks", "sketch"), "id"), similarity)))
         rest = members.where("NOT leaf")
         if rest.isEmpty():
             break
         level = branches(rest.join(signatures.select("id", "signature"), "id"), depth)
-    link(cut(found.distinct()))
+    found = cut(found.distinct())
+    one = apart(found).groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("pair"))
+    link(cut(one.select("pair.a", "pair.b")))
+    link(cut(apart(found).select("a", "b")))
     return labels
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         (n, p, u), (m, q, v) = _columns(batch, "_a"), _columns(batch, "_b")
-        fine = may_link(n, m, np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64), similarity) & ((p == q).sum(axis=1) >= MATCHES)
-        yield batch.select(["a", "b"]).filter(pa.array(fine))
+        alike = (p == q).sum(axis=1)
+        fine = may_link(n, m, np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64), similarity) & (alike >= MATCHES)
+        yield batch.select(["a", "b"]).append_column("alike", pa.array(alike, pa.int32())).filter(pa.array(fine))
 
 
 ORACLE_SQL = r"""

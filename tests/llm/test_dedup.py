@@ -126,10 +126,47 @@ def test_block_comparison_of_large_nodes(spark, monkeypatch):
     """Nodes beyond a block's size lose no pair."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     sets = [near_dedup.shingle_set(" ".join(f"t{j}" for j in range(100 + i % 3)), 5) for i in range(30)]
-    rows = [(i, 1, i, len(s), bytearray(near_dedup.signature(s)[::4]), bytearray(near_dedup.sketch(s)), 30) for i, s in enumerate(sets)]
-    members = spark.createDataFrame(rows, "id long, node long, component long, n long, marks binary, sketch binary, size long")
-    pairs = {(r.a, r.b) for r in near_dedup.node_pairs(members, (80, 100)).collect()}
-    assert pairs == {(i, j) for i in range(30) for j in range(i + 1, 30)}
+    for main in (0, 20):  # members in the main component
+        rows = [(i, 1, 0 if i < main else i, 0, 30, max(1, main), len(s), bytearray(near_dedup.signature(s)[::4]), bytearray(near_dedup.sketch(s))) for i, s in enumerate(sets)]
+        members = spark.createDataFrame(rows, "id long, node long, component long, main long, size long, most long, n long, marks binary, sketch binary")
+        found = [tuple(sorted((r.a, r.b))) for r in near_dedup.node_pairs(members, (80, 100)).collect()]
+        assert sorted(found) == [(i, j) for i in range(30) for j in range(i + 1, 30) if j >= main]
+
+
+def test_a_repeated_doc_id_with_different_texts_loses_no_link(spark):
+    one, two = (" ".join(f"{x}{j}" for j in range(200)) for x in "pq")
+    rows = [(5, one), (5, two), (7, two + " more"), (9, one + " more"), (9, one + " more"), (3, "quite another text of a few words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_found(near_dedup.near_groups(docs, words=4)) == near_brute(rows, 4)
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_groups(docs, words=4).collect()} == {(5, 5), (7, 5), (9, 5), (3, 3)}
+
+
+def large_group(spark, count):
+    """Near copies of one text, each with runs of its own at some of many places, so that copies differ from each other more than from the text."""
+    rng = np.random.default_rng(5)
+    base = [f"b{j}" for j in range(150)]
+    rows = []
+    for i in range(count):
+        words = list(base)
+        for place in rng.choice(30, size=rng.integers(0, 5), replace=False):
+            words[5 * place] = f"x{rng.integers(3)}"
+        rows.append((i, " ".join(words)))
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_a_large_group_of_near_copies_is_not_branched(spark, monkeypatch):
+    made, branches = [], near_dedup.branches
+    monkeypatch.setattr(near_dedup, "branches", lambda members, depth: made.append(members.count()) or branches(members, depth))
+    rows = near_dedup.near_groups(large_group(spark, 6000), words=4).collect()
+    assert len(rows) == 6000 and sum(r.component_id == 0 for r in rows) >= 0.99 * len(rows)
+    assert sum(made) * near_dedup.BRANCHES < 6000
+
+
+def test_worn_down_nodes_lose_no_link(spark, monkeypatch):
+    """With nodes that are large from a few pairs on, the same components as by brute force."""
+    monkeypatch.setattr(near_dedup, "FEW", 200)
+    docs = large_group(spark, 300)
+    assert near_found(near_dedup.near_groups(docs, words=4)) == near_brute(docs.collect(), 4)
 
 
 def test_decisions_hold_when_a_later_scan_is_split_otherwise(spark, small, monkeypatch):

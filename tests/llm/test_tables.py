@@ -9,9 +9,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from emberframe.llm import curriculum, nearest, packing, token_frames
+from emberframe.llm import curriculum, nearest, packing, token_frames, tokens
 from emberframe.session import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,7 +22,6 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def encoded(docs):
     plain = Tokenizer.from_file(VOCABULARY)
-    plain.encode_special_tokens = True
     return [(r.doc_id, np.array(plain.encode(r.text or "", add_special_tokens=False).ids, dtype="<u4")) for r in docs.select("doc_id", "text").collect()]
 
 
@@ -37,25 +38,86 @@ def test_frames_round_trip(spark, docs, no_docs, encoded):
     assert token_frames.token_frames(spark, no_docs, VOCABULARY).collect() == []
 
 
-def test_every_id_is_packed_once(docs, no_docs, encoded):
-    rows = packing.pack(docs, VOCABULARY).collect()
+    some = {2, 7, 18, None}
+    manifest = token_frames.write_frames(docs, VOCABULARY, shard_bytes=2000)
+    assert manifest.count() > 4
+    read = token_frames.read_documents(manifest, [2, 7, 18, None, 10**9]).collect()
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in read) == sorted((str(i), np.append(x, 2).astype("<u4").tobytes()) for i, x in encoded if i in some)
+    assert token_frames.read_documents(manifest, []).collect() == []
+
+
+BITS = ["a", "B", "word", "'s", " 's", "'", "1", "23", ".", ", ", ") ", "!?", " ", "  ", "\n", "\n\n", "\r\n", "\t", " \n", "\n ", "\u00a0", "\u3000", "é", "中文", "<|endoftext|>", "😀", "_", "-", "x.", "y,\n", "#", "...", "the ", "\x1c", "\x85"]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(BITS), max_size=14).map("".join), max_size=40))
+def test_encoder_agrees_with_the_library(texts):
+    """Also a special token's string is the id that the untouched library gives it."""
+    plain = Tokenizer.from_file(VOCABULARY)
+    found = [np.frombuffer(x, dtype="<u4").tolist() for x in tokens.encoder(VOCABULARY).encode(pa.array([*texts, None, "hello <|endoftext|> world"], pa.string()))]
+    assert found == [plain.encode(t, add_special_tokens=False).ids for t in [*texts, "", "hello <|endoftext|> world"]]
+
+
+def test_encoder_begins_anew_and_takes_other_vocabularies(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 3)
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 20)
+    texts = [f"Word{i} and, word{i % 3}\nnext line {i}" for i in range(60)] + ["x" * 5000]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        found = [np.frombuffer(x, dtype="<u4").tolist() for x in tokens.Encoder(path).encode(pa.array(texts))]
+        assert found == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def check_packed(rows, encoded, window=1024):
     sequences = defaultdict(list)
     for r in rows:
         sequences[r.sequence_id].append((r.offset, r.length))
     for own in sequences.values():
         at = 0
         for offset, length in sorted(own):
-            assert offset == at
+            assert offset == at and length > 0
             at += length
-        assert at <= 1024
+        assert at <= window
     assert sum(r.length for r in rows) == sum(len(x) + 1 for _, x in encoded)
     whole = {i: np.append(x, 0).astype("<u4") for i, x in encoded if i is not None and i != 10}
+    pieces = defaultdict(list)
     for r in rows:
         if r.doc_id in whole:
+            pieces[r.doc_id].append((r.start, r.length))
             assert r.doc_tokens == len(whole[r.doc_id]) and zlib.crc32(whole[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    for i, own in pieces.items():
+        own.sort()
+        assert [s for s, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()] and sum(n for _, n in own) == len(whole[i])
+    return len(sequences)
+
+
+def test_every_id_is_packed_once(docs, no_docs, encoded):
+    ids = sum(len(x) + 1 for _, x in encoded)
+    assert check_packed(packing.pack(docs.coalesce(1), VOCABULARY).collect(), encoded) == -(-ids // 1024)  # only the last one isn't full
+    check_packed(packing.pack(docs, VOCABULARY, block=2).collect(), encoded)
+    check_packed(packing.pack(docs, VOCABULARY, cut=False).collect(), encoded)
     assert packing.pack(no_docs, VOCABULARY).collect() == []
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=60), st.booleans())
+def test_windows_hold_everything_once(sizes, cut):
+    windows = packing.pack_sizes(sizes, 100, cut)
+    assert all(sum(n for _, _, n in w) <= 100 for w in windows)
+    for i, size in enumerate(sizes):
+        own = sorted((s, n) for w in windows for j, s, n in w if j == i)
+        assert [s for s, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) == size
+        assert cut or len(own) == 1
+    if cut:
+        assert len(windows) == max(1, -(-sum(sizes) // 100)) or not sizes
+
+
+def test_the_window_count_rises_where_nothing_may_be_cut():
+    assert len(packing.pack_sizes([60, 60, 60], 100)) == 3  # two windows would have room in sum
+    assert len(packing.pack_sizes([60, 60, 60], 100, cut=True)) == 2
+    assert sorted(sum(n for _, _, n in w) for w in packing.pack_sizes([8, 7, 6, 5, 4], 17)) in ([13, 17], [14, 16], [15, 15])
+
+
 def test_mix_keeps_to_its_targets(docs, no_docs):
     rows = curriculum.ordered_plan(docs).collect()
     assert len(rows) == docs.count()
@@ -65,12 +127,12 @@ def test_mix_keeps_to_its_targets(docs, no_docs):
 
 
 def test_nearest_recall(spark):
-    given = table(spark, "/root/testdata/sf0.01", "embeddings")
-    rows = given.select("vec_id", "embedding").collect()
+    vectors = table(spark, "/root/testdata/sf0.01", "embeddings")
+    rows = vectors.select("vec_id", "embedding").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     found = defaultdict(dict)
-    for r in nearest.nearest(given).collect():
+    for r in nearest.nearest(vectors).collect():
         found[r.query_id][r.vec_id] = r.score
     hits = total = 0
     for i in np.flatnonzero(ids % 50 == 0):
