@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     held = context.getCheckpointDir()
     if held is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that all executors share")
         held = "file://" + tempfile.mkdtemp(prefix="emberframe-")
         context.setCheckpointDir(held)
     return held.rstrip("/")
@@ -28,19 +30,20 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, so that lost executors cost no recomputation of its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Like cut, as a compressed Parquet table: for wide or large rows."""
+    """df computed once as a Parquet table in the shared folder, so that lost executors cost no recomputation of its lineage."""
     path = work_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut. A table that is read again has the size of its files; a checkpoint keeps the estimate of the plan that
+    made it, which multiplies with every join of a loop until planning takes longer than the work.
+    """
+    return stored(df, "cut")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The number of partitions that the session gives a shuffle; a cluster sets it to the size of its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
