@@ -9,7 +9,7 @@ sets, made from the whole texts of just those pairs.
 
 A large group of near copies would fill every node of a tree, so large root nodes are worn down before any branching: in
 each round every node draws a member as leader, each member of another component is compared with the likeliest of its
-nodes' leaders, and links that are confirmed join components. Only pairs of different components are news. A node has as many of them as its
+nodes' leaders, and links that are confirmed join components. A node takes part as long as its leaders find any. Only pairs of different components are news. A node has as many of them as its
 members outside the main component have partners, and becomes a leaf when these are few, however many members it has.
 Leaves are compared in blocks, outsiders against all. The recall above holds for pairs that only the trees join; a pair
 that leaders or others have joined is in one component already. Nodes that branching doesn't part are compared
@@ -50,8 +50,8 @@ FEW = 1 << 20  #: pairs of members of different components in a node that is com
 LEADER_PAIRS = 64  #: pairs of a leader that one task confirms, about
 DEPTH = 8
 BLOCK = 2048  #: members that are compared at once
-LEADER_ROUNDS = 10  #: at most; they end when LEADER_MISSES rounds in a row link hardly anything
-LEADER_MISSES = 2
+LEADER_ROUNDS = 8  #: at most
+LEADER_SHARE = 0.05  #: of a node's members outside its main component that a leader must be like for a further round there
 EDGES_IN_TASK = 1_000_000
 FILTER_CELLS = 1 << 20  #: rows of the broadcast filter of ids, whatever the corpus
 
@@ -236,7 +236,8 @@ def components(edges: DataFrame, in_task: int = EDGES_IN_TASK) -> DataFrame:
     """
     edges = edges.where("a <> b").select("a", "b")
     tasks = max(1, -(-edges.count() // in_task))
-    stars = cut(edges.repartition(tasks, "a").mapInArrow(_joined, "a long, b long"))
+    # one task is asked for as such: a number of partitions by a key may be raised by the session
+    stars = cut((edges.coalesce(1) if tasks == 1 else edges.repartition(tasks, "a")).mapInArrow(_joined, "a long, b long"))
     if tasks == 1:
         return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
     both = cut(stars.union(stars.select("b", "a")).distinct())
@@ -303,25 +304,23 @@ def _labels(given: DataFrame, classes: DataFrame, words: int, similarity: tuple[
         total = stats.agg(F.sum("size")).first()[0] or 0
         return join_groups(members.drop("above"), stats, "node", "size", total).where("pairs > 0")
 
-    def likely_pairs(pairs: DataFrame) -> DataFrame:
-        """Of the pairs whose signatures agree enough the likeliest one of each b."""
+    def agreeing(asked: DataFrame) -> DataFrame:
+        """Of asked (node, size, outside, a, b) those whose signatures agree enough, with alike: how many tokens are equal."""
         one, two = (signatures.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "marks", "sketch"))) for x in "ab")
-        leaders = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("led")).join(one, "a")
-        both = join_groups(pairs, leaders, "a", "led", pairs.count()).drop("led").join(two, "b")
-        agreeing = both.mapInArrow(partial(_agreeing, similarity=similarity), "a long, b long, alike int")
-        return cut(agreeing.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b"))
+        leaders = asked.groupBy("a").agg(F.count(F.lit(1)).alias("led")).join(one, "a")
+        both = join_groups(asked, leaders, "a", "led", asked.count()).drop("led").join(two, "b")
+        return cut(both.mapInArrow(partial(_agreeing, similarity=similarity), "node long, size long, outside long, a long, b long, alike int"))
 
-    def link(pairs: DataFrame) -> float:
-        """Confirms pairs and joins components; the share of pairs that were confirmed."""
+    def likeliest(pairs: DataFrame) -> DataFrame:
+        """One pair of each b."""
+        return cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b"))
+
+    def link(pairs: DataFrame) -> None:
+        """Confirms pairs and joins components."""
         nonlocal edges, labels
-        if not (asked := pairs.count()):
-            return 0.0
-        new = cut(confirmed(pairs, given, signatures, words, similarity))
-        if not (there := new.count()):
-            return 0.0
-        edges = edges.union(new)
-        labels = cut(components(edges))
-        return there / asked
+        if not pairs.isEmpty():
+            edges = edges.union(cut(confirmed(pairs, given, signatures, words, similarity)))
+            labels = cut(components(edges))
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs of components that aren't joined yet, with these."""
@@ -331,16 +330,20 @@ def _labels(given: DataFrame, classes: DataFrame, words: int, similarity: tuple[
 
     # each class with the first one that it shares the most nodes with
     most = nodes.where("id <> first").groupBy("id", "first").count().groupBy("id").agg(F.max_by("first", F.struct("count", F.bitwise_not("first"))).alias("first"))
-    link(likely_pairs(cut(most.select(F.col("first").alias("a"), F.col("id").alias("b")))))
-    level, misses = nodes.select("id", "node", F.lit(None).cast("long").alias("above")), 0
+    zero = [F.lit(0).cast("long").alias(c) for c in ("node", "size", "outside")]
+    link(likeliest(agreeing(cut(most.select(*zero, F.col("first").alias("a"), F.col("id").alias("b"))))))
+    level = nodes.select("id", "node", F.lit(None).cast("long").alias("above"))
+    large = level
     for turn in range(LEADER_ROUNDS):
-        large = with_stats(with_labels(level), turn).where(F.col("pairs") > FEW)
-        pairs = cut(large.where("leader.component <> component").select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct())
-        if pairs.isEmpty():
-            break
-        misses = 0 if link(likely_pairs(pairs)) >= 0.02 else misses + 1
-        if misses == LEADER_MISSES:
+        members = cut(with_stats(with_labels(large), turn).where(F.col("pairs") > FEW))
+        asked = cut(members.where("leader.component <> component").select("node", "size", (F.col("size") - F.col("most")).alias("outside"), F.col("leader.id").alias("a"), F.col("id").alias("b")))
+        if asked.isEmpty():
             break
+        pairs = agreeing(asked)
+        link(likeliest(pairs))
+        # where a leader is like hardly any of the others, members are unlike, which branching parts
+        alike = asked.groupBy("node").agg(F.first("size").alias("size"), F.first("outside").alias("outside")).join(pairs.groupBy("node").agg(F.count(F.lit(1)).alias("alike")), "node", "left")
+        large = join_groups(members.select("id", "node"), alike, "node", "size", members.count()).where(F.col("alike") >= LEADER_SHARE * F.col("outside")).select("id", "node", F.lit(None).cast("long").alias("above"))
     for depth in range(DEPTH + 1):
         # a node that kept more than half of the one above holds members too alike for branching to part them
         leaf = (F.col("pairs") <= FEW) | F.coalesce(2 * F.col("size") > F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
@@ -362,7 +365,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) ->
         (n, p, u), (m, q, v) = _columns(batch, "_a"), _columns(batch, "_b")
         alike = (p == q).sum(axis=1)
         fine = may_link(n, m, np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64), similarity) & (alike >= MATCHES)
-        yield batch.select(["a", "b"]).append_column("alike", pa.array(alike, pa.int32())).filter(pa.array(fine))
+        yield batch.select(["node", "size", "outside", "a", "b"]).append_column("alike", pa.array(alike, pa.int32())).filter(pa.array(fine))
 
 
 ORACLE_SQL = r"""
