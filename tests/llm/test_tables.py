@@ -154,3 +154,17 @@ def test_nearest_recall_with_many_more_lists_than_probes(spark):
     cosine[np.arange(200), np.arange(0, len(x), 200)] = -2
     hits = sum(len(set(np.argsort(-c)[:5].tolist()) & found[200 * i]) for i, c in enumerate(cosine))
     assert hits >= 0.9 * 1000
+
+
+def test_nearest_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (50, [0.0, 1.0]), (3, [1.0, 1.0]), (2, [2.0, 2.0]), (1, [-1.0, 0.0]), (7, None), (8, [0.0, 0.0]), (9, [nan, 1.0]), (10, [inf, 1.0]), (11, [None, 1.0]), (12, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (13, [1e39, 1.2e39]), (13, [0.0, -1.0])]
+    frame = spark.createDataFrame([(i, v, "clash", 7) for i, v in rows], "vec_id long, embedding array<double>, query string, list int")
+    found = defaultdict(list)
+    for r in sorted(nearest.nearest(frame).collect(), key=lambda r: (r.query_id, r.rank)):
+        found[r.query_id].append((r.vec_id, round(r.score, 9)))
+    half = round(0.5**0.5, 9)
+    assert found[0] == [(2, half), (3, half), (13, 0.640184400), (13, 0.0), (50, 0.0)]
+    assert found[50][:3] == [(13, 0.76822128), (2, half), (3, half)] and len(found) == 2
+    assert nearest.nearest(frame.limit(0)).collect() == nearest.nearest(frame.where("vec_id IN (7, 8)")).collect() == []
+    assert nearest.nearest(frame.where("vec_id = 0")).collect() == []
