@@ -9,9 +9,9 @@ import pytest
 
 from emberframe import catalogue
 from emberframe.operators import events, positions
-from emberframe.plans import incidents
+from emberframe.plans import incidents, workspace
 
-QUERIES, SQL = catalogue.queries() | incidents.queries(), catalogue.oracle_sql() | incidents.oracle_sql()
+QUERIES, SQL = catalogue.queries() | incidents.queries() | workspace.queries(), catalogue.oracle_sql() | incidents.oracle_sql() | workspace.oracle_sql()
 
 
 def plain(rows):
