@@ -15,7 +15,7 @@ Leaves are compared in blocks, outsiders against all. The recall above holds for
 that leaders or others have joined is in one component already. Nodes that branching doesn't part are compared
 exhaustively all the same, which is quadratic in the members outside their main component.
 
-Of the pairs found, one for each pair of components is confirmed first, then those of components that are still apart.
+Of the pairs found, the likeliest of each class is confirmed first, then those of components that are still apart.
 
 Defined results. Null texts and texts without words have an empty set, are linked with nothing and kept. A text with
 fewer words than a shingle has is one shingle. Rows with the same doc_id are linked by their sets like any others, and
@@ -46,7 +46,7 @@ SIGNATURE = 64  #: minwise tokens of a set
 MATCHES = 30  #: equal tokens of a pair that is confirmed; at the threshold fewer come about once in 10^9
 TREES, BRANCHES = 3, 4
 SKETCH = 1024  #: bits that tell pairs below the similarity apart from others without losing any
-FEW = 1 << 20  #: pairs of members of different components in a node that is compared exhaustively; that costs less than moving it once more
+FEW = 1 << 21  #: pairs of members of different components in a node that is compared exhaustively; that costs less than moving it once more
 LEADER_PAIRS = 64  #: pairs of a leader that one task confirms, about
 DEPTH = 8
 BLOCK = 2048  #: members that are compared at once
@@ -125,22 +125,23 @@ def _compare(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
     n, marks, sketches = _columns(table)
     left, right = np.flatnonzero((side == 0) | (side == 2) & outside), np.flatnonzero(side != 0)  # 2: on both sides
     of_right = np.ascontiguousarray(marks[right].T)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b, equal = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
     for at in range(0, len(left), 64):
         rows = left[at : at + 64]
         alike = np.zeros((len(rows), len(right)), dtype=np.uint8)
         for place in range(SIGNATURE):
             alike += marks[rows, place][:, None] == of_right[place]
         x, y = np.nonzero((alike >= MATCHES) & (component[rows][:, None] != component[right]))
-        x, y = rows[x], right[y]
+        same, x, y = alike[x, y], rows[x], right[y]
         once = ~outside[y] | (ids[x] < ids[y])  # two outsiders meet twice
-        x, y = x[once], y[once]
+        same, x, y = same[once], x[once], y[once]
         for part in range(0, len(x), 65536):
             p, q = x[part : part + 65536], y[part : part + 65536]
             fine = may_link(n[p], n[q], np.bitwise_count(sketches[p] ^ sketches[q]).sum(axis=1, dtype=np.int64), similarity)
             a.append(ids[p[fine]])
             b.append(ids[q[fine]])
-    return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+            equal.append(same[part : part + 65536][fine])
+    return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64()), "alike": pa.array(np.concatenate(equal), pa.int32())})
 
 
 def node_stats(members: DataFrame, turn: int = 0) -> DataFrame:
@@ -163,7 +164,7 @@ def node_pairs(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     left = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: meet(x, j, 0))
     meets = F.when((blocks == 1) & (outer == 1), F.array(meet(F.lit(0), F.lit(0), 2))).when(outside, F.concat(right, left)).otherwise(right)
     dealt = members.withColumn("meet", F.explode(meets)).select("node", "meet.x", "meet.y", "meet.side", "id", "component", outside.alias("outside"), "n", "marks", "sketch")
-    return dealt.groupBy("node", "x", "y").applyInArrow(lambda table: _compare(table, similarity), "a long, b long").distinct()
+    return dealt.groupBy("node", "x", "y").applyInArrow(lambda table: _compare(table, similarity), "a long, b long, alike int").distinct()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
@@ -286,12 +287,12 @@ def _labels(given: DataFrame, classes: DataFrame, words: int, similarity: tuple[
     """(id, component) of the classes that are linked with another."""
     spark = given.sparkSession
     root = roots(classes)
-    shared = root.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1")
+    shared = root.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     every = classes.count() * TREES * BRANCHES
-    nodes = cut(join_groups(root, shared, "node", "size", every).select("id", "node", "first"))
+    nodes = cut(join_groups(root, shared, "node", "size", every).select("id", "node"))
     signatures = cut(classes.drop("print", "copies").join(nodes.select("id").distinct(), "id"))
     edges, labels = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
-    found = edges
+    found = spark.createDataFrame([], "a long, b long, alike int")
     if nodes.isEmpty():
         return labels
 
@@ -320,7 +321,7 @@ def _labels(given: DataFrame, classes: DataFrame, words: int, similarity: tuple[
         nonlocal edges, labels
         if not pairs.isEmpty():
             edges = edges.union(cut(confirmed(pairs, given, signatures, words, similarity)))
-            labels = cut(components(edges))
+            labels = components(edges)
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs of components that aren't joined yet, with these."""
@@ -328,15 +329,11 @@ def _labels(given: DataFrame, classes: DataFrame, words: int, similarity: tuple[
         both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("p"), F.coalesce("of_b", "b").alias("q"))
         return both.where("p <> q")
 
-    # each class with the first one that it shares the most nodes with
-    most = nodes.where("id <> first").groupBy("id", "first").count().groupBy("id").agg(F.max_by("first", F.struct("count", F.bitwise_not("first"))).alias("first"))
-    zero = [F.lit(0).cast("long").alias(c) for c in ("node", "size", "outside")]
-    link(likeliest(agreeing(cut(most.select(*zero, F.col("first").alias("a"), F.col("id").alias("b"))))))
     level = nodes.select("id", "node", F.lit(None).cast("long").alias("above"))
     large = level
     for turn in range(LEADER_ROUNDS):
         members = cut(with_stats(with_labels(large), turn).where(F.col("pairs") > FEW))
-        asked = cut(members.where("leader.component <> component").select("node", "size", (F.col("size") - F.col("most")).alias("outside"), F.col("leader.id").alias("a"), F.col("id").alias("b")))
+        asked = members.where("leader.component <> component").select("node", "size", (F.col("size") - F.col("most")).alias("outside"), F.col("leader.id").alias("a"), F.col("id").alias("b"))
         if asked.isEmpty():
             break
         pairs = agreeing(asked)
@@ -354,8 +351,7 @@ def _labels(given: DataFrame, classes: DataFrame, words: int, similarity: tuple[
             break
         level = branches(rest.join(signatures.select("id", "signature"), "id"), depth)
     found = cut(found.distinct())
-    one = apart(found).groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("pair"))
-    link(cut(one.select("pair.a", "pair.b")))
+    link(likeliest(found))
     link(cut(apart(found).select("a", "b")))
     return labels
 
