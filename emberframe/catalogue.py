@@ -55,13 +55,14 @@ def upsert_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_day_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.day_islands(detections(spark, sf_dir).where("frp > 90"), 5)
+    return events.day_islands(detections(spark, sf_dir), 5)
 
 
 def coverage_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of a range that a source hasn't seen a unit's cell on, for every source and unit."""
     seen = detections(spark, sf_dir)
     days = spark.sql("SELECT explode(sequence(DATE'2023-12-25', DATE'2024-02-05')) AS acq_date")
-    return events.missing_days(seen.where("unit = 3"), seen.select("source").distinct().crossJoin(F.broadcast(days)))  # 43 days
+    return events.missing_days(seen, seen.select("source", "unit").distinct().crossJoin(F.broadcast(days)), ["source", "unit", "acq_date"])  # 43 days
 
 
 def space_time_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overpass_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.passes(detections(spark, sf_dir).where("frp > 60"))
+    return events.passes(detections(spark, sf_dir))
 
 
 def latest_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +96,8 @@ def position_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clear_pass_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half-hourly passes without a strong detection within 1800 s, joined by half-hour bins."""
-    hits = detections(spark, sf_dir).where("frp > 60").select("acq_ts", F.explode(F.array(*[F.floor(F.col("acq_ts") / 1800) + i for i in (-1, 0, 1)])).alias("bin"))
+    """Half-hourly passes without a detection within 1800 s, joined by half-hour bins."""
+    hits = detections(spark, sf_dir).select("acq_ts", F.explode(F.array(*[F.floor(F.col("acq_ts") / 1800) + i for i in (-1, 0, 1)])).alias("bin"))
     times = spark.range(1_704_067_200, 1_706_659_200, 1800).select(F.col("id").alias("pass_ts"), F.floor(F.col("id") / 1800).alias("bin"))
     return times.join(hits, (times["bin"] == hits["bin"]) & (F.abs(times["pass_ts"] - hits["acq_ts"]) <= 1800), "left_anti").select("pass_ts")
 
@@ -118,15 +119,18 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def industrial_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per half-degree cell: detections, distinct days, span, upper median of frp, quartile range from four on, day to night ratio."""
-    cell = [F.floor(F.col(c) * 2).cast("long") for c in ("latitude", "longitude")]
+    cell = [F.floor(F.col(c) * 2).cast("long").alias(n) for c, n in (("latitude", "cell_y"), ("longitude", "cell_x"))]
+    seen = detections(spark, sf_dir).select("*", *cell)
     night = F.sum((F.col("daynight") == "N").cast("long"))
-    found = detections(spark, sf_dir).groupBy(cell[0].alias("cell_y"), cell[1].alias("cell_x")).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("acq_date").alias("days"), F.datediff(F.max("acq_date"), F.min("acq_date")).cast("long").alias("span"),
-        F.sort_array(F.collect_list("frp")).alias("frps"), (F.sum((F.col("daynight") == "D").cast("long")) / F.nullif(night, F.lit(0))).alias("day_night"),
+    found = seen.groupBy("cell_y", "cell_x").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("acq_date").alias("days"), F.datediff(F.max("acq_date"), F.min("acq_date")).cast("long").alias("span"), (F.sum((F.col("daynight") == "D").cast("long")) / F.nullif(night, F.lit(0))).alias("day_night"),
     )
-    at = lambda i: F.element_at("frps", (i + 1).cast("int"))
-    middle, spread = at(F.floor(F.col("n") / 2)), F.when(F.col("n") >= 4, at(F.floor(F.col("n") * 3 / 4)) - at(F.floor(F.col("n") / 4)))
-    return found.select("cell_y", "cell_x", "n", "days", "span", "day_night", middle.alias("frp_median"), spread.alias("frp_spread"))
+    # equal values first, so that a cell is as many rows as it has distinct values
+    upto = Window.partitionBy("cell_y", "cell_x").orderBy("frp").rowsBetween(Window.unboundedPreceding, 0)
+    values = seen.groupBy("cell_y", "cell_x", "frp").agg(F.count(F.lit(1)).alias("same")).withColumn("upto", F.sum("same").over(upto)).join(found.select("cell_y", "cell_x", "n"), ["cell_y", "cell_x"])
+    at = lambda place: F.min(F.when(F.col("upto") > F.floor(place), F.col("frp")))
+    quartiles = values.groupBy("cell_y", "cell_x").agg(at(F.col("n") / 2).alias("frp_median"), F.when(F.max("n") >= 4, at(F.col("n") * 3 / 4) - at(F.col("n") / 4)).alias("frp_spread"))
+    return found.join(quartiles, ["cell_y", "cell_x"])
 
 
 def telemetry_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,14 +162,14 @@ def oracle_sql() -> dict[str, str]:
             p AS (SELECT *, CAST(trunc(TRY_CAST(raw AS DOUBLE)) AS INT) AS percent FROM r)
             SELECT id, percent, CASE WHEN raw <> '' THEN CASE WHEN percent < 30 THEN 'low' WHEN percent < 80 THEN 'nominal' WHEN percent IS NOT NULL THEN 'high' WHEN raw[1] = 'l' THEN 'low' WHEN raw[1] = 'h' THEN 'high' ELSE 'nominal' END END AS level FROM p""",
         "upsert_latest_wins": f"{d} SELECT source, unit, acq_date, id, acq_ts, frp FROM d QUALIFY row_number() OVER (PARTITION BY source, unit, acq_date ORDER BY id DESC) = 1",
-        "coverage_day_islands": f"""{d}, g AS (SELECT DISTINCT source, acq_date FROM d WHERE frp > 90), i AS (SELECT *, acq_date - CAST(row_number() OVER (PARTITION BY source ORDER BY acq_date) AS INT) AS island FROM g),
+        "coverage_day_islands": f"""{d}, g AS (SELECT DISTINCT source, acq_date FROM d), i AS (SELECT *, acq_date - CAST(row_number() OVER (PARTITION BY source ORDER BY acq_date) AS INT) AS island FROM g),
             c AS (SELECT *, (row_number() OVER (PARTITION BY source, island ORDER BY acq_date) - 1) // 5 AS chunk FROM i) SELECT source, min(acq_date) AS first_day, max(acq_date) AS last_day, count(*) AS days FROM c GROUP BY source, island, chunk""",
-        "coverage_missing_days": f"{d} SELECT s.source, CAST(g.x AS DATE) AS acq_date FROM (SELECT DISTINCT source FROM d) AS s, generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY) AS g(x) WHERE NOT EXISTS (FROM d WHERE unit = 3 AND d.source = s.source AND d.acq_date = CAST(g.x AS DATE))",
+        "coverage_missing_days": f"{d} SELECT s.source, s.unit, CAST(g.x AS DATE) AS acq_date FROM (SELECT DISTINCT source, unit FROM d) AS s, generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY) AS g(x) WHERE NOT EXISTS (FROM d WHERE d.unit = s.unit AND d.source = s.source AND d.acq_date = CAST(g.x AS DATE))",
         "space_time_pairs": f"WITH RECURSIVE {PAIRS_SQL} SELECT a, b FROM e",
         "event_components": f"WITH RECURSIVE {LABELS_SQL} SELECT id, event FROM l",
         "event_summary": f"""WITH RECURSIVE {LABELS_SQL} SELECT event, count(*) AS n, min(acq_ts) AS first_seen, max(acq_ts) AS last_seen, min(longitude) AS west, max(longitude) AS east, min(latitude) AS south, max(latitude) AS north,
             array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM d JOIN l USING (id) GROUP BY event HAVING count(*) >= 3""",
-        "overpass_passes": f"""{d}, s AS (SELECT *, coalesce(CAST(acq_ts - lag(acq_ts) OVER o > 1800 AS INT), 1) AS starts FROM d WHERE frp > 60 WINDOW o AS (PARTITION BY satellite ORDER BY acq_ts, id)),
+        "overpass_passes": f"""{d}, s AS (SELECT *, coalesce(CAST(acq_ts - lag(acq_ts) OVER o > 1800 AS INT), 1) AS starts FROM d WINDOW o AS (PARTITION BY satellite ORDER BY acq_ts, id)),
             n AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY satellite ORDER BY acq_ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS number FROM s) SELECT satellite, number, min(acq_ts) AS first_ts, max(acq_ts) AS last_ts, count(*) AS n FROM n GROUP BY satellite, number""",
         "latest_positions": f"{d} SELECT unit, id, acq_ts, latitude, longitude FROM d QUALIFY row_number() OVER (PARTITION BY unit ORDER BY acq_ts DESC, id DESC) = 1",
         "track_segments": f"""{d}, s AS (SELECT *, acq_ts - lag(acq_ts) {order} AS apart, lag(latitude) {order} AS lat, lag(longitude) {order} AS lon FROM d),
@@ -176,7 +180,7 @@ def oracle_sql() -> dict[str, str]:
             q AS (SELECT * FROM d WHERE acq_ts >= {AT} QUALIFY row_number() OVER (PARTITION BY unit ORDER BY acq_ts, id) = 1),
             j AS (SELECT unit, q.acq_ts - p.acq_ts AS gap, CASE WHEN q.acq_ts > p.acq_ts THEN ({AT} - p.acq_ts) / CAST(q.acq_ts - p.acq_ts AS DOUBLE) ELSE 0e0 END AS share, p.latitude AS a, q.latitude AS b, p.longitude AS c, q.longitude AS e FROM p JOIN q USING (unit))
             SELECT unit, gap, a + (b - a) * share AS latitude, c + (e - c) * share AS longitude FROM j WHERE gap <= 86400""",
-        "clear_pass_anti_join": f"{d} SELECT g.t AS pass_ts FROM range(1704067200, 1706659200, 1800) AS g(t) WHERE NOT EXISTS (FROM d WHERE frp > 60 AND abs(g.t - acq_ts) <= 1800)",
+        "clear_pass_anti_join": f"{d} SELECT g.t AS pass_ts FROM range(1704067200, 1706659200, 1800) AS g(t) WHERE NOT EXISTS (FROM d WHERE abs(g.t - acq_ts) <= 1800)",
         "circular_mean": f"{d}, m AS (SELECT unit, degrees(atan2(avg(sin(radians(CAST(id * 37 % 360 AS DOUBLE)))), avg(cos(radians(CAST(id * 37 % 360 AS DOUBLE)))))) AS a FROM d GROUP BY unit) SELECT unit, CAST(floor(((a + 360) % 36e1) * 100 + 37e-2) AS BIGINT) AS hundredths FROM m",
         "snapshot_diff": """WITH l AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0), r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 10 <> 1)
             SELECT o_orderkey, CASE WHEN o_orderstatus IS NULL THEN 'added' WHEN s IS NULL THEN 'removed' WHEN s = o_orderstatus THEN 'identical' ELSE 'changed' END AS kind FROM l FULL JOIN r USING (o_orderkey)""",

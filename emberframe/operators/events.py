@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def components(ids: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def summaries(detections: DataFrame, labels: DataFrame, least: int = 1) -> DataFrame:
-    """A row per event of at least so many detections: bounds, time span, centroid, sorted sources."""
+    """A row per event of at least so many detections: bounds, time span, sorted sources."""
     whole = detections.join(labels, "id").groupBy("event").agg(
         F.count(F.lit(1)).alias("n"), F.min("acq_ts").alias("first_seen"), F.max("acq_ts").alias("last_seen"), F.min("longitude").alias("west"), F.max("longitude").alias("east"),
         F.min("latitude").alias("south"), F.max("latitude").alias("north"), F.concat_ws(",", F.array_sort(F.collect_set("source"))).alias("sources"),
@@ -72,6 +73,6 @@ def day_islands(days: DataFrame, most: int) -> DataFrame:
     return placed.withColumn("chunk", F.floor(within / most)).groupBy("source", "island", "chunk").agg(F.min("acq_date").alias("first_day"), F.max("acq_date").alias("last_day"), F.count(F.lit(1)).alias("days")).drop("island", "chunk")
 
 
-def missing_days(seen: DataFrame, spark_days: DataFrame) -> DataFrame:
-    """(source, acq_date) of the wanted days that haven't been seen."""
-    return spark_days.join(seen.select("source", "acq_date").distinct(), ["source", "acq_date"], "left_anti")
+def missing_days(seen: DataFrame, wanted: DataFrame, keys: Sequence[str] = ("source", "acq_date")) -> DataFrame:
+    """Of the wanted keys those that haven't been seen."""
+    return wanted.join(seen.select(*keys).distinct(), list(keys), "left_anti")

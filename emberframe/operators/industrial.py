@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.geo import haversine_km
 
-CELL = 0.1  #: degrees; at the latitudes of use more than a source's reach
+CELL = 0.1  #: degrees of the cells in which detections and sources meet
 # fixed values of the score
 EVIDENCE, PERSISTENCE, STATIONARITY, RADIOMETRIC = 0.30, 0.30, 0.25, 0.15
 PERSISTENT, AMBIGUOUS = 0.75, 0.45
@@ -20,9 +20,14 @@ def cell_of(degrees: Column) -> Column:
 def match_nearest(detections: DataFrame, sources: DataFrame) -> DataFrame:
     """id, source_id, km: the nearest of sources (source_id, lat, lon, radius_km) within its own radius, ties to the smaller source_id.
 
-    A source is met in its own cell and the eight around it, so the join is an equi-join."""
-    around = sources.withColumn("cy", F.explode(F.array(*[cell_of(F.col("lat")) + i for i in (-1, 0, 1)]))).withColumn("cx", F.explode(F.array(*[cell_of(F.col("lon")) + i for i in (-1, 0, 1)])))
-    placed = detections.select("id", "latitude", "longitude", cell_of(F.col("latitude")).alias("cy"), cell_of(F.col("longitude")).alias("cx"))
+    A source is met in as many cells as its radius and latitude need, so the join is an equi-join.
+    """
+    high = F.col("radius_km") / 111.0  # degrees of latitude, a little more than needed
+    wide = F.least(F.lit(180.0), high / F.cos(F.radians(F.least(F.lit(89.9), F.abs("lat") + high))))
+    cells = lambda c, reach: F.explode(F.sequence(cell_of(F.col(c) - reach), cell_of(F.col(c) + reach)))
+    turn = lambda x: F.pmod(x, F.lit(round(360 / CELL)))
+    around = sources.withColumn("cy", cells("lat", high)).withColumn("cx", cells("lon", wide)).withColumn("cx", turn(F.col("cx")))
+    placed = detections.select("id", "latitude", "longitude", cell_of(F.col("latitude")).alias("cy"), turn(cell_of(F.col("longitude"))).alias("cx"))
     met = placed.join(around, ["cy", "cx"]).withColumn("km", haversine_km(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))).where("km <= radius_km")
     return met.groupBy("id").agg(F.min(F.struct("km", "source_id")).alias("m")).select("id", "m.source_id", "m.km")
 

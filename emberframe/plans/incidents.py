@@ -18,6 +18,7 @@ REFERENCE, CUTOFF = 1_706_700_000, 1_704_800_000
 
 
 def units(value: Column, scale: float) -> Column:
+    """Whole units for the comparison. The offset keeps values that are exact in one engine and a last bit less in the other off the edge of a unit."""
     return F.floor(value * scale + 0.37).cast("long")
 
 
@@ -111,7 +112,7 @@ def import_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clear_pass_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    passes = detections(spark, sf_dir).where("frp > 60").select("unit", F.col("acq_ts").alias("pass_ts"))
+    passes = detections(spark, sf_dir).select("unit", F.col("acq_ts").alias("pass_ts"))
     hour = F.col("id")
     clouds = spark.range(1_704_067_200, 1_706_659_200, 10_800).where(F.floor(hour / 10_800) % 5 != 0).select(hour.alias("cloud_ts"), (F.floor(hour / 10_800) * 37 % 101).alias("percent"))
     return incidents.clear_pass_factor(passes, clouds, "unit", REFERENCE, 240.0).select("unit", units(F.col("factor"), 1e9).alias("factor_e9"))
@@ -185,7 +186,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT event, count(*) AS n, min(acq_ts) AS first_seen, max(acq_ts) AS last_seen FROM m SEMI JOIN l USING (event) WHERE acq_ts >= {CUTOFF} GROUP BY event""",
         "import_classification": """WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderstatus AS s FROM orders), l AS (SELECT id, s, id % 3 AS r FROM o WHERE id % 11 <> 0), i AS (SELECT id, CASE WHEN id % 5 = 0 THEN s ELSE 'changed' END AS s, id % 4 AS r FROM o)
             SELECT i.id, CASE WHEN l.id IS NULL THEN 'new' WHEN i.s = l.s THEN 'identical' WHEN i.r > l.r THEN 'incoming_newer' WHEN i.r < l.r THEN 'local_newer' ELSE 'divergent' END AS kind FROM i LEFT JOIN l USING (id)""",
-        "clear_pass_suppression": f"""{d}, p AS (SELECT DISTINCT unit, acq_ts FROM d WHERE frp > 60), c AS (SELECT g.t AS t, (g.t // 10800) * 37 % 101 AS percent FROM range(1704067200, 1706659200, 10800) AS g(t) WHERE (g.t // 10800) % 5 <> 0),
+        "clear_pass_suppression": f"""{d}, p AS (SELECT DISTINCT unit, acq_ts FROM d), c AS (SELECT g.t AS t, (g.t // 10800) * 37 % 101 AS percent FROM range(1704067200, 1706659200, 10800) AS g(t) WHERE (g.t // 10800) % 5 <> 0),
             j AS (SELECT unit, acq_ts, percent FROM p LEFT JOIN c ON abs(t - acq_ts) <= 7200 QUALIFY row_number() OVER (PARTITION BY unit, acq_ts ORDER BY abs(t - acq_ts), t) = 1),
             f AS (SELECT unit, greatest(5e-2, 1 - max(6e-1 * exp(-greatest(0e0, ({REFERENCE} - acq_ts) / 36e2) / 24e1) * coalesce(greatest(3e-1, 1 - percent / 1e2), 1e0))) AS x FROM j GROUP BY unit) SELECT unit, {_units('x', '1e9')} AS factor_e9 FROM f""",
         "burn_severity_classes": f"{d}, b AS (SELECT {ratio(band(7), band(5))} - CASE WHEN id % 13 <> 0 THEN {ratio(band(6), band(4))} END AS x FROM d) SELECT CASE WHEN x IS NULL THEN -1 WHEN x < 1e-1 THEN 0 WHEN x < 27e-2 THEN 1 WHEN x < 66e-2 THEN 2 ELSE 3 END AS severity, count(*) AS n FROM b GROUP BY 1",

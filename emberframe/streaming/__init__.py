@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Structured Streaming pipelines."""

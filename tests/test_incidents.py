@@ -18,3 +18,9 @@ def test_equally_near_sources_and_the_edge_of_a_cell(spark):
     seen = spark.createDataFrame([(1, 1, 0, 40.0, 10.0, "a"), (2, 1, 0, 45.0, 10.0, "a")], SEEN)
     known = spark.createDataFrame([(7, 39.999, 10.0, 2.0), (3, 39.999, 10.0, 2.0)], "source_id long, lat double, lon double, radius_km double")
     assert [(r.id, r.source_id) for r in industrial.match_nearest(seen, known).collect()] == [(1, 3)]
+
+
+def test_a_wide_radius_in_the_north_and_across_the_antimeridian(spark):
+    seen = spark.createDataFrame([(1, 1, 0, 75.0, 10.6, "a"), (2, 1, 0, 40.0, -179.95, "a"), (3, 1, 0, 40.25, 10.0, "a")], SEEN)
+    known = spark.createDataFrame([(7, 75.0, 10.0, 20.0), (8, 40.0, 179.98, 8.0), (9, 40.0, 10.0, 30.0)], "source_id long, lat double, lon double, radius_km double")
+    assert sorted((r.id, r.source_id) for r in industrial.match_nearest(seen, known).collect()) == [(1, 7), (2, 8), (3, 9)]
