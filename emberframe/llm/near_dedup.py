@@ -99,11 +99,16 @@ def roots(classes: DataFrame) -> DataFrame:
     return classes.select("id", F.explode(nodes).alias("node"))
 
 
+def by_class(members: DataFrame) -> DataFrame:
+    """id, nodes: the nodes of each class, at most TREES * BRANCHES of them."""
+    return members.groupBy("id").agg(F.collect_list("node").alias("nodes"))
+
+
 def branches(members: DataFrame, depth: int) -> DataFrame:
-    """The children of nodes: members (id, node, size, signature) branch on places that the node's own hash chooses."""
+    """The children of nodes: members (id, node, component, size, signature) branch on places that the node's own hash chooses."""
     choices = [F.pmod(F.xxhash64("node", F.lit(depth), F.lit(i)), F.lit(SIGNATURE)).cast("int") for i in range(BRANCHES)]
     children = F.array(*[F.xxhash64("node", F.lit(i), c, token(c)) for i, c in enumerate(choices)])
-    return members.select("id", F.explode(children).alias("node"), F.col("size").alias("above"))
+    return members.select("id", F.explode(children).alias("node"), "component", F.col("size").alias("above"))
 
 
 def _columns(table: pa.Table | pa.RecordBatch, of: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,21 +294,22 @@ def _labels(given: DataFrame, classes: DataFrame, words: int, similarity: tuple[
     root = roots(classes)
     shared = root.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     every = classes.count() * TREES * BRANCHES
-    nodes = cut(join_groups(root, shared, "node", "size", every).select("id", "node"))
-    signatures = cut(classes.drop("print", "copies").join(nodes.select("id").distinct(), "id"))
+    in_nodes = cut(by_class(join_groups(root, shared, "node", "size", every)))
+    signatures = cut(classes.drop("print", "copies").join(in_nodes.select("id"), "id"))
     edges, labels = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
     found = spark.createDataFrame([], "a long, b long, alike int")
-    if nodes.isEmpty():
+    if in_nodes.isEmpty():
         return labels
 
-    def with_labels(members: DataFrame) -> DataFrame:
-        return members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def members_of(in_nodes: DataFrame) -> DataFrame:
+        """Members (id, node, component, above) of in_nodes (id, nodes). A class is labelled once, not in each of its nodes."""
+        labelled = cut(in_nodes.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "nodes"))
+        return labelled.select("id", F.explode("nodes").alias("node"), "component", F.lit(None).cast("long").alias("above"))
 
-    def with_stats(members: DataFrame, turn: int = 0) -> DataFrame:
-        """Members of nodes of more than one component, with what node_stats tells."""
-        stats = cut(node_stats(members, turn))
+    def with_stats(members: DataFrame, stats: DataFrame) -> DataFrame:
+        """Members of the nodes that stats has, with what it tells of them."""
         total = stats.agg(F.sum("size")).first()[0] or 0
-        return join_groups(members.drop("above"), stats, "node", "size", total).where("pairs > 0")
+        return join_groups(members.drop("above"), stats, "node", "size", total)
 
     def agreeing(asked: DataFrame) -> DataFrame:
         """Of asked (node, size, outside, a, b) those whose signatures agree enough, with alike: how many tokens are equal."""
@@ -329,27 +335,33 @@ def _labels(given: DataFrame, classes: DataFrame, words: int, similarity: tuple[
         both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("p"), F.coalesce("of_b", "b").alias("q"))
         return both.where("p <> q")
 
-    level = nodes.select("id", "node", F.lit(None).cast("long").alias("above"))
-    large = level
+    large, level, stats = in_nodes, members_of(in_nodes), None
     for turn in range(LEADER_ROUNDS):
-        members = cut(with_stats(with_labels(large), turn).where(F.col("pairs") > FEW))
-        asked = members.where("leader.component <> component").select("node", "size", (F.col("size") - F.col("most")).alias("outside"), F.col("leader.id").alias("a"), F.col("id").alias("b"))
-        if asked.isEmpty():
+        members = level if turn == 0 else members_of(large)
+        told = cut(node_stats(members, turn))
+        wide = told.where(F.col("pairs") > FEW)
+        if wide.isEmpty():
+            stats = told if turn == 0 else None  # nothing is joined yet, so they hold for the first level too
             break
+        members = cut(with_stats(members, wide))
+        asked = members.where("leader.component <> component").select("node", "size", (F.col("size") - F.col("most")).alias("outside"), F.col("leader.id").alias("a"), F.col("id").alias("b"))
         pairs = agreeing(asked)
         link(likeliest(pairs))
         # where a leader is like hardly any of the others, members are unlike, which branching parts
         alike = asked.groupBy("node").agg(F.first("size").alias("size"), F.first("outside").alias("outside")).join(pairs.groupBy("node").agg(F.count(F.lit(1)).alias("alike")), "node", "left")
-        large = join_groups(members.select("id", "node"), alike, "node", "size", members.count()).where(F.col("alike") >= LEADER_SHARE * F.col("outside")).select("id", "node", F.lit(None).cast("long").alias("above"))
+        large = by_class(join_groups(members.select("id", "node"), alike, "node", "size", members.count()).where(F.col("alike") >= LEADER_SHARE * F.col("outside")))
+    if stats is None:
+        level = members_of(in_nodes)
     for depth in range(DEPTH + 1):
+        stats = cut(node_stats(level)) if stats is None else stats
         # a node that kept more than half of the one above holds members too alike for branching to part them
         leaf = (F.col("pairs") <= FEW) | F.coalesce(2 * F.col("size") > F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
-        members = cut(with_stats(with_labels(level)).withColumn("leaf", leaf).drop("leader", "pairs"))
+        members = cut(with_stats(level, stats.where("pairs > 0")).withColumn("leaf", leaf).drop("leader", "pairs"))
         found = found.union(cut(node_pairs(members.where("leaf").join(signatures.select("id", "n", "marks", "sketch"), "id"), similarity)))
         rest = members.where("NOT leaf")
         if rest.isEmpty():
             break
-        level = branches(rest.join(signatures.select("id", "signature"), "id"), depth)
+        level, stats = cut(branches(rest.join(signatures.select("id", "signature"), "id"), depth)), None
     found = cut(found.distinct())
     link(likeliest(found))
     link(cut(apart(found).select("a", "b")))
