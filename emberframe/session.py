@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_held: set[str] = set()  # folders of applications that have been made
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, local mode)."""
@@ -25,16 +28,43 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application below the shared one. It goes when the driver ends."""
+    path = f"{shared_dir(spark)}/emberframe-{spark.sparkContext.applicationId}"
+    if path not in _held:
+        _held.add(path)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has stored so far. Results that haven't been written yet can't be read any more."""
+    path = run_dir(spark)
+    _held.discard(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path of its own below the shared folder. Nothing is created yet."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new path of its own below the application's folder. Nothing is created yet."""
+    return f"{run_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """df computed once as a Parquet table in the shared folder, so that lost executors cost no recomputation of its lineage."""
-    path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df computed once as a Parquet table in the shared folder, so that lost executors cost no recomputation of its lineage. Its shuffle
+    files go as soon as it is written.
+    """
+    spark, path = df.sparkSession, work_dir(df.sparkSession, purpose)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
