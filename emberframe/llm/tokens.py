@@ -42,16 +42,18 @@ def gathered(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
 class Encoder:
     """encode(texts) gives each text's ids."""
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, plain: bool = False) -> None:
+        """plain: special tokens' strings in texts are plain text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.encode_special_tokens = plain
         model = self.tokenizer.model
         if hasattr(model, "_resize_cache"):
             model._resize_cache(0)  # each piece comes once, so remembering it there as well is of no use
             self.tokenizer.model = model
-        self.specials = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = [] if plain else [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         kind = self.tokenizer.pre_tokenizer
         #: whether texts may be cut: bytes as they are, split by the usual pattern, no space put before a text
         self.cuts = isinstance(kind, pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space and self.tokenizer.normalizer is None and self.tokenizer.truncation is None
@@ -209,11 +211,60 @@ class Encoder:
         return gathered(np.concatenate([ids, *whole]), starts, lengths), lengths
 
 
-def encoder(vocabulary: str) -> Encoder:
+class PieceEncoder(Encoder):
+    """Ids of texts by a sentencepiece model that puts a space before each text.
+
+    Where no piece has a space after another character, a text is the sequence of its units, each some spaces and
+    what follows up to the next space; distinct units are encoded once and remembered. Texts of other models are encoded whole.
+    """
+
+    def __init__(self, model: str) -> None:
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=model)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.space = self.model.piece_to_id("▁")
+        self._forget_pieces()
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, dtype=np.uint32) for ids in self.model.encode(texts, num_threads=1)]
+
+    def _new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        units = pieces.to_pylist()
+        found = [ids if unit else np.array([self.space], np.uint32) for unit, ids in zip(units, self._ids(units), strict=True)]
+        lengths = np.array([len(x) for x in found], dtype=np.int64)
+        return np.concatenate(found), np.cumsum(lengths) - lengths, lengths
+
+    def _batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.cuts:
+            found = self._ids(texts.to_pylist())
+            return np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64)
+        odd = pc.match_substring_regex(texts, r"\A |  | \z|▁").to_numpy(zero_copy_only=False)
+        if odd.any():
+            lists = [[unit[1:] for unit in _UNITS.findall(" " + text.replace("▁", " "))] if one else text.split(" ") for text, one in zip(texts.to_pylist(), odd.tolist(), strict=True)]
+            flat, counts = pa.array([u for own in lists for u in own], pa.large_string()), np.array([len(own) for own in lists], dtype=np.int64)
+        else:
+            lists = pc.split_pattern(texts, " ")
+            flat, counts = lists.flatten().cast(pa.large_string()), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        source, begin, size = self._pieces(flat)
+        ids, heads = gathered(source, begin, size), np.cumsum(counts) - counts
+        own = np.add.reduceat(size, heads) if len(size) else np.zeros(0, np.int64)
+        own[pc.equal(texts, "").to_numpy(zero_copy_only=False)] = 0  # the empty text has no space put before it
+        if len(ids) != own.sum():
+            ids = ids[np.repeat(~pc.equal(texts, "").to_numpy(zero_copy_only=False), np.add.reduceat(size, heads))]
+        return ids, own
+
+
+_UNITS = re.compile(r" +[^ ]*")
+
+
+def encoder(vocabulary: str, kind: type[Encoder] = Encoder, **options) -> Encoder:
     """The worker's encoder of this vocabulary."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+    key = f"{kind.__name__} {vocabulary} {options}"
+    if key not in _encoders:
+        _encoders[key] = kind(vocabulary, **options)
+    return _encoders[key]
 
 
 def forget() -> None:
