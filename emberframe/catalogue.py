@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions.geo import in_bbox
-from emberframe.operators import events, positions
+from emberframe.operators import clustering, events, positions
 from emberframe.session import table
 from emberframe.sources.detections import DETECTIONS_SQL, detections, normalise_confidence
 
 SPEED_KMH, HOURS = 2.0, 6.0  #: of the compared pair graph
+SPAN_KM = 4.0  #: of its events
 AT = 1_705_000_000  #: a time within the events table
 RING = "a.id < b.id AND abs(a.acq_ts - b.acq_ts) <= 21600 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= a.r + b.r + 2e0 * (abs(a.acq_ts - b.acq_ts) / 36e2)"
 PAIRS_SQL = f"""{DETECTIONS_SQL}, m AS (SELECT avg(latitude) AS lat FROM d), p AS (
@@ -22,6 +23,16 @@ LABELS_SQL = f"""{PAIRS_SQL}, u AS (SELECT a, b FROM e UNION ALL SELECT b, a FRO
   SELECT id, id AS reached FROM d UNION SELECT w.id, u.b FROM w JOIN u ON w.reached = u.a
 ), l AS (SELECT id, min(reached) AS event FROM w GROUP BY id)"""
 
+BOX_SQL = "min(latitude) OVER w AS y0, max(latitude) OVER w AS y1, min(longitude + 360 * floor((lon0 - longitude + 180) / 360)) OVER w AS x0, max(longitude + 360 * floor((lon0 - longitude + 180) / 360)) OVER w AS x1"
+DIAGONAL_SQL = "2 * 6371e0 * asin(least(1e0, sqrt(pow(sin(radians(y1 - y0) / 2), 2e0) + cos(radians(y0)) * cos(radians(y1)) * pow(sin(radians(x1 - x0) / 2), 2e0))))"
+PIECES_SQL = f"""{LABELS_SQL}, s AS (
+  SELECT d.id, l.event, CAST(1 AS BIGINT) AS path, 0 AS level, latitude, longitude FROM d JOIN l USING (id)
+  UNION ALL
+  SELECT id, event, path * 2 + CAST(CASE WHEN (x1 - x0) * 11132e-2 * cos(radians(lat0)) >= (y1 - y0) * 110574e-3 THEN longitude + 360 * floor((lon0 - longitude + 180) / 360) >= (x0 + x1) / 2 ELSE latitude >= (y0 + y1) / 2 END AS BIGINT), level + 1, latitude, longitude
+  FROM (SELECT *, {BOX_SQL} FROM (SELECT *, avg(latitude) OVER v AS lat0, degrees(atan2(avg(sin(radians(longitude))) OVER v, avg(cos(radians(longitude))) OVER v)) AS lon0 FROM s WINDOW v AS (PARTITION BY event, path)) AS q WINDOW w AS (PARTITION BY event, path)) AS b
+  WHERE level < 20 AND {DIAGONAL_SQL} > {SPAN_KM}
+), f AS (SELECT id, event, arg_max(path, level) AS path FROM s GROUP BY id, event), n AS (SELECT id, min(id) OVER (PARTITION BY event, path) AS event FROM f)"""
+
 
 def daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = detections(spark, sf_dir).where(in_bbox(F.col("latitude"), F.col("longitude"), 10.0, 37.0, 19.0, 43.0) & (F.col("source") != "MODIS_NRT"))
@@ -70,13 +81,26 @@ def space_time_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = detections(spark, sf_dir)
-    return events.components(seen, events.space_time_pairs(seen, SPEED_KMH, HOURS))
+    return clustering.labelled(detections(spark, sf_dir), SPEED_KMH, HOURS)
 
 
 def event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = detections(spark, sf_dir)
-    return events.summaries(seen, events.components(seen, events.space_time_pairs(seen, SPEED_KMH, HOURS)), 3)
+    return events.summaries(seen, clustering.labelled(seen, SPEED_KMH, HOURS), 3)
+
+
+def event_span_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components halved until no piece's box has a diagonal above SPAN_KM; links reach farther than that here."""
+    seen = detections(spark, sf_dir)
+    return clustering.split(seen.select("id", "latitude", "longitude").join(clustering.labelled(seen, SPEED_KMH, HOURS), "id"), SPAN_KM)
+
+
+def event_span_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored of an event: box, centroid, times, sources and whether it is too wide."""
+    seen = detections(spark, sf_dir)
+    told = clustering.described(seen, event_span_bounded(spark, sf_dir), SPAN_KM)
+    # averages and great circles to a fixed place, so that the order of summing doesn't show
+    return told.withColumns({c: F.floor(F.col(c) * 1e6 + 0.37).cast("long") for c in ("centroid_lat", "centroid_lon", "span_km")})
 
 
 def overpass_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +167,7 @@ def telemetry_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         daily_activity, detections_filter_topk, detections_antimeridian_filter, source_stats, confidence_normalised, upsert_latest_wins, coverage_day_islands, coverage_missing_days, space_time_pairs,
-        event_components, event_summary, overpass_passes, latest_positions, track_segments, position_interpolate, clear_pass_anti_join, circular_mean, snapshot_diff, industrial_persistence, telemetry_flags,
+        event_components, event_summary, event_span_bounded, event_span_summary, overpass_passes, latest_positions, track_segments, position_interpolate, clear_pass_anti_join, circular_mean, snapshot_diff, industrial_persistence, telemetry_flags,
     )
     return {f.__name__: f for f in every}
 
@@ -169,6 +193,11 @@ def oracle_sql() -> dict[str, str]:
         "event_components": f"WITH RECURSIVE {LABELS_SQL} SELECT id, event FROM l",
         "event_summary": f"""WITH RECURSIVE {LABELS_SQL} SELECT event, count(*) AS n, min(acq_ts) AS first_seen, max(acq_ts) AS last_seen, min(longitude) AS west, max(longitude) AS east, min(latitude) AS south, max(latitude) AS north,
             array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM d JOIN l USING (id) GROUP BY event HAVING count(*) >= 3""",
+        "event_span_bounded": f"WITH RECURSIVE {PIECES_SQL} SELECT id, event FROM n",
+        "event_span_summary": f"""WITH RECURSIVE {PIECES_SQL}, g AS (SELECT n.event, count(*) AS n, min(acq_ts) AS first_seen, max(acq_ts) AS last_seen, min(longitude) AS west, min(latitude) AS south, max(longitude) AS east, max(latitude) AS north, avg(latitude) AS lat, avg(longitude) AS lon,
+            array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, min(latitude) AS y0, max(latitude) AS y1, min(longitude) AS x0, max(longitude) AS x1 FROM d JOIN n USING (id) GROUP BY n.event HAVING count(*) >= 2)
+            SELECT event, n, first_seen, last_seen, west, south, east, north, CAST(floor(lat * 1e6 + 37e-2) AS BIGINT) AS centroid_lat, CAST(floor(lon * 1e6 + 37e-2) AS BIGINT) AS centroid_lon, sources,
+            CAST(floor({DIAGONAL_SQL} * 1e6 + 37e-2) AS BIGINT) AS span_km, {DIAGONAL_SQL} > {SPAN_KM} AS wide_span FROM g""",
         "overpass_passes": f"""{d}, s AS (SELECT *, coalesce(CAST(acq_ts - lag(acq_ts) OVER o > 1800 AS INT), 1) AS starts FROM d WINDOW o AS (PARTITION BY satellite ORDER BY acq_ts, id)),
             n AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY satellite ORDER BY acq_ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS number FROM s) SELECT satellite, number, min(acq_ts) AS first_ts, max(acq_ts) AS last_ts, count(*) AS n FROM n GROUP BY satellite, number""",
         "latest_positions": f"{d} SELECT unit, id, acq_ts, latitude, longitude FROM d QUALIFY row_number() OVER (PARTITION BY unit ORDER BY acq_ts DESC, id DESC) = 1",
