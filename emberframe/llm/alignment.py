@@ -30,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.rows import row_of
-from emberframe.llm.tokens import PieceEncoder, encoder, gathered
+from emberframe.llm.tokens import Encoder, PieceEncoder, encoder, forget, gathered
 from emberframe.session import cut, shuffle_partitions, stored
 
 SPAN = 1 << 18  #: bytes of a document whose events travel in one row
 SLICE_BYTES = 2_000_000  #: of texts that are encoded together
 SLICE_ROWS = 256  #: event rows that are swept together, at most
-BLOCK_TOKENS = 1 << 18  #: tokens of a block of documents, about; a longer document is a block of its own
-LINKS = 1 << 20  #: links that are listed at once; a larger group is counted by distinct ids
+MEMO = 400_000  #: pieces that a worker remembers of either vocabulary
+BLOCK_TOKENS = 1 << 20  #: tokens of a block of documents, about; a longer document is a block of its own
+LINKS = 1 << 19  #: links that are listed at once; a larger group is counted by distinct ids
 SHIFT = 32  #: an id pair is a << SHIFT | b
 
 EVENTS = "row long, span long, side int, doc_id long, start long, ids binary"
@@ -45,12 +46,16 @@ BLOCKS = "block long, docs binary, a binary, b binary, a_ends binary, b_ends bin
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
+def _encoders(a: str, b: str) -> tuple[Encoder, PieceEncoder]:
+    return encoder(a, plain=True, memo=MEMO), encoder(b, PieceEncoder, memo=MEMO)
+
+
 def byte_tables(a: str, b: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For A and B: (bytes of all tokens, start of each, length of each)."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that byte-level vocabularies write as themselves
     hidden = [x for x in range(256) if x not in visible]
     plain = {chr(x): x for x in visible} | {chr(256 + i): x for i, x in enumerate(hidden)}
-    of_a, of_b = encoder(a, plain=True).tokenizer, encoder(b, PieceEncoder).model
+    of_a, of_b = _encoders(a, b)[0].tokenizer, _encoders(a, b)[1].model
     tokens = [[b""] * of_a.get_vocab_size(), []]
     for token, i in of_a.get_vocab().items():
         tokens[0][i] = bytes(plain[c] for c in token) if all(c in plain for c in token) else token.encode()
@@ -78,7 +83,7 @@ def _given_back(ids: np.ndarray, counts: np.ndarray, table: tuple, raw: np.ndarr
 
 def _events(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[pa.RecordBatch]:
     """The end events of both encodings. A document without tokens is a row without ids."""
-    encoders, tables = (encoder(a, plain=True), encoder(b, PieceEncoder)), byte_tables(a, b)
+    encoders, tables = _encoders(a, b), byte_tables(a, b)
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         every = pc.fill_null(batch.column(2).cast(pa.large_string()), "")
@@ -126,7 +131,7 @@ class _Block:
 
     def add(self, parts: list[np.ndarray]) -> None:
         for own, part in zip(self.parts, parts, strict=True):
-            own.append(part)
+            own.append(part.astype(np.uint32) if part.dtype == np.int64 else part)
         self.tokens += len(parts[0]) + len(parts[1])
 
     def row(self, block: int) -> dict:
@@ -138,9 +143,10 @@ class _Block:
         return {"block": block, "docs": blob(np.array(self.docs, dtype=np.int64)), "a": wide(a), "b": wide(b), "a_ends": blob(np.packbits(a_ends.astype(bool))), "b_ends": blob(np.packbits(b_ends.astype(bool)))}
 
 
-def _sweep(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[pa.RecordBatch]:
-    """Blocks of swept documents from event rows in the order of row, span and side."""
-    lengths, open_zstd = [t[2] for t in byte_tables(a, b)], zstandard.ZstdDecompressor()
+def _sweep(batches: Iterator[pa.RecordBatch], lengths: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Blocks of swept documents from event rows in the order of row, span and side. lengths: of each token of A and of B, in bytes."""
+    forget()
+    open_zstd = zstandard.ZstdDecompressor()
     kinds = ["<u4" if len(x) > 1 << 16 else "<u2" for x in lengths]
     first, seq, block = TaskContext.get().partitionId() << 32, 0, _Block()
     now: list = [None, None]  # the document that is being swept: its row, its counts
@@ -169,7 +175,7 @@ def _sweep(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[pa.Rec
                 ids = np.concatenate([carry[side][0], *(x.astype(np.int64) for _, x in own)])
                 n = np.array([len(x) for _, x in own], dtype=np.int64)
                 which = np.array([i for i, _ in own], dtype=np.int64)
-                size = lengths[side][ids[len(carry[side][0]) :]]
+                size = lengths[side][ids[len(carry[side][0]) :]].astype(np.int64)
                 total = np.cumsum(size)
                 heads = np.cumsum(n) - n
                 ends = total - np.repeat(total[heads] - size[heads], n) + np.repeat(starts[which], n) if len(n) else total
@@ -256,8 +262,9 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each block's distinct pairs with the number of its documents that hold them linked."""
+    forget()
     for batch in batches:
-        for block in batch.to_pylist():
+        for block in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
             found, numbers, rest = [], [], (-1, np.zeros(0, np.int64))  # rest: the last document's pairs, which the next part may go on with
             for pair, doc, _ in _links(_opened(block)):
                 codes, of = np.unique(pair, return_inverse=True)
@@ -304,6 +311,7 @@ def _written(opened: tuple[np.ndarray, ...]) -> pa.Array:
 
 def _aligned(block: pa.Table, answers: pa.Table) -> pa.Table:
     """A row per document of one block, with the corpus-wide counts of its pairs."""
+    forget()
     out = []
     order = pc.sort_indices(answers["pair"])
     pairs, counts, best = (answers[c].take(order).to_numpy() for c in ("pair", "n", "best"))
@@ -327,7 +335,8 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
     given = docs.select(row_of(docs).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     events = given.mapInArrow(partial(_events, a=a, b=b), EVENTS)
     dealt = events.repartition(shuffle_partitions(spark), "row").sortWithinPartitions("row", "span", "side")
-    blocks = stored(dealt.mapInArrow(partial(_sweep, a=a, b=b), BLOCKS), "aligned")
+    lengths = [np.minimum(t[2], 65_535).astype(np.uint16) for t in byte_tables(a, b)]
+    blocks = stored(dealt.mapInArrow(partial(_sweep, lengths=lengths), BLOCKS), "aligned")
     asked = cut(blocks.mapInArrow(_asked, "block long, pair long, docs long"))
     counted = asked.groupBy("pair").agg(F.sum("docs").alias("n"))
     most = counted.groupBy(F.shiftright("pair", SHIFT).alias("of_a")).agg(F.max("n").alias("most"))

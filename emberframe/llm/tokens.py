@@ -42,8 +42,11 @@ def gathered(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
 class Encoder:
     """encode(texts) gives each text's ids."""
 
-    def __init__(self, vocabulary: str, plain: bool = False) -> None:
-        """plain: special tokens' strings in texts are plain text."""
+    memo = MEMO_PIECES
+
+    def __init__(self, vocabulary: str, plain: bool = False, memo: int = MEMO_PIECES) -> None:
+        """plain: special tokens' strings in texts are plain text. memo: pieces that are remembered."""
+        self.memo = memo
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -129,7 +132,7 @@ class Encoder:
 
     def _pieces(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, lengths) of these pieces."""
-        if len(self.pieces) > MEMO_PIECES:
+        if len(self.pieces) > self.memo:
             self._forget_pieces()
         coded = flat.dictionary_encode()
         distinct, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
@@ -218,9 +221,10 @@ class PieceEncoder(Encoder):
     what follows up to the next space; distinct units are encoded once and remembered. Texts of other models are encoded whole.
     """
 
-    def __init__(self, model: str) -> None:
+    def __init__(self, model: str, memo: int = MEMO_PIECES) -> None:
         import sentencepiece
 
+        self.memo = memo
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)

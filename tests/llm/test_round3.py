@@ -99,7 +99,7 @@ def test_alignment_in_small_pieces(spark):
             partitionId = staticmethod(lambda: 0)
         m.TaskContext.get, kept = staticmethod(lambda: Context), m.TaskContext.get
         try:
-            blocks = pa.Table.from_batches(m._sweep(iter(events.to_batches(max_chunksize=3)), A, B))
+            blocks = pa.Table.from_batches(m._sweep(iter(events.to_batches(max_chunksize=3)), [t[2] for t in m.byte_tables(A, B)]))
         finally:
             m.TaskContext.get = kept
         asked = pa.Table.from_batches(m._asked(iter(blocks.to_batches())))
