@@ -332,10 +332,10 @@ def _aligned(block: pa.Table, answers: pa.Table) -> pa.Table:
 def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups. a: path of a byte-level tokenizers file, b: of a sentencepiece model."""
     spark = docs.sparkSession
-    given = docs.select(row_of(docs).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    given = docs.select(row_of().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     events = given.mapInArrow(partial(_events, a=a, b=b), EVENTS)
     dealt = events.repartition(shuffle_partitions(spark), "row").sortWithinPartitions("row", "span", "side")
-    lengths = [np.minimum(t[2], 65_535).astype(np.uint16) for t in byte_tables(a, b)]
+    lengths = [t[2].astype(np.uint32) for t in byte_tables(a, b)]
     blocks = stored(dealt.mapInArrow(partial(_sweep, lengths=lengths), BLOCKS), "aligned")
     asked = cut(blocks.mapInArrow(_asked, "block long, pair long, docs long"))
     counted = asked.groupBy("pair").agg(F.sum("docs").alias("n"))

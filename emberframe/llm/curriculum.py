@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.llm.rows import ROW, numbered, row_of
+from emberframe.llm.rows import fresh, numbered, row_of
 from emberframe.session import cut
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -32,11 +32,11 @@ BROADCAST_SOURCES = 10_000  #: a table of more sources is joined by shuffle
 SALTS = 64
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: str | None = None) -> DataFrame:
     """doc_id, source, size, order: a fixed random order by doc_id."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("order"), row_of(docs).alias("row"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("order"), row_of(row).alias("row"))
 
 
 def pick(values: tuple, place: Column) -> Column:
@@ -76,9 +76,9 @@ def due(demand: Column, target: Column, slope: Column) -> Column:
     return 2.0 * u / ((1.0 - g) + F.sqrt((1.0 - g) * (1.0 - g) + 4.0 * g * u))
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def plan(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: str | None = None) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken, passes, positions (one for each pass), row."""
-    keyed = cut(sized(docs, id_col, text_col, source_col))
+    keyed = cut(sized(docs, id_col, text_col, source_col, row))
     sources = cut(source_targets(keyed, weights, slopes, share, most))
     both = with_sources(keyed, sources)
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
@@ -99,12 +99,13 @@ def plan(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE,
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows in training order, as often as the mix takes them; docs' own columns."""
+    """docs' rows in training order, as often as the mix takes them; docs' own columns. Written, its files follow the order; rows.stored_order() gives it back."""
     id_col = options.get("id_col", "doc_id")
-    held = numbered(docs)
-    planned = plan(held, **options).select(F.col("row").alias(ROW), F.explode("positions").alias("__position"))
-    joined = held.join(planned, ROW)
-    return joined.orderBy("__position", id_col, ROW).select(*docs.columns)
+    held, row = numbered(docs)
+    place = fresh(held, "position")
+    planned = plan(held, row=row, **options).select(F.col("row").alias(row), F.explode("positions").alias(place))
+    joined = held.join(planned, row)
+    return joined.orderBy(place, id_col, row).select(*docs.columns)
 
 
 def ordered_plan(docs: DataFrame, **options) -> DataFrame:

@@ -143,11 +143,11 @@ def _resolve(_key, index: pa.Table, batch: pa.Table) -> pa.Table:
     })
 
 
-def digests_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
     """One short row per document: id, code points of the text, digest of the text without white space, a row locator."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), digest.alias("digest"), row_of(docs).alias("row"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), digest.alias("digest"), row_of(row).alias("row"))
 
 
 def distinct_digests(keyed: DataFrame) -> DataFrame:
@@ -168,14 +168,14 @@ def resolve(index: DataFrame, batch: DataFrame, shards: int) -> DataFrame:
     return index.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(_resolve, GROUPS)
 
 
-def exact_dedup(docs: DataFrame, historic=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, historic=None, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
     """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, row.
 
     historic: a Column over doc_id that says which rows are history; by default every second document by checksum.
     """
     if historic is None:
         historic = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(2)) == 0
-    keyed = cut(digests_of(docs, id_col, text_col).withColumn("historic", historic))
+    keyed = cut(digests_of(docs, id_col, text_col, row).withColumn("historic", historic))
     distinct = cut(distinct_digests(keyed))
     counts = distinct.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("rows")).first()
     shards = max(1, -(-counts["n"] // SHARD_KEYS))

@@ -134,10 +134,10 @@ def _likelihoods(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Record
             yield kept.append_column("likelihoods", pa.array(out, pa.list_(pa.float64()))).append_column("background", pa.array(background, pa.float64()))
 
 
-def evidence_of_documents(docs: DataFrame) -> DataFrame:
+def evidence_of_documents(docs: DataFrame, row: str | None = None) -> DataFrame:
     """row, doc_id, page_id, text, declared, host, domain, suffix: the source is the host."""
     none = F.lit(None).cast("string")
-    return docs.select(row_of(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.col("text").cast("string").alias("text"), none.alias("declared"), F.col("source").cast("string").alias("host"), none.alias("domain"), none.alias("suffix"))
+    return docs.select(row_of(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.col("text").cast("string").alias("text"), none.alias("declared"), F.col("source").cast("string").alias("host"), none.alias("domain"), none.alias("suffix"))
 
 
 def evidence_of_pages(pages: DataFrame) -> DataFrame:
@@ -206,10 +206,10 @@ def judge(evidence: DataFrame, languages: list[str], model: tuple[np.ndarray, np
     return rows.select("row", "doc_id", "page_id", F.when(F.col("fits"), F.element_at(names, best(F.col("logs")) + 1)).otherwise("und").alias("lang"), "probability", F.col("fits").alias("kept"), F.element_at(names, F.col("seen") + 1).alias("text_lang"), "declared", "host")
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, row: str | None = None) -> DataFrame:
     """row and kept of documents, judged by models of their own labels."""
     languages, model = train(docs)
-    return judge(evidence_of_documents(docs), languages, model).select("row", "kept")
+    return judge(evidence_of_documents(docs, row), languages, model).select("row", "kept")
 
 
 def identify(documents: DataFrame, pages: DataFrame) -> DataFrame:

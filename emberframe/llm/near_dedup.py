@@ -270,9 +270,9 @@ def classes_of(linked: DataFrame) -> DataFrame:
         salt += 1
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept, row (its number in docs)."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_of(docs).alias("row"), F.xxhash64(text_col).alias("text_key"))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_of(row).alias("row"), F.xxhash64(text_col).alias("text_key"))
     described = stored(given.mapInArrow(partial(_describe, n=words), "doc_id long, row long, text_key long, n_shingles long, print binary, signature binary, marks binary, sketch binary"), "signatures")
     linked = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = classes_of(linked)

@@ -1,14 +1,13 @@
 """Packing of whole documents into training sequences by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut at multiples of the window; full windows stand alone. The rests gather in blocks of BLOCK
-windows' ids. Within a block, multiway differencing merges the two partial partitions of the largest imbalance, the
-fullest part of one with the emptiest of the other, until one partition is left: near-equal windows. Where rests may not
-be cut, the window count rises by one and the block is dealt anew as long as a window exceeds the capacity. Where they
-may (the default), what exceeds it is cut off and goes to windows with room, whole where it fits, so that a block's
-windows are full; the count then rises only for ids that have no room at all.
+A document's ids are cut at multiples of the window; full windows stand alone. Rests longer than half a window are halved (unless
+whole rests are asked for), so that a window holds several items, and gather in blocks of BLOCK windows' ids. Within a block, multiway differencing
+merges the two partial partitions of the largest imbalance, the fullest part of one with the emptiest of the other, until one
+partition is left: near-equal windows. As long as one of them exceeds the capacity, the window count rises by one and the block is
+dealt anew. Nothing is moved or cut after differencing: every window is a part of its partition.
 
-The work is a narrow map: nothing is shuffled, memory is bounded by a batch and a block. Each task's last block alone may
-leave sequences that aren't full.
+The work is a narrow map: memory is bounded by a batch and a block. Where an order is given, documents are first dealt to tasks by
+ranges of it, and sequence numbers follow the order from block to block.
 
 Defined results. A null or empty text is its end id alone, one piece. Every row is packed by itself, also rows with the
 same doc_id (or none). An empty table gives no rows. Other columns are not read.
@@ -18,84 +17,66 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from bisect import bisect_left, insort
-from collections.abc import Iterator
+from bisect import insort
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.tokens import encoder
+from emberframe.session import shuffle_partitions
 
 WINDOW = 1024  #: ids in a sequence at most
-BLOCK = 32  #: windows that are balanced against each other
+BLOCK = 64  #: windows that are balanced against each other, about
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
-    """sizes' indexes in k parts of near-equal sums, by multiway differencing."""
-    # a partial partition: its parts in descending order of their sums, as (sum, indexes); absent ones are empty
-    heap = [(-size, i, [(size, [i])]) for i, size in enumerate(sizes)]
+    """sizes' indexes in k parts of near-equal sums, by multiway differencing; the fullest part first."""
+    # a partial partition: its parts as (minus the sum, indexes) in order, the fullest first; absent ones are empty
+    heap = [(-size, i, [(-size, (i,))]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     made = len(heap)
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        if len(a) + len(b) <= k:
-            merged = a + b
+        if len(a) < len(b):
+            a, b = b, a
+        over = len(a) + len(b) - k  # so many parts of b meet parts of a: its fullest the emptiest
+        if over <= 0 and len(b) == 1:
+            insort(a, b[0])
+        elif over <= 0:
+            a = sorted(a + b)
         else:
-            over = len(a) + len(b) - k  # so many parts of b meet parts of a: its fullest the emptiest
             keep = len(a) - over
-            merged = a[:keep] + [(x + y, p + q) for (x, p), (y, q) in zip(a[keep:], reversed(b[:over]), strict=True)] + b[over:]
-        merged.sort(key=lambda part: -part[0])
-        imbalance = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
+            a = sorted(a[:keep] + [(x + y, p + q) for (x, p), (y, q) in zip(a[keep:], reversed(b[:over]), strict=True)] + b[over:])
         made += 1
-        heapq.heappush(heap, (-imbalance, made, merged))
-    return [indexes for _, indexes in heap[0][2]] if heap else []
-
-
-def _moved(windows: list[list[tuple[int, int, int]]], capacity: int) -> None:
-    """Cuts off what windows of (item, start, length) hold beyond the capacity and puts it where room is."""
-    spare, rooms = [], []
-    for at, window in enumerate(windows):
-        over = sum(length for _, _, length in window) - capacity
-        window.sort(key=lambda piece: piece[2])
-        while over > 0:
-            item, start, length = window.pop()  # the longest
-            taken = min(over, length)
-            if taken < length:
-                window.append((item, start, length - taken))
-            spare.append((taken, item, start + length - taken))
-            over -= taken
-        if over < 0:
-            rooms.append((-over, at))
-    rooms.sort()
-    for size, item, start in sorted(spare, reverse=True):
-        while size:
-            place = bisect_left(rooms, (size, -1))  # the smallest room that holds it whole, else the largest
-            room, at = rooms.pop(min(place, len(rooms) - 1))
-            part = min(size, room)
-            windows[at].append((item, start, part))
-            if room > part:
-                insort(rooms, (room - part, at))
-            size, start = size - part, start + part
+        heapq.heappush(heap, (a[0][0] - (a[-1][0] if len(a) == k else 0), made, a))
+    return [list(indexes) for _, indexes in heap[0][2]] if heap else []
+
+
+def halved(size: int, capacity: int) -> list[tuple[int, int]]:
+    """(start, length) of an item's pieces: two near-equal ones if it is longer than half the capacity."""
+    first = -(-size // 2)
+    return [(0, first), (first, size - first)] if 2 * size > capacity and size > 1 else [(0, size)]
 
 
 def pack_sizes(sizes: list[int], capacity: int = WINDOW, cut: bool = False) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces (index of the item, start in it, length), none beyond the capacity; as few as are found from the least possible count on."""
+    """Windows of pieces (index of the item, start in it, length), none beyond the capacity; as few as differencing finds from the least possible count on. cut: long items are halved first."""
+    pieces = [(i, start, length) for i, size in enumerate(sizes) for start, length in (halved(size, capacity) if cut else [(0, size)])]
+    lengths = [length for _, _, length in pieces]
+    if pieces and max(lengths) > capacity:
+        raise ValueError("an item is larger than a window")
     k = max(1, -(-sum(sizes) // capacity))
     while True:
-        windows = [[(i, 0, sizes[i]) for i in part] for part in difference(sizes, k)]
-        if all(sum(p[2] for p in window) <= capacity for window in windows):
-            return windows
-        if cut:  # k windows have room for all
-            windows += [[] for _ in range(k - len(windows))]
-            _moved(windows, capacity)
-            return windows
+        parts = difference(lengths, k)
+        if not parts or sum(lengths[i] for i in parts[0]) <= capacity:
+            return [[pieces[i] for i in part] for part in parts]
         k += 1
 
 
@@ -128,10 +109,9 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, win
             for at in range(0, start, window):
                 out.append((doc_id, at, window, zlib.crc32(ids[4 * at : 4 * (at + window)]), n, sequence, 0))
                 sequence += 1
-            while start < n:
-                size = min(n - start, block * window - held) if cut else n - start
-                pool.append((doc_id, start, ids[4 * start : 4 * (start + size)], n))
-                start, held = start + size, held + size
+            if start < n:
+                pool.append((doc_id, start, ids[4 * start :], n))
+                held += n - start
                 if held >= block * window:
                     close()
             if len(out) > 20_000:
@@ -142,7 +122,13 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, win
         yield rows()
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WINDOW, block: int = BLOCK, cut: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. vocabulary: path of a tokenizers file."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return given.mapInArrow(partial(_packed, vocabulary=vocabulary, end_id=end_id, window=window, block=block, cut=cut), SCHEMA)
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WINDOW, block: int = BLOCK, cut: bool = True, id_col: str = "doc_id", text_col: str = "text", order: Sequence[Column] = ()) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. vocabulary: path of a tokenizers file.
+
+    order: columns by whose ranges documents are dealt; sequences of a block of documents come before those of later ones.
+    """
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c.alias(f"order{i}") for i, c in enumerate(order)])
+    if order:
+        by = [f"order{i}" for i in range(len(order))]
+        given = given.repartitionByRange(shuffle_partitions(docs.sparkSession), *by).sortWithinPartitions(*by)
+    return given.select("doc_id", "text").mapInArrow(partial(_packed, vocabulary=vocabulary, end_id=end_id, window=window, block=block, cut=cut), SCHEMA)

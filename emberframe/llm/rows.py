@@ -1,7 +1,8 @@
-"""Keeping the rows of a stored table that an operator has decided for."""
+"""Rows of a stored table: their numbers, their order, and keeping those that an operator has decided for."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,21 +11,37 @@ from emberframe.session import cut, stored
 BROADCAST_ROWS = 200_000  #: dropped rows that are sent to every task, at most; more are shuffled
 
 
-ROW = "__row"  #: the stored number of a row
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a stored number per row in ROW, given once: later scans read it however they are split."""
-    return docs if ROW in docs.columns else stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a stored number per row, given once, and the name of its column, which docs didn't have: later scans read it however they are split."""
+    name = fresh(docs, "row_number")
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
-def row_of(docs: DataFrame) -> Column:
-    """The number of a row: the stored one, or one that is good for a single scan."""
-    return F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+def row_of(row: str | None = None) -> Column:
+    """The number of a row: the stored one of this column, or one that is good for a single scan."""
+    return F.col(row) if row else F.monotonically_increasing_id()
 
 
-def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """numbered docs' rows whose number isn't dropped in decided (row, kept), in docs' columns."""
-    dropped = cut(decided.where("NOT kept").select(F.col("row").alias(ROW)))
+def keep_rows(docs: DataFrame, row: str, decided: DataFrame) -> DataFrame:
+    """Numbered docs' rows whose number isn't dropped in decided (row, kept), in docs' columns."""
+    dropped = cut(decided.where("NOT kept").select(F.col("row").alias(row)))
     few = dropped.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(dropped) if few else dropped, ROW, "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(dropped) if few else dropped, row, "left_anti").select(*docs.columns)
+
+
+def stored_order(docs: DataFrame) -> list[Column]:
+    """Columns by which a table read from Parquet stands in the order that it was written in (files are numbered by partition); none for other DataFrames."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        docs.select(place["file_name"], place["row_index"]).schema  # noqa: B018  resolves the columns
+    except AnalysisException:
+        return []
+    return [place["file_name"], place["row_index"]]

@@ -93,7 +93,7 @@ def check_packed(rows, encoded, window=1024):
 
 def test_every_id_is_packed_once(docs, no_docs, encoded):
     ids = sum(len(x) + 1 for _, x in encoded)
-    assert check_packed(packing.pack(docs.coalesce(1), VOCABULARY).collect(), encoded) == -(-ids // 1024)  # only the last one isn't full
+    assert check_packed(packing.pack(docs.coalesce(1), VOCABULARY).collect(), encoded) <= 1.03 * ids / 1024 + 1  # every window comes from differencing, so some are short
     check_packed(packing.pack(docs, VOCABULARY, block=2).collect(), encoded)
     check_packed(packing.pack(docs, VOCABULARY, cut=False).collect(), encoded)
     assert packing.pack(no_docs, VOCABULARY).collect() == []
@@ -107,14 +107,16 @@ def test_windows_hold_everything_once(sizes, cut):
     for i, size in enumerate(sizes):
         own = sorted((s, n) for w in windows for j, s, n in w if j == i)
         assert [s for s, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) == size
-        assert cut or len(own) == 1
-    if cut:
-        assert len(windows) == max(1, -(-sum(sizes) // 100)) or not sizes
+        assert len(own) == (2 if cut and size > 50 else 1)
+    if len(windows) > 1:  # near-equal: no two differ by more than the longest piece
+        sums = [sum(n for _, _, n in w) for w in windows]
+        assert max(sums) - min(sums) <= max(n for w in windows for _, _, n in w)
 
 
-def test_the_window_count_rises_where_nothing_may_be_cut():
+def test_the_window_count_rises_where_capacity_is_exceeded():
     assert len(packing.pack_sizes([60, 60, 60], 100)) == 3  # two windows would have room in sum
-    assert len(packing.pack_sizes([60, 60, 60], 100, cut=True)) == 2
+    assert len(packing.pack_sizes([60, 60, 60], 100, cut=True)) == 2  # halves fit
+    assert len(packing.pack_sizes([50, 50, 50, 50, 1], 100, cut=True)) == 3
     assert sorted(sum(n for _, _, n in w) for w in packing.pack_sizes([8, 7, 6, 5, 4], 17)) in ([13, 17], [14, 16], [15, 15])
 
 
