@@ -1,8 +1,12 @@
 """The training-data pipeline: from documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. Decisions travel by a row number that is stored with the
-table: run() gives it once, a stage that runs alone for itself.
+one's docs. All but the last return the columns of documents. Within a stage, decisions travel by a row number that is stored with the
+table, under a name that the table doesn't have. The order that mixing gives is that of the files and rows it is written
+in; packing reads it back from there and deals documents by ranges of it, so sequences follow the curriculum.
+
+Defined results. Nulls in any column, repeated rows and columns of any name pass through the stages as their operators state. An empty
+table gives an empty result. Packing a DataFrame that wasn't read from files takes its rows as they come.
 """
 
 from __future__ import annotations
@@ -13,14 +17,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from emberframe.llm import curriculum, exact_dedup, language, near_dedup, packing
-from emberframe.llm.rows import ROW, keep_rows, numbered
+from emberframe.llm.rows import keep_rows, numbered, stored_order
 from emberframe.session import stored, table
 
 
-def decided(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def decided(docs: DataFrame, operator: Callable[..., DataFrame]) -> DataFrame:
     """docs' rows that the operator keeps, in docs' columns."""
-    held = numbered(docs)
-    return keep_rows(held, operator(held)).select(*docs.columns)
+    held, row = numbered(docs)
+    return keep_rows(held, row, operator(held, row=row)).select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +48,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document in sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """The pieces of each document in sequences, which follow the order that docs were written in."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), order=stored_order(docs))
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing sources to target weights", mixing), ("packing", pack)]
@@ -55,7 +59,7 @@ ORACLE_SQL = None  # tokenizing and the language models are beyond SQL
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each but the last stored in the shared folder."""
-    docs = numbered(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
-    return STAGES[-1][1](spark, docs.drop(ROW), sf_dir)
+    return STAGES[-1][1](spark, docs, sf_dir)
