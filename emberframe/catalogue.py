@@ -202,7 +202,7 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY satellite ORDER BY acq_ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS number FROM s) SELECT satellite, number, min(acq_ts) AS first_ts, max(acq_ts) AS last_ts, count(*) AS n FROM n GROUP BY satellite, number""",
         "latest_positions": f"{d} SELECT unit, id, acq_ts, latitude, longitude FROM d QUALIFY row_number() OVER (PARTITION BY unit ORDER BY acq_ts DESC, id DESC) = 1",
         "track_segments": f"""{d}, s AS (SELECT *, acq_ts - lag(acq_ts) {order} AS apart, lag(latitude) {order} AS lat, lag(longitude) {order} AS lon FROM d),
-            t AS (SELECT *, CASE WHEN apart IS NULL OR apart > 36000 OR apart <= 0 OR {distance} / greatest(apart / 36e2, 1e-9) > 3e2 THEN 1 ELSE 0 END AS starts FROM s),
+            t AS (SELECT *, CASE WHEN apart IS NULL OR apart > 36000 OR apart <= 0 OR {distance} / greatest(apart / 36e2, 1e-9) > 18e1 THEN 1 ELSE 0 END AS starts FROM s),
             n AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY unit ORDER BY acq_ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM t)
             SELECT unit, segment, count(*) AS n, min(acq_ts) AS first_ts, max(acq_ts) AS last_ts, min(id) AS first_id, CASE WHEN count(*) = 1 THEN 'Point' ELSE 'LineString' END AS kind FROM n GROUP BY unit, segment""",
         "position_interpolate": f"""{d}, p AS (SELECT * FROM d WHERE acq_ts <= {AT} QUALIFY row_number() OVER (PARTITION BY unit ORDER BY acq_ts DESC, id DESC) = 1),

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 #: points of the compass, clockwise from north; fixed values
 COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
-#: metres per second of a unit; fixed values
-UNITS = {"m/s": 1.0, "km/h": 1 / 3.6, "mph": 0.44704, "kt": 0.514444}
+#: units of a wind speed and what they are divided or multiplied by to give metres per second; fixed values
+METRES, KILOMETRES, KNOTS = ("m/s", "ms-1"), ("km/h", "kmh"), ("kt", "kts", "knot", "knots")
+KMH, KNOT = 3.6, 0.514444
 VOLATILE = "updated_at"  #: key that comparisons leave out
 
 
@@ -31,34 +32,39 @@ def first_number(columns: Sequence[Column]) -> Column:
 
 
 def speed(value: Column) -> Column:
-    """Metres per second of a number with a unit (comma or point); a bare number is m/s. Null where it can't be read."""
-    number = F.regexp_replace(F.nullif(F.regexp_extract(value, r"^\s*([0-9]+(?:[.,][0-9]+)?)", 1), F.lit("")), ",", ".").cast("double")
-    unit = F.lower(F.trim(F.regexp_extract(value, r"^\s*[0-9]+(?:[.,][0-9]+)?\s*(.*)$", 1)))
-    factor = F.when(unit == "", 1.0)
-    for name, of in UNITS.items():
-        factor = factor.when(unit == name, of)
-    return number * factor
+    """Metres per second of a number with a unit (comma or point, any case); a bare number is m/s. Null where it can't be read, also with another unit."""
+    raw = F.regexp_replace(F.lower(F.trim(value)), ",", ".")
+    pattern = r"^([0-9]+(?:\.[0-9]+)?)\s*(" + "|".join((*METRES, *KILOMETRES, *sorted(KNOTS, key=len, reverse=True))) + ")?$"
+    number, unit = F.nullif(F.regexp_extract(raw, pattern, 1), F.lit("")).cast("double"), F.regexp_extract(raw, pattern, 2)
+    return F.when(unit.isin(*KILOMETRES), number / KMH).when(unit.isin(*KNOTS), number * KNOT).otherwise(number)
 
 
 def direction(value: Column) -> Column:
-    """Degrees of a number (modulo 360) or of a point of the compass."""
-    name = F.upper(F.trim(value))
+    """Degrees of a number (modulo 360; a degree sign or DEG may stand with it) or of a point of the compass."""
+    name = F.trim(F.regexp_replace(F.upper(F.trim(value)), "°|DEG", ""))
     at = F.array_position(F.array(*[F.lit(c) for c in COMPASS]), name)
-    return F.coalesce(F.pmod(F.trim(value).try_cast("double"), F.lit(360.0)), F.when(at > 0, (at - 1) * 22.5))
+    number = F.when(name.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(E[+-]?[0-9]+)?$"), name.try_cast("double"))
+    return F.coalesce(F.when(at > 0, (at - 1) * 22.5), F.pmod(number, F.lit(360.0)))
 
 
 def age_text(seconds: Column) -> Column:
-    minutes, hours = F.floor(seconds / 60), F.floor(seconds / 3600)
-    return F.when(seconds < 3600, F.concat(minutes, F.lit(" min"))).when(seconds < 172_800, F.concat(hours, F.lit(" h"))).otherwise(F.concat(F.floor(seconds / 86_400), F.lit(" days")))
+    """Whole minutes below an hour, then hours, from a day on days, to one place."""
+    hours, days = F.format_string("%.1f h ago", seconds / 3600), F.format_string("%.1f days ago", seconds / 86_400)
+    return F.when(seconds < 3600, F.concat(F.floor(seconds / 60), F.lit(" min ago"))).when(seconds < 86_400, hours).otherwise(days)
 
 
 def slug(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(value), r"[^a-z0-9]+", "-"), r"^-|-$", "")
+    """Lower case, other characters than letters, digits, _ and - as single -, none at the ends, 48 characters at most. Where nothing is left, eight digits of a hash stand for the value."""
+    base = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(value, F.lit("")))), r"[^a-z0-9_-]+", "-"), r"^-+|-+$", "")
+    return F.substring(F.when(base == "", F.substring(F.md5(F.coalesce(value, F.lit(""))), 1, 8)).otherwise(base), 1, 48)
 
 
 def redacted(url: Column) -> Column:
-    """The URL without its password."""
-    return F.regexp_replace(url, r"(://[^:/@]*):[^@/]*@", "$1:***@")
+    """Scheme, user, host (lower case) and port of a URL: neither its password nor its path. (malformed) without a host, empty for an empty or missing one."""
+    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^:/@?#]*)(?::[^/@?#]*)?@)?([^:/@?#]+)(?::([0-9]+))?(?:[/?#].*)?$"
+    part = lambda i: F.regexp_extract(url, pattern, i)
+    shown = F.concat(F.lower(part(1)), F.lit("://"), F.when(part(2) != "", F.concat(part(2), F.lit("@"))).otherwise(""), F.lower(part(3)), F.when(part(4) != "", F.concat(F.lit(":"), part(4))).otherwise(""))
+    return F.when(F.coalesce(url, F.lit("")) == "", "").when(part(3) == "", "(malformed)").otherwise(shown)
 
 
 def checksum_ok(sentence: Column) -> Column:

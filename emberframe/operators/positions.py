@@ -25,7 +25,7 @@ def steps(reports: DataFrame, gap_seconds: int, speed_kmh: float) -> DataFrame:
     return reports.withColumns(before).withColumn("starts", F.coalesce((apart > gap_seconds) | (apart <= 0) | (speed > speed_kmh), F.lit(True)))
 
 
-def segments(reports: DataFrame, gap_seconds: int = 900, speed_kmh: float = 300.0) -> DataFrame:
+def segments(reports: DataFrame, gap_seconds: int = 900, speed_kmh: float = 180.0) -> DataFrame:
     """unit, segment, n, first_ts, last_ts, first_id, kind (Point or LineString)."""
     order = Window.partitionBy("unit").orderBy("acq_ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     numbered = steps(reports, gap_seconds, speed_kmh).withColumn("segment", F.sum(F.col("starts").cast("long")).over(order))

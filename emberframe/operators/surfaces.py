@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.geo import LATITUDE_KM, LONGITUDE_KM, footprint_km, haversine_km
 
+SIGMAS = 5.0  #: the reach of a detection's kernel, beyond which it adds less than 4e-6 of its weight
+# fixed values of the weights
 LEAST_SIGMA_M = 150.0
 SENSOR, SENSOR_ELSE = {"VIIRS": 1.0, "MODIS": 0.7, "OLI": 0.9}, 0.6
 CONFIDENCE, CONFIDENCE_ELSE = {"high": 1.0, "nominal": 0.7, "low": 0.35}, 0.5
@@ -22,20 +24,20 @@ def _lookup(value: Column, table: dict[str, float], other: float) -> Column:
     return found
 
 
-def near_cells(points: DataFrame, step: float, reach: Column, most: float) -> DataFrame:
-    """points with every cell (row, col) of a grid of step degrees whose centre is at most reach km away (most: the largest reach in degrees), and km."""
-    span = math.ceil(most / step)
-    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / step) - span, F.floor(F.col(c) / step) + span))
-    placed = points.withColumn("row", around("latitude")).withColumn("col", around("longitude"))
+def near_cells(points: DataFrame, step: float, reach: Column) -> DataFrame:
+    """points with every cell (row, col) of a grid of step degrees whose centre is at most reach km away, and km. The cells looked at follow from each row's own reach and latitude."""
+    high, wide = reach / LATITUDE_KM, reach / (LONGITUDE_KM * F.greatest(F.cos(F.radians("latitude")), F.lit(1e-3)))
+    around = lambda c, pad: F.explode(F.sequence(F.floor((F.col(c) - pad) / step), F.floor((F.col(c) + pad) / step)))
+    placed = points.withColumn("row", around("latitude", high)).withColumn("col", around("longitude", wide))
     y, x = (F.col("row") + 0.5) * step, (F.col("col") + 0.5) * step
     km = F.hypot((F.col("longitude") - x) * LONGITUDE_KM * F.cos(F.radians("latitude")), (F.col("latitude") - y) * LATITUDE_KM)
     return placed.withColumn("km", km).where(F.col("km") <= reach)
 
 
-def heat(detections: DataFrame, step: float, reference: int, tau_hours: float = 6.0, most: float = 0.02) -> DataFrame:
-    """row, col, heat: 1 less the product of what each detection leaves: weight, Gaussian kernel to 3 sigma, age and radiative power."""
+def heat(detections: DataFrame, step: float, reference: int, tau_hours: float = 6.0, sigmas: float = SIGMAS) -> DataFrame:
+    """row, col, heat: 1 less the product of what each detection leaves: weight, Gaussian kernel, age and radiative power."""
     sigma = F.greatest(F.lit(LEAST_SIGMA_M / 1000), footprint_km(F.col("scan"), F.col("track")))
-    near = near_cells(detections.withColumn("sigma", sigma), step, 3 * F.col("sigma"), most)
+    near = near_cells(detections.withColumn("sigma", sigma), step, sigmas * F.col("sigma"))
     age = F.greatest((F.lit(reference) - F.col("acq_ts")) / 3600, F.lit(0.0))
     boost = 1 + F.least(F.lit(1.5), F.log1p(F.greatest(F.coalesce("frp", F.lit(0.0)), F.lit(0.0))) / 6)
     weight = _lookup(F.col("instrument"), SENSOR, SENSOR_ELSE) * _lookup(F.col("confidence_level"), CONFIDENCE, CONFIDENCE_ELSE)
@@ -43,12 +45,17 @@ def heat(detections: DataFrame, step: float, reference: int, tau_hours: float =
     return near.groupBy("row", "col").agg((1 - F.exp(F.sum(F.log(1 - part)))).alias("heat"))
 
 
-def arrival(detections: DataFrame, step: float, reach_km: float, most: float) -> DataFrame:
-    """row, col, mean and deviation of the times of the detections within reach, weighed by the inverse square of the distance."""
-    near = near_cells(detections, step, F.lit(reach_km), most).withColumn("w", 1 / (F.col("km") * F.col("km") + 0.01))
-    first = near.groupBy("row", "col").agg((F.sum(F.col("w") * F.col("acq_ts")) / F.sum("w")).alias("mean_ts"), F.count(F.lit(1)).alias("n"))
-    spread = near.join(first, ["row", "col"]).groupBy("row", "col").agg(F.sqrt(F.sum(F.col("w") * F.pow(F.col("acq_ts") - F.col("mean_ts"), F.lit(2.0))) / F.sum("w")).alias("deviation_s"))
-    return first.join(spread, ["row", "col"])
+def arrival(detections: DataFrame, step: float, reach_km: float, reference: int) -> DataFrame:
+    """row, col, n, median, earliest, latest: the mean time of the detections within reach, weighed by the inverse square of the distance in metres, and one deviation to either side.
+
+    One pass: weighted sums of the time since the reference and of its square.
+    """
+    metres, since = F.col("km") * 1000, F.col("acq_ts") - F.lit(reference)
+    near = near_cells(detections, step, F.lit(reach_km)).withColumns({"w": 1 / (metres * metres + 1e-6), "t": since.cast("double")})
+    sums = near.groupBy("row", "col").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("t")).alias("wt"), F.sum(F.col("w") * F.col("t") * F.col("t")).alias("wtt"), F.count(F.lit(1)).alias("n"))
+    mean = F.col("wt") / F.col("w")
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("wtt") / F.col("w") - mean * mean))
+    return sums.select("row", "col", "n", (mean + reference).alias("median"), (mean - deviation + reference).alias("earliest"), (mean + deviation + reference).alias("latest"))
 
 
 def mass_levels(cells: DataFrame, by: str, shares: Sequence[float]) -> DataFrame:
@@ -79,36 +86,75 @@ def components(speed: Column, from_deg: Column) -> tuple[Column, Column]:
     return -speed * F.sin(F.radians(from_deg)), -speed * F.cos(F.radians(from_deg))
 
 
-def wind_field(points: DataFrame, observations: DataFrame, at: int, window_s: int, reach_km: float, cell: float = 1.0) -> DataFrame:
+def meteorological(u: Column, v: Column) -> tuple[Column, Column]:
+    """(speed, bearing that it blows from) of a wind."""
+    return F.hypot(u, v), F.pmod(F.degrees(F.atan2(-u, -v)), F.lit(360.0))
+
+
+def background(runs: DataFrame, by: str, at: int) -> DataFrame:
+    """by, run_id, reference, u, v, stale: of each group's runs (run_id, reference, speed, from_deg, valid_until) the newest that isn't later than the time asked for and whose wind can be read."""
+    known = runs.where((F.col("reference") <= at) & F.col("speed").isNotNull() & F.col("from_deg").isNotNull())
+    best = known.groupBy(by).agg(F.max(F.struct("reference", "run_id", "speed", "from_deg", "valid_until")).alias("r")).select(by, "r.*")
+    u, v = components(F.col("speed"), F.col("from_deg"))
+    return best.select(by, "run_id", "reference", u.alias("u"), v.alias("v"), F.coalesce(F.col("valid_until") < at, F.lit(False)).alias("stale"))
+
+
+def wind_field(points: DataFrame, observations: DataFrame, at: int, window_s: int, reach_km: float, run: DataFrame | None = None) -> DataFrame:
     """point_id, u, v, n, nearest_km, disagreement: vector mean of the observations in reach, by inverse square distance and half-life of age.
 
-    Points and observations meet in cells of so many degrees, which reach_km doesn't exceed.
+    run (point_id, u, v): a model's wind at each point. Observations then count by what they differ from it, and a point without any keeps
+    it. Points and observations meet in cells of the size of the reach: an observation is in one, a point reaches into as many as its latitude asks for, across 180 degrees too.
     """
+    columns = max(1, math.floor(360 / max(0.05, reach_km / 111.0)))
+    size = 360 / columns  # whole cells around the globe
+    turn = lambda x: F.pmod(x, F.lit(columns))
     u, v = components(F.col("speed"), F.col("from_deg"))
-    seen = observations.where((F.col("observed") > at - window_s) & (F.col("observed") <= at)).select("lat", "lon", "observed", u.alias("u"), v.alias("v"), F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx"))
-    around = lambda c: F.explode(F.array(*[F.floor(F.col(c) / cell) + i for i in (-1, 0, 1)]))
-    asked = points.select("point_id", F.col("lat").alias("plat"), F.col("lon").alias("plon")).withColumn("cy", around("plat")).withColumn("cx", around("plon"))
+    seen = observations.where((F.col("observed") > at - window_s) & (F.col("observed") <= at)).select("lat", "lon", "observed", u.alias("ou"), v.alias("ov"), F.floor((F.col("lat") + 90) / size).alias("cy"), turn(F.floor((F.col("lon") + 180) / size)).alias("cx"))
+    high = reach_km / 111.0
+    wide = F.least(F.lit(180.0), F.lit(high) / F.cos(F.radians(F.least(F.lit(89.9), F.abs("plat") + high))))
+    asked = points.select("point_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    asked = asked.withColumn("cy", F.explode(F.sequence(F.floor((F.col("plat") + 90 - high) / size), F.floor((F.col("plat") + 90 + high) / size))))
+    west, east = F.floor((F.col("plon") + 180 - wide) / size), F.floor((F.col("plon") + 180 + wide) / size)
+    asked = asked.withColumn("cx", F.explode(F.array_distinct(F.transform(F.sequence(west, F.least(east, west + columns - 1)), turn))))
     near = asked.join(seen, ["cy", "cx"]).withColumn("km", haversine_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"), 6371.0088)).where(F.col("km") <= reach_km)
+    if run is not None:  # observations by what they differ from the run
+        base = points.select("point_id").join(run.select("point_id", "u", "v"), "point_id", "left")
+        near = near.join(base, "point_id").withColumns({f"o{c}": F.col(f"o{c}") - F.coalesce(c, F.lit(0.0)) for c in ("u", "v")})
     half_life = max(900.0, window_s / 2)
     near = near.withColumn("w", F.pow(F.lit(0.5), (F.lit(at) - F.col("observed")) / half_life) / (F.col("km") * F.col("km") + 0.01))
-    whole = near.groupBy("point_id").agg(*[F.sum(e).alias(n) for n, e in (("w", F.col("w")), ("wu", F.col("w") * F.col("u")), ("wv", F.col("w") * F.col("v")), ("ws", F.col("w") * (F.col("u") * F.col("u") + F.col("v") * F.col("v"))))], F.count(F.lit(1)).alias("n"), F.min("km").alias("nearest_km"))
+    sums = [F.sum(e).alias(n) for n, e in (("w", F.col("w")), ("wu", F.col("w") * F.col("ou")), ("wv", F.col("w") * F.col("ov")), ("ws", F.col("w") * (F.col("ou") * F.col("ou") + F.col("ov") * F.col("ov"))))]
+    whole = near.groupBy("point_id").agg(*sums, F.count(F.lit(1)).alias("n"), F.min("km").alias("nearest_km"))
     u, v = F.col("wu") / F.col("w"), F.col("wv") / F.col("w")
-    return whole.select("point_id", u.alias("u"), v.alias("v"), "n", "nearest_km", F.sqrt(F.greatest(F.lit(0.0), F.col("ws") / F.col("w") - u * u - v * v)).alias("disagreement"))
+    told = whole.select("point_id", u.alias("du"), v.alias("dv"), "n", "nearest_km", F.sqrt(F.greatest(F.lit(0.0), F.col("ws") / F.col("w") - u * u - v * v)).alias("disagreement"))
+    if run is None:
+        return told.withColumnsRenamed({"du": "u", "dv": "v"})
+    both = base.join(told, "point_id", "left").where("n IS NOT NULL OR u IS NOT NULL")
+    total = lambda c: F.coalesce(F.col(c), F.lit(0.0)) + F.coalesce(f"d{c}", F.lit(0.0))
+    return both.select("point_id", total("u").alias("u"), total("v").alias("v"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "nearest_km", "disagreement")
 
 
-def moisture(hours: DataFrame, by: str, lags: Sequence[float] = (1.0, 10.0, 100.0), rain_mm: float = 0.5, rain_target: float = 0.35) -> DataFrame:
-    """by, one column per lag: dead fuel moisture after all hours in order; rain draws to its target four times as fast (1 h at least), hours without a target change nothing.
+def equilibrium_moisture(humidity_pct: Column, celsius: Column) -> Column:
+    """The moisture (fraction) that dead fuel tends to in air of this humidity and temperature; saturated air counts as 99 %; null where either is missing."""
+    share = F.least(F.lit(0.99), F.greatest(F.lit(0.0), humidity_pct / 100))
+    dryness = F.greatest(F.lit(1e-9), -F.log(1 - share))
+    value = F.greatest(F.lit(0.0), (F.lit(0.1617) - 0.001419 * celsius) * F.pow(dryness, F.lit(0.4657) - 0.003578 * celsius))
+    return F.when(humidity_pct.isNotNull() & celsius.isNotNull(), value)
 
-    The recurrence of one station is a fold over its hours, so a station's hours stay in one row: a year of them is 8,760 pairs.
-    """
-    series = hours.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("hour", "target", "rain"))).alias("h"), F.avg("target").alias("begin"))
 
-    def after(lag: float) -> Column:
-        def step(m: Column, x: Column) -> Column:
-            wet = F.coalesce(x["rain"], F.lit(0.0)) >= rain_mm
-            target, tau = F.when(wet, F.lit(rain_target)).otherwise(x["target"]), F.when(wet, F.lit(max(1.0, lag / 4))).otherwise(F.lit(lag))
-            return F.coalesce(target + (m - target) * F.exp(-1 / tau), m)
+def moisture(hours: DataFrame, by: str, lags: Sequence[float] = (1.0, 10.0, 100.0), begin: Sequence[float] = (0.10, 0.12, 0.14), rain_mm: float = 0.5, rain_target: float = 0.35, bin_hours: int = 720) -> DataFrame:
+    """by, one column per lag: dead fuel moisture after all hours (hour: a whole number, target, rain) in order, from `begin` on; rain draws to its target four times as fast (1 h at least); hours without a target change nothing, wet or not.
 
-        return F.aggregate("h", F.coalesce("begin", F.lit(0.0)), step)
-
-    return series.select(by, *[after(lag).alias(f"m{int(lag)}") for lag in lags])
+    An hour maps m to a * m + (1 - a) * target, and maps compose: the hours of a bin of bin_hours become one map by sums over
+    the bin, and only bins, not hours, are gathered to a row: a window and a task hold a bin of a station at most.
+    """
+    wet = F.coalesce(F.col("rain"), F.lit(0.0)) >= rain_mm
+    dealt = hours.where("target IS NOT NULL").select(by, F.floor(F.col("hour") / bin_hours).alias("bin"), "hour", F.when(wet, rain_target).otherwise(F.col("target")).alias("target"), wet.alias("wet"))
+    rate = {lag: F.when(F.col("wet"), 1 / max(1.0, lag / 4)).otherwise(1 / lag) for lag in lags}
+    later = Window.partitionBy(by, "bin").orderBy("hour").rowsBetween(1, Window.unboundedFollowing)
+    rest = dealt.withColumns({f"r{i}": F.coalesce(F.sum(rate[lag]).over(later), F.lit(0.0)) for i, lag in enumerate(lags)})
+    maps = [e for i, lag in enumerate(lags) for e in (F.exp(-F.sum(rate[lag])).alias(f"a{i}"), F.sum(F.col("target") * (1 - F.exp(-rate[lag])) * F.exp(-F.col(f"r{i}"))).alias(f"b{i}"))]
+    bins = rest.groupBy(by, "bin").agg(*maps)
+    series = bins.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("bin", *[f"{x}{i}" for i in range(len(lags)) for x in "ab"]))).alias("bins"))
+    every = hours.select(by).distinct().join(series, by, "left")
+    folded = lambda i: F.aggregate("bins", F.lit(float(begin[i])), lambda m, x: x[f"a{i}"] * m + x[f"b{i}"])
+    return every.select(by, *[F.coalesce(folded(i), F.lit(float(begin[i]))).alias(f"m{int(lag)}") for i, lag in enumerate(lags)])

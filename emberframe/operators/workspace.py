@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: rows of the safety checklist; fixed values
-CHECKS = ("lookouts", "communications", "escape_routes", "safety_zones", "hazards", "weather", "briefing", "resources", "medical")
+CHECKS = ("hazards", "lookouts", "communications", "escape_routes", "safety_zones", "medical", "alternative_access", "withdrawal_triggers", "weather_update")
 
 
 def newest(rows: DataFrame, time: str, n: int, key: str = "id", ascending: bool = False) -> DataFrame:
@@ -129,11 +129,24 @@ def first_failure(rules: Sequence[tuple[str, Column]]) -> Column:
     return found
 
 
-def telemetry_rejects(reports: DataFrame, future_s: int = 300) -> DataFrame:
-    """Each report with the reason why it is refused (null: taken): missing id, repeated in the batch, from the future, values out of range."""
-    n = F.row_number().over(Window.partitionBy("batch", "external_id").orderBy("id"))
-    rules = [
-        ("missing_external_id", F.coalesce(F.col("external_id"), F.lit("")) == ""), ("duplicate_in_batch", n > 1), ("future", F.col("observed") > F.col("received") + future_s), ("latitude", F.abs("latitude") > 90), ("longitude", F.abs("longitude") > 180),
-        ("speed", (F.col("speed") < 0) | (F.col("speed") > 2000)), ("accuracy", F.col("accuracy") < 0), ("heading", (F.col("heading") < 0) | (F.col("heading") >= 360)),
+def telemetry_rules(future_s: int = 300) -> list[tuple[str, Column]]:
+    """Why a report by itself is refused, after what is required and what repeats another one."""
+    number = lambda c: F.col(c).isNotNull() & (F.isnan(c) | (F.abs(c) == float("inf")))
+    return [
+        ("observed_at", F.col("observed").isNull()), ("future", F.col("observed") > F.col("received") + future_s), ("position", F.col("latitude").isNull() | F.col("longitude").isNull()),
+        ("latitude", F.isnan("latitude") | (F.abs("latitude") > 90)), ("longitude", F.isnan("longitude") | (F.abs("longitude") > 180)), ("not_finite", number("speed") | number("heading") | number("accuracy")),
+        ("speed", F.col("speed") < 0), ("accuracy", F.col("accuracy") < 0), ("heading", (F.col("heading") < 0) | (F.col("heading") > 360)),
     ]
-    return reports.select("id", first_failure(rules).alias("reason"))
+
+
+def telemetry_rejects(reports: DataFrame, future_s: int = 300) -> DataFrame:
+    """Each report with the reason why it is refused (null: taken): external_id and callsign are required; an id that the batch has taken already; then the rules, in order.
+
+    A report that is refused doesn't make a later one with its id a repeat.
+    """
+    present = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    judged = reports.withColumn("__own", F.when(~(present("external_id") & present("callsign")), "missing_external_id_or_callsign").otherwise(first_failure(telemetry_rules(future_s))))
+    before = Window.partitionBy("batch", "external_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.sum(F.col("__own").isNull().cast("int")).over(before), F.lit(0)) > 0
+    reason = F.when(F.col("__own") == "missing_external_id_or_callsign", F.col("__own")).when(taken, "duplicate_in_batch").otherwise(F.col("__own"))
+    return judged.select("id", reason.alias("reason"))

@@ -173,17 +173,17 @@ def swath_computed_at(spark, sf_dir):
 def reports(spark, sf_dir):
     i = F.col("id")
     return detections(spark, sf_dir).select(
-        "id", F.floor(i / 50).alias("batch"), F.when(i % 17 != 0, F.concat(F.lit("r"), i % 45)).alias("external_id"), (F.col("acq_ts") + F.when(i % 23 == 0, 900).otherwise(0)).alias("observed"), F.col("acq_ts").alias("received"),
-        (F.col("latitude") + F.when(i % 29 == 0, 60).otherwise(0)).alias("latitude"), "longitude", F.when(i % 5 != 0, (i % 31 - 1).cast("double")).alias("speed"), (i % 37 - 1).cast("double").alias("accuracy"), (i % 361).cast("double").alias("heading"), "unit",
+        "id", F.floor(i / 50).alias("batch"), F.when(i % 17 != 0, F.concat(F.lit("r"), i % 45)).alias("external_id"), F.when(i % 19 != 0, F.concat(F.lit("u"), "unit")).otherwise("  ").alias("callsign"), (F.col("acq_ts") + F.when(i % 23 == 0, 900).otherwise(0)).alias("observed"), F.col("acq_ts").alias("received"),
+        (F.col("latitude") + F.when(i % 29 == 0, 60).otherwise(0)).alias("latitude"), "longitude", F.when(i % 5 != 0, (i % 31 - 1).cast("double")).alias("speed"), (i % 37 - 1).cast("double").alias("accuracy"), (i % 363).cast("double").alias("heading"), "unit",
     )
 
 
-REPORTS = f"""{D}, r AS (SELECT id, id // 50 AS batch, CASE WHEN id % 17 <> 0 THEN 'r' || (id % 45) END AS external_id, acq_ts + CASE WHEN id % 23 = 0 THEN 900 ELSE 0 END AS observed, acq_ts AS received, latitude + CASE WHEN id % 29 = 0 THEN 60 ELSE 0 END AS latitude, longitude,
-    CASE WHEN id % 5 <> 0 THEN CAST(id % 31 - 1 AS DOUBLE) END AS speed, CAST(id % 37 - 1 AS DOUBLE) AS accuracy, CAST(id % 361 AS DOUBLE) AS heading, unit FROM d)"""
+REPORTS = f"""{D}, r AS (SELECT id, id // 50 AS batch, CASE WHEN id % 17 <> 0 THEN 'r' || (id % 45) END AS external_id, CASE WHEN id % 19 <> 0 THEN 'u' || unit ELSE '  ' END AS callsign, acq_ts + CASE WHEN id % 23 = 0 THEN 900 ELSE 0 END AS observed, acq_ts AS received, latitude + CASE WHEN id % 29 = 0 THEN 60 ELSE 0 END AS latitude, longitude,
+    CASE WHEN id % 5 <> 0 THEN CAST(id % 31 - 1 AS DOUBLE) END AS speed, CAST(id % 37 - 1 AS DOUBLE) AS accuracy, CAST(id % 363 AS DOUBLE) AS heading, unit FROM d)"""
 
 
-@query(f"""{REPORTS} SELECT id, CASE WHEN external_id IS NULL THEN 'missing_external_id' WHEN row_number() OVER (PARTITION BY batch, external_id ORDER BY id) > 1 THEN 'duplicate_in_batch' WHEN observed > received + 300 THEN 'future' WHEN abs(latitude) > 90 THEN 'latitude' WHEN abs(longitude) > 180 THEN 'longitude'
-    WHEN speed < 0 OR speed > 2000 THEN 'speed' WHEN accuracy < 0 THEN 'accuracy' WHEN heading < 0 OR heading >= 360 THEN 'heading' END AS reason FROM r""")
+@query(f"""{REPORTS}, o AS (SELECT *, trim(coalesce(external_id, '')) = '' OR trim(callsign) = '' AS bad, CASE WHEN observed > received + 300 THEN 'future' WHEN latitude NOT BETWEEN -90 AND 90 THEN 'latitude' WHEN longitude NOT BETWEEN -180 AND 180 THEN 'longitude' WHEN speed < 0 THEN 'speed' WHEN accuracy < 0 THEN 'accuracy' WHEN heading NOT BETWEEN 0 AND 360 THEN 'heading' END AS own FROM r)
+    SELECT id, CASE WHEN bad THEN 'missing_external_id_or_callsign' WHEN EXISTS (FROM o AS e WHERE e.batch = o.batch AND e.external_id = o.external_id AND e.id < o.id AND NOT e.bad AND e.own IS NULL) THEN 'duplicate_in_batch' ELSE own END AS reason FROM o""")
 def telemetry_rejects(spark, sf_dir):
     return desk.telemetry_rejects(reports(spark, sf_dir))
 
@@ -210,7 +210,7 @@ def public_products(spark, sf_dir):
     return orders(spark, sf_dir).where("id % 4 = 0").join(incident, "cust").orderBy(F.desc("day")).select("id", "day")
 
 
-_CHECKS = ", ".join(f"('{c}', {i})" for i, c in enumerate(desk.CHECKS))
+_CHECKS = "('hazards', 0), ('lookouts', 1), ('communications', 2), ('escape_routes', 3), ('safety_zones', 4), ('medical', 5), ('alternative_access', 6), ('withdrawal_triggers', 7), ('weather_update', 8)"
 
 
 @query(f"WITH {O}, c AS (SELECT * FROM (VALUES {_CHECKS}) AS c(item, i)) SELECT p.id AS period_id, c.item, (p.id * 7 + c.i) % 5 < 2 AND (p.id + c.i) % 3 <> 0 AS checked FROM o AS p, c")
@@ -350,22 +350,29 @@ def spread_bands(spark, sf_dir):
     return surfaces.spread_bands(passes, "satellite").withColumn("band", F.col("band").cast("long"))
 
 
-_CELLS = "range(-4, 5) AS i(i), range(-4, 5) AS j(j)"
-_NEAR = f"""{D}, n AS (SELECT d.*, CAST(floor(latitude / 5e-3) AS BIGINT) + i.i AS row, CAST(floor(longitude / 5e-3) AS BIGINT) + j.j AS col, greatest(15e-2, sqrt(scan * scan + track * track) / 2) AS sigma FROM d, {_CELLS}),
-    k AS (SELECT *, sqrt(pow((longitude - (col + 5e-1) * 5e-3) * 11132e-2 * cos(radians(latitude)), 2) + pow((latitude - (row + 5e-1) * 5e-3) * 110574e-3, 2)) AS km FROM n)"""
+_NEAR = f"""{D}, n AS (SELECT *, greatest(15e-2, sqrt(scan * scan + track * track) / 2) AS sigma FROM (SELECT d.* REPLACE (CASE WHEN id % 50 = 0 THEN 2e0 ELSE scan END AS scan, CASE WHEN id % 50 = 0 THEN 48e-1 ELSE track END AS track, CASE WHEN id % 2 = 0 THEN latitude + 28 ELSE latitude END AS latitude) FROM d)),
+    c AS (SELECT n.*, i.i AS row, j.j AS col FROM n, range(CAST(floor((latitude - {{0}} / 110574e-3) / {{1}}) AS BIGINT) - 1, CAST(floor((latitude + {{0}} / 110574e-3) / {{1}}) AS BIGINT) + 2) AS i(i), range(CAST(floor((longitude - {{0}} / 30e0) / {{1}}) AS BIGINT) - 1, CAST(floor((longitude + {{0}} / 30e0) / {{1}}) AS BIGINT) + 2) AS j(j)),
+    k AS (SELECT *, sqrt(pow((longitude - (col + 5e-1) * {{1}}) * 11132e-2 * cos(radians(latitude)), 2) + pow((latitude - (row + 5e-1) * {{1}}) * 110574e-3, 2)) AS km FROM c)"""
 
 
-@query(f"""{_NEAR}, w AS (SELECT row, col, least(999e-3, CASE instrument WHEN 'VIIRS' THEN 1e0 ELSE 7e-1 END * CASE confidence_level WHEN 'high' THEN 1e0 WHEN 'nominal' THEN 7e-1 WHEN 'low' THEN 35e-2 ELSE 5e-1 END * exp(-pow(km / sigma, 2) / 2) * exp(-greatest(0e0, (1706745600 - acq_ts) / 36e2) / 24e1) * (1 + least(15e-1, ln(1 + greatest(0e0, coalesce(frp, 0))) / 6))) AS p FROM k WHERE km <= 3 * sigma)
+def spread_seen(spark, sf_dir):
+    """Detections half of which lie at 64 degrees north or farther, every fiftieth with the pixel of a scan's edge."""
+    i = F.col("id")
+    return detections(spark, sf_dir).withColumns({"scan": F.when(i % 50 == 0, 2.0).otherwise(F.col("scan")), "track": F.when(i % 50 == 0, 4.8).otherwise(F.col("track")), "latitude": F.when(i % 2 == 0, F.col("latitude") + 28).otherwise(F.col("latitude"))})
+
+
+@query(f"""{_NEAR.format("5 * sigma", "1e-2")}, w AS (SELECT row, col, least(999e-3, CASE instrument WHEN 'VIIRS' THEN 1e0 ELSE 7e-1 END * CASE confidence_level WHEN 'high' THEN 1e0 WHEN 'nominal' THEN 7e-1 WHEN 'low' THEN 35e-2 ELSE 5e-1 END * exp(-pow(km / sigma, 2) / 2) * exp(-greatest(0e0, (1706745600 - acq_ts) / 36e2) / 24e1) * (1 + least(15e-1, ln(1 + greatest(0e0, coalesce(frp, 0))) / 6))) AS p FROM k WHERE km <= 5 * sigma)
     SELECT row, col, {_units('(1 - exp(sum(ln(1 - p))))', '1e6')} AS heat_e6 FROM w GROUP BY row, col""")
 def heat_grid(spark, sf_dir):
-    return surfaces.heat(detections(spark, sf_dir), 5e-3, 1_706_745_600, 240.0).select("row", "col", units(F.col("heat"), 1e6).alias("heat_e6"))
+    return surfaces.heat(spread_seen(spark, sf_dir), 1e-2, 1_706_745_600, 240.0).select("row", "col", units(F.col("heat"), 1e6).alias("heat_e6"))
 
 
-@query(f"""{_NEAR}, w AS (SELECT row, col, acq_ts, 1 / (km * km + 1e-2) AS w FROM k WHERE km <= 1), m AS (SELECT row, col, sum(w * acq_ts) / sum(w) AS mean, count(*) AS n FROM w GROUP BY row, col)
-    SELECT row, col, any_value(n) AS n, {_units('any_value(mean)', '1e0')} AS mean_s, {_units('sqrt(sum(w * pow(acq_ts - mean, 2)) / sum(w))', '1e0')} AS deviation_s FROM w JOIN m USING (row, col) GROUP BY row, col""")
+@query(f"""{_NEAR.format("2e0", "1e-2")}, w AS (SELECT row, col, acq_ts, 1 / (km * km * 1e6 + 1e-6) AS w FROM k WHERE km <= 2), m AS (SELECT row, col, sum(w * acq_ts) / sum(w) AS mean, count(*) AS n FROM w GROUP BY row, col),
+    a AS (SELECT row, col, any_value(n) AS n, any_value(mean) AS mean, sqrt(sum(w * pow(acq_ts - mean, 2)) / sum(w)) AS deviation FROM w JOIN m USING (row, col) GROUP BY row, col)
+    SELECT row, col, n, {_units('mean', '1e-1')} AS median_ds, {_units('(mean - deviation)', '1e-1')} AS earliest_ds, {_units('(mean + deviation)', '1e-1')} AS latest_ds FROM a""")
 def arrival_grid(spark, sf_dir):
-    found = surfaces.arrival(detections(spark, sf_dir), 5e-3, 1.0, 0.02)
-    return found.select("row", "col", "n", units(F.col("mean_ts"), 1.0).alias("mean_s"), units(F.col("deviation_s"), 1.0).alias("deviation_s"))
+    found = surfaces.arrival(spread_seen(spark, sf_dir), 1e-2, 2.0, 1_706_745_600)
+    return found.select("row", "col", "n", *[units(F.col(c), 0.1).alias(f"{c}_ds") for c in ("median", "earliest", "latest")])
 
 
 def winds(spark, sf_dir):
@@ -384,28 +391,71 @@ def wind_field(spark, sf_dir):
     return found.select("point_id", "n", units(F.col("u"), 1e6).alias("u_e6"), units(F.col("v"), 1e6).alias("v_e6"), units(F.col("nearest_km"), 1e6).alias("nearest_mm"), units(F.col("disagreement"), 1e4).alias("disagreement_e4"))
 
 
-@query(f"""{D}, h AS (SELECT unit, id AS hour, CASE WHEN id % 9 <> 0 THEN (id % 30) / 1e2 END AS target, (id % 13) / 1e1 AS rain, row_number() OVER (PARTITION BY unit ORDER BY id) AS i FROM d), b AS (SELECT unit, coalesce(avg(target), 0e0) AS m FROM h GROUP BY unit),
-    t AS (SELECT unit, i, CASE WHEN rain >= 5e-1 THEN 35e-2 ELSE target END AS x, rain >= 5e-1 AS wet FROM h), r AS (SELECT unit, CAST(0 AS BIGINT) AS i, m AS m1, m AS m10, m AS m100 FROM b UNION ALL
-    SELECT r.unit, t.i, coalesce(x + (m1 - x) * exp(-1 / CASE WHEN wet THEN 1e0 ELSE 1e0 END), m1), coalesce(x + (m10 - x) * exp(-1 / CASE WHEN wet THEN 25e-1 ELSE 1e1 END), m10), coalesce(x + (m100 - x) * exp(-1 / CASE WHEN wet THEN 25e0 ELSE 1e2 END), m100) FROM r JOIN t ON t.unit = r.unit AND t.i = r.i + 1)
+_RUN_TEXTS = ("4 m/s", "18 km/h", "9kt", "fresh")
+
+
+@query(f"""WITH {O}, p AS (SELECT CAST(s_suppkey AS BIGINT) AS point_id, 3601e-2 + CAST(s_suppkey % 12 AS DOUBLE) * 75e-2 AS lat, 1002e-2 + CAST(s_suppkey % 13 AS DOUBLE) * 9e-1 AS lon FROM supplier),
+    r AS (SELECT id, cust % 100 + 1 AS point_id, {AT} + (id % 41 - 30) * 3600 AS reference, [4e0, 18 / 36e-1, 9 * 514444e-6, NULL][id % 4 + 1] AS speed, CASE WHEN id % 11 <> 0 THEN CAST(id * 13 % 360 AS DOUBLE) END AS way, {AT} + (id % 5 - 2) * 7200 AS until FROM o)
+    SELECT point_id, id AS run_id, reference, {_units('(-speed * sin(radians(way)))', '1e6')} AS u_e6, {_units('(-speed * cos(radians(way)))', '1e6')} AS v_e6, until < {AT} AS stale FROM r WHERE reference <= {AT} AND speed IS NOT NULL AND way IS NOT NULL QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY reference DESC, id DESC) = 1""")
+def wind_background(spark, sf_dir):
+    found = surfaces.background(wind_runs(spark, sf_dir), "point_id", AT)
+    return found.select("point_id", "run_id", "reference", units(F.col("u"), 1e6).alias("u_e6"), units(F.col("v"), 1e6).alias("v_e6"), "stale")
+
+
+def wind_runs(spark, sf_dir):
+    """Model runs with winds as text, some of which can't be read."""
+    i = F.col("id")
+    speed = text.speed(F.element_at(F.array(*[F.lit(x) for x in _RUN_TEXTS]), (i % 4 + 1).cast("int")))
+    way = text.direction(F.when(i % 11 == 0, "variable").otherwise(F.concat(i * 13 % 360, F.lit("°"))))
+    return orders(spark, sf_dir).select((F.col("cust") % 100 + 1).alias("point_id"), i.alias("run_id"), (F.lit(AT) + (i % 41 - 30) * 3600).alias("reference"), speed.alias("speed"), way.alias("from_deg"), (F.lit(AT) + (i % 5 - 2) * 7200).alias("valid_until"))
+
+
+@query(f"""WITH RECURSIVE {DETECTIONS_SQL}, {O}, p AS (SELECT CAST(s_suppkey AS BIGINT) AS point_id, 3601e-2 + CAST(s_suppkey % 12 AS DOUBLE) * 75e-2 AS lat, 1002e-2 + CAST(s_suppkey % 13 AS DOUBLE) * 9e-1 AS lon FROM supplier),
+    r AS (SELECT id, cust % 100 + 1 AS point_id, {AT} + (id % 41 - 30) * 3600 AS reference, [4e0, 18 / 36e-1, 9 * 514444e-6, NULL][id % 4 + 1] AS speed, CASE WHEN id % 11 <> 0 THEN CAST(id * 13 % 360 AS DOUBLE) END AS way FROM o),
+    b AS (SELECT point_id, -speed * sin(radians(way)) AS bu, -speed * cos(radians(way)) AS bv FROM r WHERE reference <= {AT} AND speed IS NOT NULL AND way IS NOT NULL QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY reference DESC, id DESC) = 1),
+    k AS (SELECT point_id, {_WIND_KM} AS km, acq_ts, -(id % 25 / 2e0) * sin(radians(id * 37 % 360)) - coalesce(bu, 0) AS u, -(id % 25 / 2e0) * cos(radians(id * 37 % 360)) - coalesce(bv, 0) AS v FROM p LEFT JOIN b USING (point_id), d AS o WHERE acq_ts > {AT - WINDOW} AND acq_ts <= {AT}),
+    w AS (SELECT *, pow(5e-1, ({AT} - acq_ts) / {WINDOW / 2}) / (km * km + 1e-2) AS w FROM k WHERE km <= 60), a AS (SELECT point_id, sum(w * u) / sum(w) AS u, sum(w * v) / sum(w) AS v, count(*) AS n FROM w GROUP BY point_id)
+    SELECT point_id, coalesce(n, 0) AS n, {_units('(coalesce(bu, 0) + coalesce(u, 0))', '1e6')} AS u_e6, {_units('(coalesce(bv, 0) + coalesce(v, 0))', '1e6')} AS v_e6 FROM p LEFT JOIN b USING (point_id) LEFT JOIN a USING (point_id) WHERE n IS NOT NULL OR bu IS NOT NULL""")
+def wind_residuals(spark, sf_dir):
+    """Observations as what they differ from a model's wind; points without any keep it."""
+    points = sources(spark, sf_dir).withColumnRenamed("source_id", "point_id")
+    found = surfaces.wind_field(points, winds(spark, sf_dir), AT, WINDOW, 60.0, surfaces.background(wind_runs(spark, sf_dir), "point_id", AT))
+    return found.select("point_id", "n", units(F.col("u"), 1e6).alias("u_e6"), units(F.col("v"), 1e6).alias("v_e6"))
+
+
+@query(f"""{D}, h AS (SELECT unit, CASE WHEN id % 9 <> 0 THEN CAST(id % 30 AS DOUBLE) END AS t, CASE WHEN id % 7 <> 0 THEN CAST(id * 11 % 110 AS DOUBLE) END AS rh, (id % 13) / 1e1 AS rain, row_number() OVER (PARTITION BY unit ORDER BY id) AS i FROM d),
+    e AS (SELECT *, t IS NOT NULL AND rh IS NOT NULL AS known, rain >= 5e-1 AS wet, greatest(0e0, (1617e-4 - 1419e-6 * t) * pow(greatest(1e-9, -ln(1 - least(99e-2, greatest(0e0, rh / 1e2)))), 4657e-4 - 3578e-6 * t)) AS x FROM h),
+    r AS (SELECT unit, CAST(0 AS BIGINT) AS i, 1e-1 AS m1, 12e-2 AS m10, 14e-2 AS m100 FROM h GROUP BY unit UNION ALL
+    SELECT r.unit, e.i, {", ".join(f"CASE WHEN NOT known THEN {m} WHEN wet THEN 35e-2 + ({m} - 35e-2) * exp(-1 / {w}) ELSE x + ({m} - x) * exp(-1 / {d}) END" for m, w, d in (("m1", "1e0", "1e0"), ("m10", "25e-1", "1e1"), ("m100", "25e0", "1e2")))} FROM r JOIN e ON e.unit = r.unit AND e.i = r.i + 1)
     SELECT unit, {', '.join(f"{_units(m, '1e9')} AS {m}_e9" for m in ('m1', 'm10', 'm100'))} FROM r QUALIFY row_number() OVER (PARTITION BY unit ORDER BY i DESC) = 1""")
 def moisture_recurrence(spark, sf_dir):
+    """Temperature and humidity to equilibrium, and conditioning by it; a bin holds few of a unit's hours, so maps are composed."""
     i = F.col("id")
-    hours = detections(spark, sf_dir).select("unit", i.alias("hour"), F.when(i % 9 != 0, (i % 30) / 100.0).alias("target"), ((i % 13) / 10.0).alias("rain"))
+    celsius, humidity = F.when(i % 9 != 0, (i % 30).cast("double")), F.when(i % 7 != 0, (i * 11 % 110).cast("double"))
+    hours = detections(spark, sf_dir).select("unit", i.alias("hour"), surfaces.equilibrium_moisture(humidity, celsius).alias("target"), ((i % 13) / 10.0).alias("rain"))
     found = surfaces.moisture(hours, "unit")
     return found.select("unit", *[units(F.col(m), 1e9).alias(f"{m}_e9") for m in ("m1", "m10", "m100")])
 
 
-@query(f"""WITH {O} SELECT id, CASE id % 4 WHEN 0 THEN (id % 60) WHEN 1 THEN (id % 60) / 36e-1 WHEN 2 THEN (id % 60 + 5e-1) * 44704e-5 END AS speed, CASE WHEN id % 3 = 0 THEN CAST(id % 720 AS DOUBLE) % 36e1 WHEN id % 3 = 1 THEN CAST(id % 16 AS DOUBLE) * 225e-1 END AS direction FROM o""")
+_UNIT_TEXTS = (" m/s", "ms-1", "km/h", " KMH", "kt", " kts", "Knot", " knots", "", " mph", ",5 m/s", ".25", "-1", " m / s")
+_WAY_TEXTS = ("", "°", " deg", "DEG", ".5 °", " north", "e2")
+
+
+@query(f"""WITH {O}, r AS (SELECT id, CASE WHEN id % 20 = 19 THEN 'fresh' ELSE (id % 60) || {list(_UNIT_TEXTS)}[id % {len(_UNIT_TEXTS)} + 1] END AS a, CASE WHEN id % 3 = 1 THEN lower({list(text.COMPASS)}[id % 16 + 1]) ELSE (id % 720) || {list(_WAY_TEXTS)}[id % {len(_WAY_TEXTS)} + 1] END AS b FROM o),
+    s AS (SELECT *, replace(lower(trim(a)), ',', '.') AS w, trim(replace(replace(upper(trim(b)), '°', ''), 'DEG', '')) AS v FROM r), n AS (SELECT *, TRY_CAST(nullif(regexp_extract(w, '^[0-9]+(\\.[0-9]+)?', 0), '') AS DOUBLE) AS x, trim(regexp_replace(w, '^[0-9]+(\\.[0-9]+)?', '')) AS u FROM s)
+    SELECT id, CASE WHEN w NOT SIMILAR TO '[0-9].*' THEN NULL WHEN u IN ('', 'm/s', 'ms-1') THEN x WHEN u IN ('km/h', 'kmh') THEN x / 36e-1 WHEN u IN ('kt', 'kts', 'knot', 'knots') THEN x * 514444e-6 END AS speed,
+    coalesce((list_position({list(text.COMPASS)}, v) - 1) * 225e-1, CASE WHEN v SIMILAR TO '[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(E[-+]?[0-9]+)?' THEN CAST(v AS DOUBLE) % 36e1 END) AS direction FROM n""")
 def wind_text(spark, sf_dir):
     i = F.col("id")
-    names = F.array(*[F.lit(c) for c in text.COMPASS])
-    raw = F.when(i % 4 == 0, F.concat((i % 60).cast("string"), F.lit(" m/s"))).when(i % 4 == 1, F.concat((i % 60).cast("string"), F.lit("km/h"))).when(i % 4 == 2, F.concat((i % 60).cast("string"), F.lit(",5 MPH"))).otherwise("fresh")
-    way = F.when(i % 3 == 0, (i % 720).cast("string")).when(i % 3 == 1, F.lower(F.element_at(names, (i % 16 + 1).cast("int")))).otherwise("variable")
+    pick = lambda of: F.element_at(F.array(*[F.lit(x) for x in of]), (i % len(of) + 1).cast("int"))
+    raw = F.when(i % 20 == 19, "fresh").otherwise(F.concat(i % 60, pick(_UNIT_TEXTS)))
+    way = F.when(i % 3 == 1, F.lower(pick(text.COMPASS))).otherwise(F.concat(i % 720, pick(_WAY_TEXTS)))
     return orders(spark, sf_dir).select("id", text.speed(raw).alias("speed"), text.direction(way).alias("direction"))
 
 
-@query("""WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderpriority AS p FROM orders), b AS (SELECT *, 'GPRMC,' || id || ',A' AS body FROM o), x AS (SELECT *, list_reduce(list_transform(string_split(body, ''), lambda c: ascii(c)), lambda a, c: xor(a, c)) AS s FROM b)
-    SELECT id, id % 5 <> 0 AS ok, (floor(id % 9000 / 1e2) + (id % 9000 - floor(id % 9000 / 1e2) * 100) / 60) * CASE WHEN id % 2 = 0 THEN -1 ELSE 1 END AS degrees FROM x""")
+@query("""WITH b AS (SELECT CAST(o_orderkey AS BIGINT) AS id, 'GPRMC,' || o_orderkey || ',A' AS body, CAST(o_orderkey % 9000 AS VARCHAR) AS dm FROM orders), x AS (SELECT *, list_reduce(list_transform(string_split(body, ''), lambda c: ascii(c)), lambda a, c: xor(a, c)) AS s FROM b),
+    t AS (SELECT *, '$' || body || '*' || printf('%02X', CASE WHEN id % 5 = 0 THEN (s + 1) % 256 ELSE s END) AS line FROM x), p AS (SELECT *, regexp_extract(line, '^[$]([^*]*)[*]', 1) AS inner_text, regexp_extract(line, '[*]([0-9A-F]{2})$', 1) AS trailer FROM t)
+    SELECT id, printf('%02X', list_reduce(list_transform(string_split(inner_text, ''), lambda c: ascii(c)), lambda a, c: xor(a, c))) = trailer AS ok, (CAST(dm AS BIGINT) // 100 + (CAST(dm AS DOUBLE) - CAST(dm AS BIGINT) // 100 * 100) / 60) * CASE WHEN id % 2 = 0 THEN -1 ELSE 1 END AS degrees FROM p""")
 def nmea_sentences(spark, sf_dir):
     """Sentences whose checksum is right but for every fifth, whose trailer is another number."""
     i = F.col("id")
@@ -415,13 +465,20 @@ def nmea_sentences(spark, sf_dir):
     return orders(spark, sf_dir).select("id", text.checksum_ok(F.concat(F.lit("$"), body, F.lit("*"), trailer)).alias("ok"), text.degrees_of((i % 9000).cast("string"), F.when(i % 2 == 0, "S").otherwise("N")).alias("degrees"))
 
 
-@query("""SELECT CAST(o_orderkey AS BIGINT) AS id, trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') AS slug, lpad(CAST(o_orderkey % 2400 AS VARCHAR), 4, '0') AS clock, CASE WHEN o_orderkey % 400000 < 3600 THEN (o_orderkey % 400000 // 60) || ' min' WHEN o_orderkey % 400000 < 172800 THEN (o_orderkey % 400000 // 3600) || ' h' ELSE (o_orderkey % 400000 // 86400) || ' days' END AS age,
-    'rtsp://u:***@h/' || o_orderkey AS url, coalesce(TRY_CAST(CASE WHEN o_orderkey % 2 = 0 THEN 'n/a' ELSE o_orderkey || '.5' END AS DOUBLE), CAST(o_orderkey AS DOUBLE)) AS first_number, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE substr(o_orderstatus || '-text', 1, 5) END AS cleaned,
-    CASE WHEN o_orderkey % 6 <> 0 THEN 1 / CAST(nullif(o_orderkey % 6, 0) AS DOUBLE) END AS finite FROM orders""")
+_URLS = ("rtsp://u:secret@H/", "mqtts://ops@broker.example:8883/topic?x=1", "mqtt://broker.example", "no-host", "", "mqtt://u:p@:1883")
+
+
+@query(f"""WITH r AS (SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderstatus, CASE o_orderkey % 4 WHEN 0 THEN '  ' || o_orderpriority || '!!' WHEN 1 THEN o_orderpriority || '_x_' || repeat('long name ', 6) WHEN 2 THEN '--A b--' || o_orderkey ELSE '?' || o_orderkey END AS name, o_orderkey % 400000 + 5e-1 AS age, {list(_URLS)}[o_orderkey % {len(_URLS)} + 1] AS url FROM orders),
+    u AS (SELECT *, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS authority FROM r), v AS (SELECT *, CASE WHEN contains(authority, '@') THEN split_part(split_part(authority, '@', 1), ':', 1) || '@' ELSE '' END AS usr, CASE WHEN contains(authority, '@') THEN split_part(authority, '@', 2) ELSE authority END AS host FROM u)
+    SELECT id, left(trim(regexp_replace(lower(trim(name)), '[^a-z0-9_-]+', '-', 'g'), '-'), 48) AS slug, lpad(CAST(id % 2400 AS VARCHAR), 4, '0') AS clock, CASE WHEN age < 3600 THEN CAST(floor(age / 60) AS BIGINT) || ' min ago' WHEN age < 86400 THEN printf('%.1f h ago', age / 3600) ELSE printf('%.1f days ago', age / 86400) END AS age,
+    CASE WHEN url = '' THEN '' WHEN split_part(host, ':', 1) = '' THEN '(malformed)' ELSE scheme || '://' || usr || lower(host) END AS url, coalesce(TRY_CAST(CASE WHEN id % 2 = 0 THEN 'n/a' ELSE id || '.5' END AS DOUBLE), CAST(id AS DOUBLE)) AS first_number, CASE WHEN id % 3 = 0 THEN '' ELSE substr(o_orderstatus || '-text', 1, 5) END AS cleaned,
+    CASE WHEN id % 6 <> 0 THEN 1 / CAST(nullif(id % 6, 0) AS DOUBLE) END AS finite FROM v""")
 def text_scalars(spark, sf_dir):
     k = F.col("o_orderkey").cast("long")
+    name = F.when(k % 4 == 0, F.concat(F.lit("  "), "o_orderpriority", F.lit("!!"))).when(k % 4 == 1, F.concat("o_orderpriority", F.lit("_x_"), F.repeat(F.lit("long name "), 6))).when(k % 4 == 2, F.concat(F.lit("--A b--"), k)).otherwise(F.concat(F.lit("?"), k))
+    url = F.element_at(F.array(*[F.lit(u) for u in _URLS]), (k % len(_URLS) + 1).cast("int"))
     return table(spark, sf_dir, "orders").select(
-        k.alias("id"), text.slug(F.col("o_orderpriority")).alias("slug"), text.clock(F.concat((k % 2400).cast("string"), F.lit(" h"))).alias("clock"), text.age_text(k % 400_000).alias("age"), text.redacted(F.concat(F.lit("rtsp://u:secret@h/"), k.cast("string"))).alias("url"),
+        k.alias("id"), text.slug(name).alias("slug"), text.clock(F.concat((k % 2400).cast("string"), F.lit(" h"))).alias("clock"), text.age_text(k % 400_000 + 0.5).alias("age"), text.redacted(url).alias("url"),
         text.first_number([F.when(k % 2 == 0, "n/a").otherwise(F.concat(k.cast("string"), F.lit(".5"))), k.cast("string")]).alias("first_number"), text.clean(F.when(k % 3 != 0, F.concat(F.lit("  "), "o_orderstatus", F.lit("-text"))), 5).alias("cleaned"),
         text.finite(F.when(k % 6 == 0, F.lit(float("inf"))).otherwise(1 / (k % 6).cast("double"))).alias("finite"),
     )
