@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from emberframe.llm.rows import row_of
 from emberframe.llm.skew import join_groups
-from emberframe.llm.tokens import forget
+from emberframe.llm.tokens import forget, trim
 from emberframe.llm.words import shingle_set
 from emberframe.session import cut, stored
 
@@ -214,6 +214,7 @@ def confirmed(pairs: DataFrame, given: DataFrame, keys: DataFrame, words: int, s
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The components of one task's edges (a, b): each id but the smallest, with the smallest."""
+    trim()
     over: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -369,6 +370,7 @@ def _labels(given: DataFrame, classes: DataFrame, words: int, similarity: tuple[
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    trim()
     for batch in batches:
         (n, p, u), (m, q, v) = _columns(batch, "_a"), _columns(batch, "_b")
         alike = (p == q).sum(axis=1)

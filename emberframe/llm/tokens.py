@@ -10,6 +10,8 @@ whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 from collections.abc import Iterator
@@ -274,4 +276,11 @@ def encoder(vocabulary: str, kind: type[Encoder] = Encoder, **options) -> Encode
 def forget() -> None:
     """Frees what the worker remembers of earlier encoding: stages of another kind that Spark runs in the same worker need the memory."""
     _encoders.clear()
+    trim()
+
+
+def trim() -> None:
+    """Hands memory that earlier tasks of this worker have freed back to the system."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library knows it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -136,3 +136,39 @@ def test_url_model_reads_the_query_and_urls_without_scheme(spark):
     found = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert [found[5000 + i].verdict for i in range(4)] == ["allow", "block", "allow", "block"]
     assert found[5000].host == "fresh.org" and found[5000].path == "/go" and found[5002].host == ""
+
+
+def test_url_ratio_against_brute_force(spark):
+    """Counts are exact: the ratio of 200 URLs from dictionaries, and the same verdicts for the table ten times over."""
+    from collections import Counter
+    from math import log
+
+    urls = [f"http://site{i % 7}.com/a/{i * 7919 % 1000}?q={i}" for i in range(120)] + [f"http://q{i % 5}.net/es/x{i * 31 % 97}-\u00e9" for i in range(60)] + [f"http://neu{i}.org/a/x{i}" for i in range(20)]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(5)
+    found = {r.page_id: r for r in url_filter.filter_urls(frame).collect()}
+    counts = {kind: Counter() for kind in ("allow", "block")}
+    text = lambda u: [None] * 4 + list(u.encode())
+    for i, u in enumerate(urls):
+        if found[i].rule and zlib.crc32(u.encode()) % 5:
+            raw = text(u)
+            for at in range(4, len(raw)):
+                for order in range(5):
+                    counts[found[i].verdict][tuple(raw[at - order : at + 1])] += 1
+                    counts[found[i].verdict]["context", tuple(raw[at - order : at])] += 1
+    for i, u in enumerate(urls):
+        raw, logs = text(u), {}
+        for kind, c in counts.items():
+            total = 0.0
+            for at in range(4, len(raw)):
+                p = 1 / 256
+                for order in range(5):
+                    p = (c[tuple(raw[at - order : at + 1])] + 2.0 * p) / (c["context", tuple(raw[at - order : at])] + 2.0)
+                assert 0 < p <= 1
+                total += log(p)
+            logs[kind] = total
+        assert abs(found[i].difference - (logs["allow"] - logs["block"]) / (len(raw) - 4)) < 1e-9
+    ten = frame
+    for _ in range(9):
+        ten = ten.unionByName(frame)
+    again = {r.page_id: r.verdict for r in url_filter.filter_urls(ten).collect()}
+    assert again == {i: r.verdict for i, r in found.items()}
