@@ -58,19 +58,27 @@ def summaries(detections: DataFrame, labels: DataFrame, least: int = 1) -> DataF
 
 
 def passes(detections: DataFrame, gap_seconds: int = 1800) -> DataFrame:
-    """Overpasses of each satellite: runs of detections with gaps of at most gap_seconds."""
-    order = Window.partitionBy("satellite").orderBy("acq_ts", "id")
-    starts = F.coalesce((F.col("acq_ts") - F.lag("acq_ts").over(order) > gap_seconds).cast("int"), F.lit(1))
-    numbered = detections.withColumn("starts", starts).withColumn("number", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("satellite", "number").agg(F.min("acq_ts").alias("first_ts"), F.max("acq_ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
-
+    """Overpasses of each satellite: runs of detections with gaps of at most gap_seconds, numbered by time.
 
-def day_islands(days: DataFrame, most: int) -> DataFrame:
-    """Runs of successive days of each key (source, acq_date), cut after most days."""
-    order = Window.partitionBy("source").orderBy("acq_date")
-    placed = days.select("source", "acq_date").distinct().withColumn("island", F.date_sub("acq_date", F.row_number().over(order)))
-    within = F.row_number().over(Window.partitionBy("source", "island").orderBy("acq_date")) - 1
-    return placed.withColumn("chunk", F.floor(within / most)).groupBy("source", "island", "chunk").agg(F.min("acq_date").alias("first_day"), F.max("acq_date").alias("last_day"), F.count(F.lit(1)).alias("days")).drop("island", "chunk")
+    Runs are found within each satellite's days and go on across midnight where the gap allows, so a window holds a day's detections, and then the runs.
+    """
+    by_day = detections.select("satellite", "acq_ts", F.floor(F.col("acq_ts") / 86_400).alias("day")).groupBy("satellite", "day", "acq_ts").agg(F.count(F.lit(1)).alias("same"))
+    order = Window.partitionBy("satellite", "day").orderBy("acq_ts")
+    starts = F.coalesce((F.col("acq_ts") - F.lag("acq_ts").over(order) > gap_seconds).cast("int"), F.lit(1))
+    numbered = by_day.withColumn("starts", starts).withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("satellite", "day", "run").agg(F.min("acq_ts").alias("a"), F.max("acq_ts").alias("b"), F.sum("same").alias("n"))
+    after = Window.partitionBy("satellite").orderBy("a")
+    begins = F.coalesce((F.col("a") - F.lag("b").over(after) > gap_seconds).cast("int"), F.lit(1))
+    stitched = runs.withColumn("begins", begins).withColumn("number", F.sum("begins").over(after.rowsBetween(Window.unboundedPreceding, 0)))
+    return stitched.groupBy("satellite", "number").agg(F.min("a").alias("first_ts"), F.max("b").alias("last_ts"), F.sum("n").alias("n"))
+
+
+def day_islands(days: DataFrame, most: int, keys: Sequence[str] = ("source",), day: str = "acq_date") -> DataFrame:
+    """Runs of successive days of each key, cut after most days: the keys, first_day, last_day, days."""
+    order = Window.partitionBy(*keys).orderBy(day)
+    placed = days.select(*keys, day).distinct().withColumn("island", F.date_sub(day, F.row_number().over(order)))
+    within = F.row_number().over(Window.partitionBy(*keys, "island").orderBy(day)) - 1
+    return placed.withColumn("chunk", F.floor(within / most)).groupBy(*keys, "island", "chunk").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count(F.lit(1)).alias("days")).drop("island", "chunk")
 
 
 def missing_days(seen: DataFrame, wanted: DataFrame, keys: Sequence[str] = ("source", "acq_date")) -> DataFrame:

@@ -9,9 +9,10 @@ import pytest
 
 from emberframe import catalogue
 from emberframe.operators import events, positions
-from emberframe.plans import incidents, workspace
+from emberframe.plans import fields, incidents, intake, workspace
 
-QUERIES, SQL = catalogue.queries() | incidents.queries() | workspace.queries(), catalogue.oracle_sql() | incidents.oracle_sql() | workspace.oracle_sql()
+PLANS = (catalogue, incidents, workspace, fields, intake)
+QUERIES, SQL = {k: q for p in PLANS for k, q in p.queries().items()}, {k: q for p in PLANS for k, q in p.oracle_sql().items()}
 
 
 def plain(rows):
