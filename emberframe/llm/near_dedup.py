@@ -15,7 +15,8 @@ Leaves are compared in blocks, outsiders against all. The recall above holds for
 that leaders or others have joined is in one component already. Nodes that branching doesn't part are compared
 exhaustively all the same, which is quadratic in the members outside their main component.
 
-Of the pairs found, the likeliest of each class is confirmed first, then those of components that are still apart.
+Of a leaf's pairs, the likeliest of each member are confirmed first; then leaves are compared again for all pairs of members that are
+still of different components, which loses none and writes out few.
 
 Defined results. Null texts and texts without words have an empty set, are linked with nothing and kept. A text with
 fewer words than a shingle has is one shingle. Rows with the same doc_id are linked by their sets like any others, and
@@ -124,8 +125,14 @@ def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, similarity: tuple
     return differ * (whole + part) <= (n + m) * (whole - part)
 
 
-def _compare(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
-    """Pairs of one node's members, or of two of its blocks, that may be similar: a is outside the main component, b of another component."""
+def _best(key: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """The places of the likeliest pair of each key."""
+    order = np.lexsort((-alike.astype(np.int64), key))
+    return order[np.concatenate([[True], key[order][1:] != key[order][:-1]])] if len(order) else order
+
+
+def _compare(table: pa.Table, similarity: tuple[int, int], best: bool = False) -> pa.Table:
+    """Pairs of one node's members, or of two of its blocks, that may be similar: a is outside the main component, b of another component. best: of each member the likeliest one alone."""
     ids, component, side, outside = (table[c].to_numpy() for c in ("id", "component", "side", "outside"))
     n, marks, sketches = _columns(table)
     left, right = np.flatnonzero((side == 0) | (side == 2) & outside), np.flatnonzero(side != 0)  # 2: on both sides
@@ -146,7 +153,11 @@ def _compare(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
             a.append(ids[p[fine]])
             b.append(ids[q[fine]])
             equal.append(same[part : part + 65536][fine])
-    return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64()), "alike": pa.array(np.concatenate(equal), pa.int32())})
+    a, b, equal = np.concatenate(a), np.concatenate(b), np.concatenate(equal)
+    if best:
+        some = np.union1d(_best(a, equal), _best(b, equal))
+        a, b, equal = a[some], b[some], equal[some]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "alike": pa.array(equal, pa.int32())})
 
 
 def node_stats(members: DataFrame, turn: int = 0) -> DataFrame:
@@ -159,8 +170,8 @@ def node_stats(members: DataFrame, turn: int = 0) -> DataFrame:
     return whole.select("node", "size", "above", "most", "main", (F.col("size") * F.col("size") - F.col("squares")).alias("pairs"), "leader")
 
 
-def node_pairs(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Candidate pairs of nodes: members (id, node, component, main, size, most, n, marks, sketch). A node of more than BLOCK members is compared block by block."""
+def node_pairs(members: DataFrame, similarity: tuple[int, int], best: bool = False) -> DataFrame:
+    """Candidate pairs of nodes: members (id, node, component, main, size, most, n, marks, sketch). A node of more than BLOCK members is compared block by block. best: the likeliest of each member."""
     outside, blocks = F.col("component") != F.col("main"), F.ceil(F.col("size") / BLOCK).cast("int")
     outer = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
     x, y = F.pmod(F.xxhash64("id", F.lit(1)), outer).cast("int"), F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -169,7 +180,7 @@ def node_pairs(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     left = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: meet(x, j, 0))
     meets = F.when((blocks == 1) & (outer == 1), F.array(meet(F.lit(0), F.lit(0), 2))).when(outside, F.concat(right, left)).otherwise(right)
     dealt = members.withColumn("meet", F.explode(meets)).select("node", "meet.x", "meet.y", "meet.side", "id", "component", outside.alias("outside"), "n", "marks", "sketch")
-    return dealt.groupBy("node", "x", "y").applyInArrow(lambda table: _compare(table, similarity), "a long, b long, alike int").distinct()
+    return dealt.groupBy("node", "x", "y").applyInArrow(lambda table: _compare(table, similarity, best), "a long, b long, alike int").distinct()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
@@ -298,7 +309,7 @@ def _labels(given: DataFrame, classes: DataFrame, words: int, similarity: tuple[
     in_nodes = cut(by_class(join_groups(root, shared, "node", "size", every)))
     signatures = cut(classes.drop("print", "copies").join(in_nodes.select("id"), "id"))
     edges, labels = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
-    found = spark.createDataFrame([], "a long, b long, alike int")
+    found, leaves = spark.createDataFrame([], "a long, b long, alike int"), spark.createDataFrame([], "id long, node long")
     if in_nodes.isEmpty():
         return labels
 
@@ -358,14 +369,24 @@ def _labels(given: DataFrame, classes: DataFrame, words: int, similarity: tuple[
         # a node that kept more than half of the one above holds members too alike for branching to part them
         leaf = (F.col("pairs") <= FEW) | F.coalesce(2 * F.col("size") > F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
         members = cut(with_stats(level, stats.where("pairs > 0")).withColumn("leaf", leaf).drop("leader", "pairs"))
-        found = found.union(cut(node_pairs(members.where("leaf").join(signatures.select("id", "n", "marks", "sketch"), "id"), similarity)))
+        leaves = leaves.union(members.where("leaf").select("id", "node"))
+        found = found.union(cut(node_pairs(members.where("leaf").join(signatures.select("id", "n", "marks", "sketch"), "id"), similarity, best=True)))
         rest = members.where("NOT leaf")
         if rest.isEmpty():
             break
         level, stats = cut(branches(rest.join(signatures.select("id", "signature"), "id"), depth)), None
+    # each member's likeliest pairs come first: what they join needs no further pairs, so a group of m alike costs m rows, not m squared
     found = cut(found.distinct())
     link(likeliest(found))
     link(cut(apart(found).select("a", "b")))
+    again = leaves.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "node", F.lit(None).cast("long").alias("above"))
+    again = cut(again)
+    stats = cut(node_stats(again).where("pairs > 0"))
+    if not stats.isEmpty():  # then all pairs of members that are still apart
+        members = with_stats(again, stats).drop("leader", "pairs").join(signatures.select("id", "n", "marks", "sketch"), "id")
+        found = cut(node_pairs(members, similarity))
+        link(likeliest(found))
+        link(cut(apart(found).select("a", "b")))
     return labels
 
 
