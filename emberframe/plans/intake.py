@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from emberframe.plans.incidents import _units, units
 from emberframe.session import table, work_dir
-from emberframe.sources import feeds, store
+from emberframe.sources import documents, feeds, store
 from emberframe.sources.detections import DETECTIONS_SQL, detections
 
 TODAY, NOW = "2024-01-31", 1_706_700_000
@@ -161,6 +161,66 @@ def fetch_tasks(spark, sf_dir):
     return store.fetch_tasks(wanted(spark, sf_dir), TODAY, 5)
 
 
+def alert_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """payload_id, body: an alert per order, some in a feed, in two languages, drafts, cancellations and hostile ones among them."""
+    i = F.col("o_orderkey").cast("long")
+    n = i.cast("string")
+    say = lambda lang, event: F.concat(F.lit(f"<cap:info><cap:language>{lang}</cap:language><cap:event>{event}</cap:event><cap:urgency>Immediate</cap:urgency><cap:severity>"), F.when(i % 4 == 0, "Extreme").when(i % 4 == 1, "Minor").when(i % 4 == 2, "Dire").otherwise(""), F.lit("</cap:severity><cap:headline>  H "), n, F.lit(" &amp; more</cap:headline><cap:area><cap:areaDesc>A</cap:areaDesc><cap:polygon>"), F.concat_ws(" ", F.concat(F.when(i % 23 == 0, "x").otherwise((i % 50).cast("string")), F.lit(",10")), F.concat((i % 50).cast("string"), F.lit(",11.5")), F.concat((i % 50 + 1).cast("string"), F.lit(",11"))), F.lit("</cap:polygon></cap:area></cap:info>"))
+    infos = F.when(i % 5 == 0, F.concat(say("en-GB", "Fire"), say("de-DE", "Feuer"))).when(i % 5 == 1, F.concat(say("fr", "Feu"), say("EN", "Fire"))).when(i % 5 == 2, say("fr", "Feu")).when(i % 5 == 3, say("de", "Feuer")).otherwise("")
+    status = F.when(i % 7 == 0, "Exercise").when(i % 7 == 1, "").otherwise("Actual")
+    kind = F.when(i % 2 == 0, "Cancel").otherwise("Alert")
+    alert = F.concat(F.lit('<cap:alert xmlns:cap="urn:oasis:names:tc:emergency:cap:1.2"><cap:identifier>'), F.when(i % 29 == 0, " ").otherwise(F.concat(F.lit("id-"), n)), F.lit("</cap:identifier><cap:sender>s</cap:sender><cap:status>"), status, F.lit("</cap:status><cap:msgType>"), kind, F.lit("</cap:msgType>"), infos, F.lit("</cap:alert>"))
+    body = F.when(i % 31 == 0, F.concat(F.lit('<!DOCTYPE x [<!ENTITY e SYSTEM "file:///etc/passwd">]>'), alert)).when(i % 37 == 0, "<feed></feed>").when(i % 3 == 0, F.concat(F.lit("<feed><entry>"), alert, F.lit("</entry></feed>"))).otherwise(alert)
+    return table(spark, sf_dir, "orders").select(i.alias("payload_id"), body.alias("body"))
+
+
+_ALERTS = """WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS i FROM orders), r AS (SELECT *, i % 31 = 0 AS declared, i % 37 = 0 AS none, i % 7 = 0 AS draft, i % 5 = 4 AS bare, i % 29 = 0 AS unnamed, i % 23 = 0 AS broken FROM o),
+    j AS (SELECT *, CASE WHEN declared THEN 'declaration' WHEN none THEN 'no_alert' WHEN draft OR (bare AND i % 2 = 0 AND NOT unnamed) THEN 'silent' WHEN unnamed THEN 'identifier' WHEN bare THEN 'no_info' WHEN broken THEN 'polygon' END AS reason FROM r)"""
+
+
+@query(f"""{_ALERTS} SELECT i AS payload_id, 'id-' || i AS identifier, CASE i % 5 WHEN 0 THEN 'de-de' WHEN 1 THEN 'en' WHEN 2 THEN 'fr' ELSE 'de' END AS language, CASE i % 5 WHEN 0 THEN 'Feuer' WHEN 1 THEN 'Fire' WHEN 2 THEN 'Feu' ELSE 'Feuer' END AS event, CASE i % 4 WHEN 0 THEN 'Extreme' WHEN 1 THEN 'Minor' WHEN 2 THEN 'Dire' ELSE 'Unknown' END AS severity,
+    CAST(CASE i % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 5 ELSE 4 END AS INT) AS severity_rank, 'H ' || i || ' & more' AS headline, CAST(4 AS BIGINT) AS points, CAST(i % 50 AS DOUBLE) AS south FROM j WHERE reason IS NULL""")
+def cap_alerts(spark, sf_dir):
+    taken = documents.alerts_of(alert_payloads(spark, sf_dir))[0]
+    ring = F.get("rings", F.lit(0))
+    return taken.select("payload_id", "identifier", "language", "event", "severity", "severity_rank", "headline", F.size(ring).cast("long").alias("points"), F.array_min(ring["y"]).alias("south"))
+
+
+@query(f"{_ALERTS} SELECT i AS payload_id, reason FROM j WHERE reason <> 'silent'")
+def cap_refused(spark, sf_dir):
+    return documents.alerts_of(alert_payloads(spark, sf_dir))[1]
+
+
+def feature_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """payload_id, body: a collection of a customer's orders as points, lines and rings."""
+    i, c = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
+    x, y = (i % 300 - 120).cast("string"), (i % 80).cast("string")
+    at = lambda dx, dy: F.concat(F.lit("["), (i % 300 - 120 + dx).cast("string"), F.lit(","), (i % 80 + dy).cast("string"), F.lit("]"))
+    shape = F.when(i % 3 == 0, F.concat(F.lit('{"type":"Point","coordinates":['), x, F.lit(","), y, F.lit(",5]}"))).when(i % 3 == 1, F.concat(F.lit('{"type":"LineString","coordinates":['), at(0, 0), F.when(i % 11 == 0, "").otherwise(F.concat(F.lit(","), at(1, 1))), F.lit("]}"))).otherwise(F.concat(F.lit('{"type":"Polygon","coordinates":[['), F.concat_ws(",", at(0, 0), at(1, 0), at(1, 1), F.when(i % 13 == 0, at(2, 2)).otherwise(at(0, 0))), F.lit("]]}")))
+    feature = F.concat(F.lit('{"type":"Feature","geometry":'), F.when(i % 997 == 0, "null").otherwise(shape), F.lit(',"properties":{"name":"n'), i.cast("string"), F.lit('","k":'), (i % 5).cast("string"), F.lit("}}"))
+    all_ = table(spark, sf_dir, "orders").select(c.alias("payload_id"), i.alias("i"), feature.alias("f")).groupBy("payload_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "f"))), lambda r: r["f"]), ",").alias("fs"))
+    p = F.col("payload_id")
+    system = F.when(p % 31 == 0, '"crs":{"type":"name","properties":{"name":"EPSG:25832"}},').when(p % 29 == 0, '"crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}},').otherwise("")
+    body = F.when(p % 37 == 0, "{not json").when(p % 41 == 0, '{"type":"Point"}').otherwise(F.concat(F.lit('{"type":"FeatureCollection",'), system, F.lit('"features":['), "fs", F.lit("]}")))
+    return all_.select("payload_id", body.alias("body"))
+
+
+_FEATURES = """WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS i, CAST(o_custkey AS BIGINT) AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders), w AS (SELECT p, CASE WHEN p % 37 = 0 THEN 'not_json' WHEN p % 41 = 0 THEN 'not_features' WHEN p % 31 = 0 THEN 'reference_system' WHEN bool_or(i % 997 = 0) THEN 'no_geometry' END AS whole FROM o GROUP BY p),
+    f AS (SELECT o.*, whole, CASE WHEN i % 300 - 120 + CASE i % 3 WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN i % 11 = 0 THEN 0 ELSE 1 END ELSE CASE WHEN i % 13 = 0 THEN 2 ELSE 1 END END > 180 THEN 'coordinates' WHEN i % 3 = 1 AND i % 11 = 0 THEN 'too_few_points' WHEN i % 3 = 2 AND i % 13 = 0 THEN 'open_ring' END AS own FROM o JOIN w USING (p))"""
+
+
+@query(f"""{_FEATURES} SELECT p AS payload_id, CAST(place AS INT) AS place, ['Point', 'LineString', 'Polygon'][i % 3 + 1] AS kind, CAST([1, 2, 4][i % 3 + 1] AS BIGINT) AS points, CAST(i % 300 - 120 AS DOUBLE) AS x, CAST(i % 80 AS DOUBLE) AS y, 'n' || i AS name FROM f WHERE whole IS NULL AND own IS NULL""")
+def geojson_features(spark, sf_dir):
+    taken = documents.features_of(feature_payloads(spark, sf_dir))[0]
+    first = F.get("points", F.lit(0))
+    return taken.select("payload_id", "place", "kind", F.size("points").cast("long").alias("points"), first["x"].alias("x"), first["y"].alias("y"), "name")
+
+
+@query(f"{_FEATURES} SELECT DISTINCT p AS payload_id, CAST(NULL AS INT) AS place, whole AS reason FROM f WHERE whole IS NOT NULL UNION ALL SELECT p, CAST(place AS INT), own FROM f WHERE whole IS NULL AND own IS NOT NULL")
+def geojson_refused(spark, sf_dir):
+    return documents.features_of(feature_payloads(spark, sf_dir))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
