@@ -78,7 +78,7 @@ def trigger_points(points: DataFrame, grids: DataFrame, bands: dict[str, DataFra
     Order by soonest with nulls last: a point that the model doesn't reach is reported, after the others.
     """
     found = sampled(points, grids, bands)
-    rounded = {b: F.round(b, 2) for b in bands}
+    rounded = {b: F.floor(F.col(b) * 100 + 0.5) / 100 for b in bands}  # by the number itself, not by its decimal digits
     return found.withColumns(rounded).withColumn("soonest", F.coalesce(*[F.col(b) for b in ("earliest", "median") if b in bands]))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.functions.geo import LATITUDE_KM, LONGITUDE_KM
+from emberframe.functions.geo import LATITUDE_KM, LONGITUDE_KM, haversine_km
 
 
 def holdout_splits(detections: DataFrame, event: str, splits: int = 5, least: int = 8) -> DataFrame:
@@ -63,3 +63,59 @@ def tile_of(zoom: int):
     x = F.floor((F.col("longitude") + 180) / 360 * n)
     y = F.floor((1 - F.log(F.tan(lat) + 1 / F.cos(lat)) / math.pi) / 2 * n)
     return tuple(F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)).cast("long") for c in (x, y))
+
+
+def pooled_scores(splits: DataFrame, model: str) -> DataFrame:
+    """model, splits, precision, recall, f1, jaccard, brier: of rows per split (tp, fp, fn, tn, brier), from counts summed over all splits, and the Brier score weighted by their points.
+
+    A mean of ratios would agree with none of them; a ratio without a denominator is null. Splits without a Brier score don't count for it.
+    """
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    sums = splits.groupBy(model).agg(F.count(F.lit(1)).alias("splits"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.sum(F.col("brier") * n).alias("e"), F.sum(F.when(F.col("brier").isNotNull(), n)).alias("n"))
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    ratio = lambda a, b: a / F.nullif(b, F.lit(0))
+    return sums.select(model, "splits", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp, tp + fp + fn).alias("jaccard"), ratio(F.col("e"), F.col("n")).alias("brier"))
+
+
+def missed_fronts(holdout: DataFrame, by: str, threshold: float = 0.5) -> DataFrame:
+    """by, fronts, missed: of held-out detections (by, front, probability) how many fronts there are, and how many have no member that the model gave the threshold at least."""
+    best = holdout.groupBy(by, "front").agg(F.max(F.coalesce("probability", F.lit(0.0))).alias("best"))
+    return best.groupBy(by).agg(F.count(F.lit(1)).alias("fronts"), F.sum((F.col("best") < threshold).cast("long")).alias("missed"))
+
+
+def nearest_training(holdout: DataFrame, detections: DataFrame, event: str, reach_km: float) -> DataFrame:
+    """holdout (event, split, id, ...) with km: the distance to the nearest detection of its event that the split trains on, null beyond reach_km.
+
+    Training rows are those up to the split's time, so nothing later changes a prediction. Rows meet in cells of the reach, by latitude and across 180 degrees.
+    """
+    columns = max(1, math.floor(360 / max(1e-3, reach_km / 111.0)))
+    size = 360 / columns
+    turn = lambda x: F.pmod(x, F.lit(columns))
+    seen = detections.select(F.col(event).alias("__event"), F.col("acq_ts").alias("__ts"), F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon"), F.floor((F.col("latitude") + 90) / size).alias("__cy"), turn(F.floor((F.col("longitude") + 180) / size)).alias("__cx"))
+    high = reach_km / 111.0
+    wide = F.least(F.lit(180.0), F.lit(high) / F.cos(F.radians(F.least(F.lit(89.9), F.abs("latitude") + high))))
+    tall = holdout.withColumn("__y", F.explode(F.sequence(F.floor((F.col("latitude") + 90 - high) / size), F.floor((F.col("latitude") + 90 + high) / size))))
+    west, east = F.floor((F.col("longitude") + 180 - wide) / size), F.floor((F.col("longitude") + 180 + wide) / size)
+    asked = tall.withColumn("__x", F.explode(F.array_distinct(F.transform(F.sequence(west, F.least(east, west + columns - 1)), turn))))
+    km = haversine_km(F.col("latitude"), F.col("longitude"), F.col("__lat"), F.col("__lon"))
+    met = asked.join(seen, (F.col(event) == F.col("__event")) & (F.col("__cy") == F.col("__y")) & (F.col("__cx") == F.col("__x")) & (F.col("__ts") <= F.col("split_ts")))
+    found = met.withColumn("km", km).where(F.col("km") <= reach_km).groupBy(event, "train", "id").agg(F.min("km").alias("km"))
+    return holdout.join(found, [event, "train", "id"], "left")
+
+
+def backtest(detections: DataFrame, event: str, horizon_s: int, radius_km: dict[str, float], splits: int = 5, negatives: DataFrame | None = None) -> DataFrame:
+    """A row per event, split, model and point within horizon_s after the split: id, positive, probability (1 within the model's radius of a training detection, else 0).
+
+    Points are held-out detections and negatives (event, id, acq_ts, latitude, longitude; ids apart from those of detections), where a look saw nothing. The splits of an event
+    fan out to its later points, and those to the models; one search for the nearest training detection serves all models.
+    """
+    names = (event, "id", "acq_ts", "latitude", "longitude")
+    points = detections.select(*names, F.lit(True).alias("positive"))
+    if negatives is not None:
+        points = points.unionByName(negatives.select(*names, F.lit(False).alias("positive")))
+    chosen = holdout_splits(detections, event, splits).select(event, "train", "split_ts")
+    late = chosen.join(points, event).where((F.col("acq_ts") > F.col("split_ts")) & (F.col("acq_ts") <= F.col("split_ts") + horizon_s))
+    placed = nearest_training(late, detections, event, max(radius_km.values()))
+    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(r)).alias("radius")) for m, r in radius_km.items()]))
+    each = placed.withColumn("m", models)
+    return each.select(event, "train", "id", "positive", "m.model", F.coalesce((F.col("km") <= F.col("m.radius")).cast("double"), F.lit(0.0)).alias("probability"))

@@ -9,9 +9,9 @@ import pytest
 
 from emberframe import catalogue
 from emberframe.operators import events, positions
-from emberframe.plans import fields, incidents, intake, workspace
+from emberframe.plans import backtests, fields, incidents, intake, workspace
 
-PLANS = (catalogue, incidents, workspace, fields, intake)
+PLANS = (catalogue, incidents, workspace, fields, intake, backtests)
 QUERIES, SQL = {k: q for p in PLANS for k, q in p.queries().items()}, {k: q for p in PLANS for k, q in p.oracle_sql().items()}
 
 
