@@ -20,9 +20,21 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a stored number per row, given once, and the name of its column, which docs didn't have: later scans read it however they are split."""
+    """docs with a number per row and the name of its column, which docs didn't have: later scans read the same numbers however they are split.
+
+    Rows of a table read from Parquet are numbered by their file and their place in it, so no copy is stored; a list of the files, which
+    the driver has made to read them, goes to every task. Other DataFrames are stored once with their numbers.
+    """
     name = fresh(docs, "row_number")
-    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    place = _place(docs)
+    if place is None:
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    path = fresh(docs, "file_path")
+    files = sorted(r[0] for r in docs.select(place["file_path"]).distinct().collect())
+    known = docs.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], f"{path} string, {name} long")
+    held = docs.withColumns({path: place["file_path"], fresh(docs, "row_index"): place["row_index"]})
+    numbers = held.join(F.broadcast(known), path)
+    return numbers.select(*docs.columns, (F.col(name) + F.col(fresh(docs, "row_index"))).alias(name)), name
 
 
 def row_of(row: str | None = None) -> Column:
@@ -37,11 +49,17 @@ def keep_rows(docs: DataFrame, row: str, decided: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(dropped) if few else dropped, row, "left_anti").select(*docs.columns)
 
 
-def stored_order(docs: DataFrame) -> list[Column]:
-    """Columns by which a table read from Parquet stands in the order that it was written in (files are numbered by partition); none for other DataFrames."""
+def _place(docs: DataFrame) -> Column | None:
+    """The metadata column of a table read from Parquet, or None for other DataFrames."""
     try:
         place = docs.metadataColumn("_metadata")
-        docs.select(place["file_name"], place["row_index"]).schema  # noqa: B018  resolves the columns
+        docs.select(place["file_path"], place["row_index"]).schema  # noqa: B018  resolves the columns
     except AnalysisException:
-        return []
-    return [place["file_name"], place["row_index"]]
+        return None
+    return place
+
+
+def stored_order(docs: DataFrame) -> list[Column]:
+    """Columns by which a table read from Parquet stands in the order that it was written in (files are numbered by partition); none for other DataFrames."""
+    place = _place(docs)
+    return [] if place is None else [place["file_name"], place["row_index"]]

@@ -101,3 +101,19 @@ def test_clashing_columns_change_nothing(spark, crowd):
 def test_empty_table(spark, no_docs):
     for _, result in staged(spark, no_docs):
         assert result.collect() == []
+
+
+def test_numbers_of_rows_are_those_of_their_places(spark, docs, crowd):
+    """The same whatever the split, one for each row, also with columns of the metadata's name, and stored where there are no files."""
+    named = stored(docs.select("doc_id", "text").withColumnsRenamed({"doc_id": "_metadata", "text": "file_path"}), "named")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for table in (docs, crowd, named, docs.limit(5)):
+        numbers, name = rows.numbered(table)
+        assert numbers.columns == [*table.columns, name] and name.lower() not in {c.lower() for c in table.columns}
+        found = sorted(map(str, numbers.collect()))
+        assert len({r[name] for r in numbers.collect()}) == len(found) == table.count()
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+            assert sorted(map(str, numbers.collect())) == found
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", held)
