@@ -95,7 +95,7 @@ def ringed(pieces: DataFrame) -> DataFrame:
 
 def measured(pieces: DataFrame) -> DataFrame:
     """grid_id, level, ring, n_points, area: of each ring, in cells. An island's area is positive, that of a hole in it negative."""
-    return pieces.groupBy("grid_id", "level", "ring").agg(F.count(F.lit(1)).alias("n_points"), (-F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("area"))
+    return pieces.groupBy("grid_id", "level", "ring").agg(F.count(F.lit(1)).alias("n_points"), (F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("area"))
 
 
 def _ordered(table: pa.Table) -> pa.Table:
