@@ -158,6 +158,26 @@ def test_nearest_recall_with_many_more_lists_than_probes(spark):
     assert hits >= 0.9 * 1000
 
 
+def test_nearest_recall_of_vectors_that_share_a_large_part_or_have_extreme_lengths(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 32)) + 2e4  # cosines differ in the ninth digit and beyond
+    x[1::7] *= 1e200
+    x[3::7] *= 1e-200
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    found = defaultdict(set)
+    for r in nearest.nearest(frame).collect():
+        assert abs(r.score - 1) < 1e-6
+        found[r.query_id].add(r.vec_id)
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, len(x), 50):
+        far = ((unit - unit[i]) ** 2).sum(axis=1)
+        far[i] = np.inf
+        hits += len(set(np.argsort(far)[:5].tolist()) & found[i])
+    assert hits >= 0.95 * 400
+
+
 def test_nearest_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (50, [0.0, 1.0]), (3, [1.0, 1.0]), (2, [2.0, 2.0]), (1, [-1.0, 0.0]), (7, None), (8, [0.0, 0.0]), (9, [nan, 1.0]), (10, [inf, 1.0]), (11, [None, 1.0]), (12, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (13, [1e39, 1.2e39]), (13, [0.0, -1.0])]
