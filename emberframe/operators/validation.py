@@ -56,13 +56,14 @@ def effective_members(weights: DataFrame, key: str) -> DataFrame:
     return weights.join(top, key).groupBy(key).agg(F.count(F.lit(1)).alias("n"), (F.pow(F.sum(w), F.lit(2.0)) / F.sum(w * w)).alias("effective"))
 
 
-def tile_of(zoom: int):
-    """(x, y) of the slippy map tile of latitude, longitude at this zoom, clamped."""
+def tile_of(zoom: int, clamped: bool = True):
+    """(x, y) of the slippy map tile of latitude, longitude at this zoom; clamped to the map, or counted on beyond 180 degrees east and west."""
     n = 1 << zoom
     lat = F.radians(F.least(F.greatest(F.col("latitude"), F.lit(-85.05112878)), F.lit(85.05112878)))
     x = F.floor((F.col("longitude") + 180) / 360 * n)
     y = F.floor((1 - F.log(F.tan(lat) + 1 / F.cos(lat)) / math.pi) / 2 * n)
-    return tuple(F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)).cast("long") for c in (x, y))
+    on_map = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)).cast("long")
+    return on_map(x) if clamped else x.cast("long"), on_map(y)
 
 
 def pooled_scores(splits: DataFrame, model: str) -> DataFrame:

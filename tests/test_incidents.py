@@ -24,3 +24,11 @@ def test_a_wide_radius_in_the_north_and_across_the_antimeridian(spark):
     seen = spark.createDataFrame([(1, 1, 0, 75.0, 10.6, "a"), (2, 1, 0, 40.0, -179.95, "a"), (3, 1, 0, 40.25, 10.0, "a")], SEEN)
     known = spark.createDataFrame([(7, 75.0, 10.0, 20.0), (8, 40.0, 179.98, 8.0), (9, 40.0, 10.0, 30.0)], "source_id long, lat double, lon double, radius_km double")
     assert sorted((r.id, r.source_id) for r in industrial.match_nearest(seen, known).collect()) == [(1, 7), (2, 8), (3, 9)]
+
+
+def test_tiles_beyond_the_map(spark):
+    from emberframe.operators import validation
+
+    rows = spark.createDataFrame([(40.0, 179.9), (40.0, 180.1), (40.0, 684.0), (40.0, -200.0)], "latitude double, longitude double")
+    x = lambda clamped: [r.x for r in rows.select(validation.tile_of(12, clamped)[0].alias("x")).collect()]
+    assert x(True) == [4094, 4095, 4095, 0] and x(False) == [4094, 4097, 9830, -228]
