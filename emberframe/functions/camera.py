@@ -23,12 +23,14 @@ def _arc(phi: Column) -> Column:
 
 
 def zone_of(lon: Column) -> Column:
-    return (F.pmod(F.floor((lon + 180) / 6), F.lit(60)) + 1).cast("int")
+    """The zone, 1..60, of a longitude, which may lie beyond 180 degrees."""
+    return (F.pmod(F.floor(F.pmod(lon + 360, F.lit(360.0)) / 6 + 30), F.lit(60)) + 1).cast("int")
 
 
 def to_utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
-    """(easting, northing) in metres; south of the equator with the false northing."""
-    phi, away = F.radians(lat), F.radians(lon - ((zone - 1) * 6 - 177))
+    """(easting, northing) in metres; south of the equator with the false northing. The longitude may be any number of turns away."""
+    off = lon - ((zone - 1) * 6 - 177)
+    phi, away = F.radians(lat), F.radians(off - 360 * F.floor((off + 180) / 360))
     sine, cosine, tangent = F.sin(phi), F.cos(phi), F.tan(phi)
     n, t, c, a = A / F.sqrt(1 - E2 * sine * sine), tangent * tangent, EP2 * cosine * cosine, cosine * away
     east = SCALE * n * (a + (1 - t + c) * F.pow(a, F.lit(3.0)) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * EP2) * F.pow(a, F.lit(5.0)) / 120) + FALSE_EASTING

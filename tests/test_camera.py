@@ -44,3 +44,12 @@ def test_offsets(spark):
     lat, lon = camera.moved(F.lit(60.0), F.lit(10.0), F.lit(1000.0), F.lit(1000.0))
     r = one(spark, lat.alias("lat"), lon.alias("lon"))
     assert r.lat == pytest.approx(60.008974, abs=1e-5) and r.lon == pytest.approx(10.017921, abs=1e-5)
+
+
+def test_utm_of_longitudes_some_turns_away(spark):
+    rows = [(i, lat, lon) for i, (lat, lon) in enumerate((a, b + 360.0 * k) for a in (-36.5, 42.25) for b in (-179.5, 10.3, 121.6) for k in (-1, 0, 1, 18))]
+    placed = spark.createDataFrame(rows, "i int, lat double, lon double").withColumn("zone", camera.zone_of(F.col("lon")))
+    east, north = camera.to_utm(F.col("lat"), F.col("lon"), F.col("zone"))
+    found = [(r.zone, round(r.e, 3), round(r.n, 3)) for r in placed.select("i", "zone", east.alias("e"), north.alias("n")).orderBy("i").collect()]
+    for at in range(0, len(found), 4):
+        assert len(set(found[at : at + 4])) == 1 and 160_000 < found[at][1] < 840_000
