@@ -56,6 +56,24 @@ def test_passes_are_collapsed_and_met_across_the_antimeridian(spark):
     assert sorted(tuple(r) for r in swaths.clear_passes(tracks, boxes, hits).collect()) == sorted(w for w in want if w != want[0])
 
 
+def test_areas_around_one_point_are_swept_once(spark, monkeypatch):
+    tracks = spark.createDataFrame([("N", 60 * i, 10.0, 20.0 + i, 600.0) for i in range(4)], TRACK)
+    boxes = [(i, 19.9, 9.9, 20.1, 10.1, "a" if i % 2 else None) for i in range(50)] + [(50, 19.9, -40.0, 20.1, -39.0, "a")]
+    areas = spark.createDataFrame(boxes, "area_id long, west double, south double, east double, north double, unit string")
+    met, plain = [], swaths.in_swath
+
+    def counted(*of):
+        found = plain(*of)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(swaths, "in_swath", counted)
+    assert sorted(tuple(r) for r in swaths.passes(tracks, areas).collect()) == [(i, "N", 120) for i in range(50)]
+    hits = spark.createDataFrame([("a", 130), ("a", 130), (None, 120)], "unit string, acq_ts long")
+    assert sorted(r.area_id for r in swaths.clear_passes(tracks, areas, hits, by="unit").collect()) == list(range(0, 50, 2))
+    assert met == [4, 4]
+
+
 def grid_of(spark, value, west=10.0, south=36.0, step=0.5):
     ny, nx = value.shape
     grids = spark.createDataFrame([(1, west, south, west + nx * step, south + ny * step, nx, ny)], GRID)
