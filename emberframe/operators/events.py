@@ -15,7 +15,8 @@ from emberframe.session import cut
 def space_time_pairs(detections: DataFrame, speed_kmh: float, hours: float) -> DataFrame:
     """(a, b), a < b: detections at most hours apart whose distance is no more than their radii and what speed_kmh makes of the time between.
 
-    Each detection is met in its own cell and time bin and the neighbouring ones, so the join is an equi-join.
+    Each detection is met in its own cell and time bin and the neighbouring ones, so the join is an equi-join. Both sides are shuffled:
+    by the size of their files alone, small for what they hold, detections would be gathered in the driver for a broadcast.
     """
     reach = detections.agg(F.avg("latitude").alias("lat"), F.max(footprint_km(F.col("scan"), F.col("track"))).alias("r")).first()
     if reach["lat"] is None:
@@ -31,7 +32,7 @@ def space_time_pairs(detections: DataFrame, speed_kmh: float, hours: float) -> D
     apart = F.abs(F.col("acq_ts_a") - F.col("acq_ts_b")) / 3600
     distance = F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b"))
     linked = (F.col("id_a") < F.col("id_b")) & (apart <= hours) & (distance <= F.col("r_a") + F.col("r_b") + speed_kmh * apart)
-    return one.join(two, ["cx", "cy", "ct"]).where(linked).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return one.join(two.hint("merge"), ["cx", "cy", "ct"]).where(linked).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def components(ids: DataFrame, edges: DataFrame) -> DataFrame:

@@ -61,3 +61,7 @@ def test_interpolation_between_two_reports(spark):
     rows = [(1, 7, 0, 10.0, 20.0), (2, 7, 100, 20.0, 40.0), (3, 8, 50, 1.0, 2.0), (4, 9, 0, 0.0, 0.0), (5, 9, 9999, 1.0, 1.0)]
     found = positions.interpolate(spark.createDataFrame(rows, "id long, unit long, acq_ts long, latitude double, longitude double"), 50, 600).collect()
     assert sorted((r.unit, r.gap, r.latitude, r.longitude) for r in found) == [(7, 100, 15.0, 30.0), (8, 0, 1.0, 2.0)]
+
+
+def test_pairs_gather_no_side_in_the_driver(spark, small):
+    assert "Broadcast" not in catalogue.space_time_pairs(spark, small)._jdf.queryExecution().executedPlan().toString()
