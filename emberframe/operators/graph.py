@@ -49,26 +49,35 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[least])], names=["a", "b"])
 
 
+def _chosen(left: DataFrame, number: int) -> DataFrame:
+    """id, next, rows: of each id on edges the least of itself and its neighbours in an order by chance that is another each round, and its edges."""
+    chance = lambda c: F.struct(F.xxhash64(F.lit(number), c).alias("at"), F.col(c).alias("id"))
+    both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy(F.col("a").alias("id")).agg(F.min(chance("b")).alias("near"), F.count(F.lit(1)).alias("rows"))
+    return near.select("id", F.least(chance("id"), F.col("near"))["id"].alias("next"), "rows")
+
+
 def components(edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """id, component (the smallest id that can be reached) of all ids on edges (a, b); an id may also stand for itself by an edge of its own.
 
-    Each task joins what its own edges connect. What is left of a large graph goes through rounds of least labels around an id
-    and labels of labels, until nothing changes; labels that a third of all ids share are joined by broadcast, fewer than HEAVY of them.
+    Each task joins what its own edges connect. While more edges are left than a task joins, ids move to the least of their neighbours in an order by chance, and edges with
+    them: a third of the ids or more goes each round, as do components that are whole. Then labels go back through the rounds. All rounds together move a few times the edges.
     """
     tasks = max(1, -(-edges.count() // in_task))
     dealt = edges.select("a", "b").coalesce(1) if tasks == 1 else edges.select("a", "b").repartition(tasks, "a")
     stars = cut(dealt.mapInArrow(_joined, "a long, b long"))
     if tasks == 1:
         return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-    both = cut(stars.union(stars.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"))
-    total = labels.count()
-    while True:
-        around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-        hop = sizes.join(labels.select(F.col("id").alias("component"), F.col("component").alias("further")), "component")
-        moved = beside(labels.join(around, "id"), hop, "component", "members", total).withColumn("least", F.least("component", "near", "further"))
-        moved = cut(moved.select("id", F.col("least").alias("component"), (F.col("least") < F.col("component")).alias("changed")))
-        labels = moved.drop("changed")
-        if moved.where("changed").isEmpty():
-            return labels
+    left, rounds = stars, []
+    while (total := left.count()) > in_task:
+        step = cut(_chosen(left, len(rounds)))
+        rounds.append(step)
+        for end in ("a", "b"):
+            left = beside(left, step.select(F.col("id").alias(end), "next", "rows"), end, "rows", total).drop(end, "rows").withColumnRenamed("next", end)
+        left = cut(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = left.coalesce(1).mapInArrow(_joined, "a long, b long").select(F.col("a").alias("next"), F.col("b").alias("root"))
+    for step in reversed(rounds):  # what an id became in a round has the label that later rounds give it, or has no edges left
+        labels = cut(step.select("id", "next").join(labels, "next", "left").select("id", F.coalesce("root", "next").alias("root"))).withColumnRenamed("id", "next")
+    labels = labels.withColumnRenamed("next", "id")
+    names = cut(labels.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("members")))
+    return beside(labels, names, "root", "members", labels.count()).select("id", "component")

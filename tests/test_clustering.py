@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -129,3 +130,16 @@ def test_components_of_many_tasks(spark):
         found = {r.id: r.component for r in graph.components(df, in_task).collect()}
         assert found == {x: want[x] for x in found}
         assert set(want) - set(found) <= {x for x in want if want[x] == x}
+
+
+def test_components_store_a_few_times_the_edges(spark, monkeypatch):
+    """Ids of components that are whole, and those that moved, take no part in later rounds."""
+    ids = list(range(4000))
+    random.Random(5).shuffle(ids)
+    edges = [(ids[i], ids[i + 1]) for i in range(3999) if i % 200 != 199]
+    rows, own = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (t := own(df), rows.append(t.count()))[0])
+    found = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), 200).collect()}
+    least = {i: min(ids[n // 200 * 200 : n // 200 * 200 + 200]) for n, i in enumerate(ids)}
+    assert found == least
+    assert sum(rows) < 12 * len(edges), rows
