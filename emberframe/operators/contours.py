@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.operators.graph import components
-from emberframe.operators.rasters import BLOCK
+from emberframe.operators.rasters import BLOCK, rows_of
 from emberframe.operators.surfaces import mass_levels
 from emberframe.session import cut
 
@@ -36,12 +36,12 @@ SCHEMA = "grid_id long, level double, e1 long, e2 long, x1 double, y1 double, x2
 
 def _squares(batches: Iterator[pa.RecordBatch], block: int, fill: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in rows_of(batch):
             ny, nx, level = r["ny"], r["nx"], r["level"]
             y0, x0 = r["by"] * block, r["bx"] * block
             # corners from one row and column before the block (used at the grid's edge alone) to one after it
             whole = np.full((block + 2, block + 2), fill)
-            square = lambda a: np.where(np.isnan(v := np.array(a, dtype=float)), fill, v)
+            square = lambda a: np.where(np.isnan(a), fill, a)
             if r["own"] is not None:
                 whole[1:-1, 1:-1] = square(r["own"]).reshape(block, block)
             for side, at in (("below", np.s_[-1, 1:-1]), ("right", np.s_[1:-1, -1]), ("corner", np.s_[-1, -1])):

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64
+SLICE = 64  #: blocks that a task works on at once, of those that Spark hands it
 GEOMETRY = ("grid_id", "west", "south", "east", "north", "nx", "ny")
 
 
@@ -102,36 +103,57 @@ def _haloed(blocks: DataFrame, grids: DataFrame, block: int) -> DataFrame:
     return blocks.join(pivot, ["grid_id", "by", "bx"], "left").join(shape, "grid_id")
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows one at a time, lists as arrays with NaN for null: a list of Python's own floats takes four times the room."""
+    for i in range(batch.num_rows):
+        row = {}
+        for name, column in zip(batch.schema.names, batch.columns, strict=True):
+            value = column[i]
+            row[name] = value.values.to_numpy(zero_copy_only=False).astype(float) if isinstance(value, pa.ListScalar) and value.is_valid else value.as_py()
+        yield row
+
+
+def _listed(arrays: list[np.ndarray]) -> pa.Array:
+    """Lists of equal length, with null for NaN and infinities."""
+    flat = np.concatenate(arrays)
+    values = pa.array(flat, mask=~np.isfinite(flat))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(arrays) + 1, dtype=np.int32) * len(arrays[0])), values)
+
+
 def _slopes(batches: Iterator[pa.RecordBatch], resolution: float, block: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = {"grid_id": [], "by": [], "bx": [], "slope": [], "aspect": []}
-        for r in batch.to_pylist():
-            ny, nx = min(block, r["ny"] - r["by"] * block), min(block, r["nx"] - r["bx"] * block)
-            whole = np.full((block + 2, block + 2), np.nan)
-            whole[1:-1, 1:-1] = np.array(r["cells"], dtype=float).reshape(block, block)
-            for side, at in (("up", np.s_[0, 1:-1]), ("down", np.s_[-1, 1:-1]), ("left", np.s_[1:-1, 0]), ("right", np.s_[1:-1, -1])):
-                if r[side] is not None:
-                    whole[at] = np.array(r[side], dtype=float)
-            whole = np.where(np.isnan(whole), r["mean"] if r["mean"] is not None else 0.0, whole)
-            y, x = np.arange(ny) + r["by"] * block, np.arange(nx) + r["bx"] * block
-
-            def gradient(axis: int, at: np.ndarray, n: int) -> np.ndarray:
-                # inner cells: half the difference of both neighbours; the grid's first and last: of the one that there is
-                here = whole[1 : ny + 1, 1 : nx + 1]
-                before = whole[0:ny, 1 : nx + 1] if axis == 0 else whole[1 : ny + 1, 0:nx]
-                after = whole[2 : ny + 2, 1 : nx + 1] if axis == 0 else whole[1 : ny + 1, 2 : nx + 2]
-                line = (at[:, None] if axis == 0 else at[None, :]) + np.zeros((ny, nx), dtype=int)
-                return np.where(line == 0, after - here, np.where(line == n - 1, here - before, (after - before) / 2)) / resolution
-
-            dy, dx = gradient(0, y, r["ny"]), gradient(1, x, r["nx"])
-            for name, value in (("slope", np.arctan(np.hypot(dx, dy))), ("aspect", np.degrees(np.arctan2(-dx, dy)) % 360.0)):
-                full = np.full((block, block), np.nan)
-                full[:ny, :nx] = value
-                out[name].append(np.ma.masked_invalid(full.ravel()).tolist())
-            for name in ("grid_id", "by", "bx"):
-                out[name].append(r[name])
-        kinds = {"slope": pa.list_(pa.float64()), "aspect": pa.list_(pa.float64())}
-        yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
+        for at in range(0, batch.num_rows, SLICE):
+            yield _slopes_of(batch.slice(at, SLICE), resolution, block)
+
+
+def _slopes_of(batch: pa.RecordBatch, resolution: float, block: int) -> pa.RecordBatch:
+    out = {"grid_id": [], "by": [], "bx": [], "slope": [], "aspect": []}
+    for r in rows_of(batch):
+        ny, nx = min(block, r["ny"] - r["by"] * block), min(block, r["nx"] - r["bx"] * block)
+        whole = np.full((block + 2, block + 2), np.nan)
+        whole[1:-1, 1:-1] = r["cells"].reshape(block, block)
+        for side, at in (("up", np.s_[0, 1:-1]), ("down", np.s_[-1, 1:-1]), ("left", np.s_[1:-1, 0]), ("right", np.s_[1:-1, -1])):
+            if r[side] is not None:
+                whole[at] = r[side]
+        whole = np.where(np.isnan(whole), r["mean"] if r["mean"] is not None else 0.0, whole)
+        y, x = np.arange(ny) + r["by"] * block, np.arange(nx) + r["bx"] * block
+
+        def gradient(axis: int, at: np.ndarray, n: int) -> np.ndarray:
+            # inner cells: half the difference of both neighbours; the grid's first and last: of the one that there is
+            here = whole[1 : ny + 1, 1 : nx + 1]
+            before = whole[0:ny, 1 : nx + 1] if axis == 0 else whole[1 : ny + 1, 0:nx]
+            after = whole[2 : ny + 2, 1 : nx + 1] if axis == 0 else whole[1 : ny + 1, 2 : nx + 2]
+            line = (at[:, None] if axis == 0 else at[None, :]) + np.zeros((ny, nx), dtype=int)
+            return np.where(line == 0, after - here, np.where(line == n - 1, here - before, (after - before) / 2)) / resolution
+
+        dy, dx = gradient(0, y, r["ny"]), gradient(1, x, r["nx"])
+        for name, value in (("slope", np.arctan(np.hypot(dx, dy))), ("aspect", np.degrees(np.arctan2(-dx, dy)) % 360.0)):
+            full = np.full((block, block), np.nan)
+            full[:ny, :nx] = value
+            out[name].append(full.ravel())
+        for name in ("grid_id", "by", "bx"):
+            out[name].append(r[name])
+    return pa.RecordBatch.from_arrays([_listed(v) if k in ("slope", "aspect") else pa.array(v, pa.int64()) for k, v in out.items()], names=list(out))
 
 
 def slope_aspect(blocks: DataFrame, grids: DataFrame, resolution_m: float, block: int = BLOCK) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from emberframe.operators import contours, rasters, swaths
@@ -200,3 +201,14 @@ def test_envelopes_count_ties_and_isochrones_close_at_the_edge(spark):
     grids, cells = grid_of(spark, hours)
     found = contours.isochrones(rasters.blocks(cells), grids, [2.5, 10.0]).collect()
     assert sorted(r.level for r in found) == [2.5, 10.0] and all(r.area > 0 for r in found)
+
+
+def test_slopes_come_in_small_batches():
+    """A task holds the lists of a slice of blocks, however many Spark hands it at once."""
+    n, block = 3 * rasters.SLICE + 1, 4
+    lists = lambda size: pa.array([[float(i % 7 + j) if j % 3 else None for j in range(size)] for i in range(n)], pa.list_(pa.float64()))
+    names = ("grid_id", "by", "bx", "cells", "up", "down", "left", "right", "ny", "nx", "mean")
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array(range(n)), pa.array([0] * n), lists(block * block), *(lists(block) for _ in range(4)), pa.array([n * block] * n), pa.array([block] * n), pa.array([0.5] * n)], names=list(names))
+    found = list(rasters._slopes(iter([batch]), 30.0, block))
+    assert sum(b.num_rows for b in found) == n and max(b.num_rows for b in found) <= rasters.SLICE
+    assert found[0].column("slope")[0].as_py() is not None and found[0].column("by").to_pylist() == list(range(rasters.SLICE))
