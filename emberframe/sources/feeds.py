@@ -55,35 +55,50 @@ def _number(value: Column) -> Column:
     return F.when(F.abs(found) < float("inf"), found)
 
 
+def _fields(payloads: DataFrame) -> DataFrame:
+    """payload_id, source, line, names, cells: each line after the first of the payloads (payload_id, source, body) that are detections, its fields (null for more than FIELDS) and the first line's names.
+
+    The names are read before lines become rows, so that a payload is neither summed nor joined, and each line is parsed once.
+    """
+    schema = ", ".join(f"c{i} string" for i in range(FIELDS + 1))
+    parsed = lambda text: F.from_csv(text, schema, {"escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    # by a lambda's variable: a field of from_csv by name becomes a parse of its own for each of them
+    read = lambda text: F.get(F.transform(F.array(parsed(text)), lambda f: F.array(*[f[f"c{i}"] for i in range(FIELDS + 1)])), F.lit(0))
+    lines = F.filter(F.transform(F.split("body", r"\r\n|\r|\n"), lambda t, i: F.struct(i.alias("line"), t.alias("text"))), lambda x: F.trim(x["text"]) != "")
+    good = payloads.where(failure_of(F.col("body")).isNull()).select("payload_id", "source", lines.alias("lines")).withColumn("head", read(F.get("lines", F.lit(0))["text"]))
+    names = F.filter(F.transform("head", lambda h: F.lower(F.trim(h))), lambda h: h.isNotNull() & (h != ""))
+    told = F.transform(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), lambda x: F.struct(x["line"].alias("line"), read(x["text"]).alias("cells")))
+    # parsed before lines become rows: above that step each use of a field would parse the line again
+    split = good.select("payload_id", "source", names.alias("names"), "lines").select("payload_id", "source", "names", F.explode(told).alias("l"))
+    return split.select("payload_id", "source", "l.line", "names", F.when(F.element_at("l.cells", FIELDS + 1).isNull(), F.col("l.cells")).alias("cells"))
+
+
+def _mapped(fields: DataFrame) -> Column:
+    return F.when(F.col("cells").isNotNull(), F.map_from_entries(F.transform(F.sequence(F.lit(1), F.size("names")), lambda i: F.struct(F.element_at("names", i), F.get("cells", i - 1)))))
+
+
 def csv_rows(payloads: DataFrame) -> DataFrame:
     """payload_id, source, line, row (map of lower-case names to text, or null where a line has more than FIELDS) of the payloads (payload_id, source, body) that are detections."""
-    good = payloads.where(failure_of(F.col("body")).isNull())
-    schema = ", ".join(f"c{i} string" for i in range(FIELDS + 1))
-    fields = F.from_csv("text", schema, {"escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
-    cells = F.array(*[F.col(f"f.c{i}") for i in range(FIELDS + 1)])
-    split = _lines(good, "payload_id").withColumn("f", fields).select("payload_id", "line", cells.alias("cells"))
-    # the first line is the header; there is one for each payload
-    first = split.groupBy("payload_id").agg(F.min_by("cells", "line").alias("header"), F.min("line").alias("top"))
-    names = F.filter(F.transform("header", lambda h: F.lower(F.trim(h))), lambda h: h.isNotNull() & (h != ""))
-    joined = split.join(first.withColumn("names", names), "payload_id").where("line > top")
-    row = F.when(F.element_at("cells", FIELDS + 1).isNull(), F.map_from_entries(F.transform(F.sequence(F.lit(1), F.size("names")), lambda i: F.struct(F.element_at("names", i), F.get("cells", i - 1)))))
-    return joined.join(good.select("payload_id", "source"), "payload_id").select("payload_id", "source", "line", row.alias("row"))
+    rows = _fields(payloads)
+    return rows.select("payload_id", "source", "line", _mapped(rows).alias("row"))
 
 
 def detections_of(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(detections, refused rows with a reason) of CSV payloads (payload_id, source, body)."""
-    rows = csv_rows(payloads)
-    get = lambda c: F.trim(F.coalesce(F.col("row")[c], F.lit("")))
+    wanted = ("satellite", "instrument", "latitude", "longitude", "acq_date", "acq_time", *BRIGHTNESS, *BRIGHTNESS2, "scan", "track", "confidence", "frp", "daynight", "version")
+    rows = _fields(payloads)
+    at = lambda n: F.nullif(F.array_position("names", n), F.lit(0))
+    rows = rows.select("payload_id", "source", "line", _mapped(rows).alias("row"), F.col("cells").isNull().alias("long"), *[F.get("cells", (at(n) - 1).cast("int")).alias(f"v_{n}") for n in wanted])
+    get = lambda c: F.trim(F.coalesce(F.col(f"v_{c}"), F.lit("")))
     text = lambda c: F.nullif(get(c), F.lit(""))
-    number = lambda *names: F.coalesce(*[_number(F.col("row")[n]) for n in names])
+    number = lambda *names: F.coalesce(*[_number(F.col(f"v_{n}")) for n in names])
     percent, level = normalise_confidence(get("confidence"))
     time = clock(get("acq_time"))
     stamp = F.try_to_timestamp(F.concat(get("acq_date"), F.lit(" "), time), F.lit("yyyy-MM-dd HHmm"))
     parsed = rows.select(
         "payload_id", "source", "line", text("satellite").alias("satellite"), text("instrument").alias("instrument"), F.round(number("latitude"), 5).alias("latitude"), F.round(number("longitude"), 5).alias("longitude"), text("acq_date").alias("acq_date"),
         time.alias("acq_time"), F.unix_timestamp(stamp).alias("acq_ts"), number(*BRIGHTNESS).alias("brightness"), number(*BRIGHTNESS2).alias("brightness2"), number("scan").alias("scan"), number("track").alias("track"), text("confidence").alias("confidence_raw"),
-        percent.alias("confidence_pct"), level.alias("confidence_level"), number("frp").alias("frp"), F.nullif(F.substring(F.upper(get("daynight")), 1, 1), F.lit("")).alias("daynight"), text("version").alias("version"), F.to_json("row").alias("raw_json"),
-        F.col("row").isNull().alias("long"),
+        percent.alias("confidence_pct"), level.alias("confidence_level"), number("frp").alias("frp"), F.nullif(F.substring(F.upper(get("daynight")), 1, 1), F.lit("")).alias("daynight"), text("version").alias("version"), F.to_json("row").alias("raw_json"), "long",
     )
     reason = first_failure([("too_many_fields", F.col("long")), ("position", F.col("latitude").isNull() | F.col("longitude").isNull()), ("acq_date", F.col("acq_date").isNull()), ("acq_time", F.col("acq_time").isNull()), ("timestamp", F.col("acq_ts").isNull())])
     judged = parsed.withColumn("reason", reason)

@@ -56,3 +56,14 @@ def test_cells_across_180_degrees_and_of_wide_boxes(spark):
     for r in store.cells_of_boxes(boxes, 10.0, 64).collect():
         found.setdefault(r.box_id, set()).add((r.cell_x, r.cell_y))
     assert found == {1: {(35, 8), (35, 9), (0, 8), (0, 9)}, 2: {(-1, -1)}, 3: {(18, 8), (18, 9)}}
+
+
+def test_each_csv_line_is_parsed_once(spark):
+    """One parse for first lines and one for the others, and no payload joined with its own lines."""
+    body = "latitude,longitude,acq_date,acq_time,confidence\n\n1.5,2.5,2024-01-01,130,h\n" + ",".join("x" * 50) + "\n"
+    payloads = spark.createDataFrame([(1, "S", body)], "payload_id long, source string, body string")
+    taken, refused = feeds.detections_of(payloads)
+    plan = taken.drop("raw_json")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") <= 2 and "Join" not in plan
+    assert [(r.line, r.latitude, r.acq_time, r.confidence_level) for r in taken.collect()] == [(2, 1.5, "0130", "high")]
+    assert [(r.line, r.reason) for r in refused.collect()] == [(3, "too_many_fields")]
