@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions.geo import LATITUDE_KM, LONGITUDE_KM, footprint_km, haversine_km
+from emberframe.session import shuffle_partitions
 
 SIGMAS = 5.0  #: the reach of a detection's kernel, beyond which it adds less than 4e-6 of its weight
+TILE = 64  #: rows and columns of a tile of cells
+IN_TASK = 50_000  #: points whose cells one task works out, about
+CELL = ("tile_row", "tile_col", "row", "col")
 # fixed values of the weights
 LEAST_SIGMA_M = 150.0
 SENSOR, SENSOR_ELSE = {"VIIRS": 1.0, "MODIS": 0.7, "OLI": 0.9}, 0.6
@@ -25,10 +29,17 @@ def _lookup(value: Column, table: dict[str, float], other: float) -> Column:
 
 
 def near_cells(points: DataFrame, step: float, reach: Column) -> DataFrame:
-    """points with every cell (row, col) of a grid of step degrees whose centre is at most reach km away, and km. The cells looked at follow from each row's own reach and latitude."""
+    """points with every cell (row, col) of a grid of step degrees whose centre is at most reach km away, and km. The cells looked at follow from each row's own reach and latitude.
+
+    Points are dealt by the tiles (CELL, the first two) that they reach before cells become rows, so whatever is summed by CELL stays in its task, and a task holds the cells of some tiles.
+    """
     high, wide = reach / LATITUDE_KM, reach / (LONGITUDE_KM * F.greatest(F.cos(F.radians("latitude")), F.lit(1e-3)))
-    around = lambda c, pad: F.explode(F.sequence(F.floor((F.col(c) - pad) / step), F.floor((F.col(c) + pad) / step)))
-    placed = points.withColumn("row", around("latitude", high)).withColumn("col", around("longitude", wide))
+    ends = {f"__{end}{n}": F.floor((F.col(c) + sign * pad) / step) for end, c, pad in (("y", "latitude", high), ("x", "longitude", wide)) for n, sign in ((0, -1), (1, 1))}
+    tiles = lambda end: F.explode(F.sequence(F.floor(F.col(f"__{end}0") / TILE), F.floor(F.col(f"__{end}1") / TILE)))
+    around = lambda tile, end: F.explode(F.sequence(F.greatest(f"__{end}0", F.col(tile) * TILE), F.least(f"__{end}1", F.col(tile) * TILE + TILE - 1)))
+    tasks = max(shuffle_partitions(points.sparkSession), -(-points.count() // IN_TASK))
+    dealt = points.withColumns(ends).withColumn("tile_row", tiles("y")).withColumn("tile_col", tiles("x")).repartition(tasks, "tile_row", "tile_col")
+    placed = dealt.withColumn("row", around("tile_row", "y")).withColumn("col", around("tile_col", "x")).drop(*ends)
     y, x = (F.col("row") + 0.5) * step, (F.col("col") + 0.5) * step
     km = F.hypot((F.col("longitude") - x) * LONGITUDE_KM * F.cos(F.radians("latitude")), (F.col("latitude") - y) * LATITUDE_KM)
     return placed.withColumn("km", km).where(F.col("km") <= reach)
@@ -42,7 +53,7 @@ def heat(detections: DataFrame, step: float, reference: int, tau_hours: float =
     boost = 1 + F.least(F.lit(1.5), F.log1p(F.greatest(F.coalesce("frp", F.lit(0.0)), F.lit(0.0))) / 6)
     weight = _lookup(F.col("instrument"), SENSOR, SENSOR_ELSE) * _lookup(F.col("confidence_level"), CONFIDENCE, CONFIDENCE_ELSE)
     part = F.greatest(F.lit(0.0), F.least(F.lit(0.999), weight * F.exp(-F.pow(F.col("km") / F.col("sigma"), F.lit(2.0)) / 2) * F.exp(-age / tau_hours) * boost))
-    return near.groupBy("row", "col").agg((1 - F.exp(F.sum(F.log(1 - part)))).alias("heat"))
+    return near.groupBy(*CELL).agg((1 - F.exp(F.sum(F.log(1 - part)))).alias("heat")).select("row", "col", "heat")
 
 
 def arrival(detections: DataFrame, step: float, reach_km: float, reference: int) -> DataFrame:
