@@ -59,13 +59,14 @@ def heat(detections: DataFrame, step: float, reference: int, tau_hours: float =
 def arrival(detections: DataFrame, step: float, reach_km: float, reference: int) -> DataFrame:
     """row, col, n, median, earliest, latest: the mean time of the detections within reach, weighed by the inverse square of the distance in metres, and one deviation to either side.
 
-    One pass: weighted sums of the time since the reference and of its square.
+    The deviation is that of the differences from the mean: a mean of squares less the square of the mean loses what is small beside the time since the reference.
     """
-    metres, since = F.col("km") * 1000, F.col("acq_ts") - F.lit(reference)
-    near = near_cells(detections, step, F.lit(reach_km)).withColumns({"w": 1 / (metres * metres + 1e-6), "t": since.cast("double")})
-    sums = near.groupBy("row", "col").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("t")).alias("wt"), F.sum(F.col("w") * F.col("t") * F.col("t")).alias("wtt"), F.count(F.lit(1)).alias("n"))
-    mean = F.col("wt") / F.col("w")
-    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("wtt") / F.col("w") - mean * mean))
+    metres, since, cell = F.col("km") * 1000, F.col("acq_ts") - F.lit(reference), Window.partitionBy(*CELL)
+    near = near_cells(detections, step, F.lit(reach_km)).select(*CELL, (1 / (metres * metres + 1e-6)).alias("w"), since.cast("double").alias("t"))
+    near = near.withColumn("mean", F.sum(F.col("w") * F.col("t")).over(cell) / F.sum("w").over(cell))
+    off = F.col("t") - F.col("mean")
+    sums = near.groupBy(*CELL).agg(F.first("mean").alias("mean"), F.sqrt(F.sum(F.col("w") * off * off) / F.sum("w")).alias("deviation"), F.count(F.lit(1)).alias("n"))
+    mean, deviation = F.col("mean"), F.col("deviation")
     return sums.select("row", "col", "n", (mean + reference).alias("median"), (mean - deviation + reference).alias("earliest"), (mean + deviation + reference).alias("latest"))
 
 
