@@ -2,8 +2,9 @@
 
 A block sees the first row, column and corner of the blocks below and to the right of it, so each square of four cells belongs to
 one block. A grid is framed by cells below the level, so every contour is closed. Segments run with the higher cells on one side; where two
-squares meet they share an edge of the lattice, and rings are the components of edges, however many blocks they cross. A ring is
-put in order in one task: as a polygon it is one value anyway.
+squares meet they share an edge of the lattice. A block joins its own segments to chains; one that is closed is a ring, and the others
+meet at the edges where they leave their blocks, so only chains across blocks are joined as components. A ring is put in order in one
+task: as a polygon it is one value anyway.
 
 Defined results. A cell above the level is inside, one at the level isn't. Where opposite corners are inside alone, they stay
 apart. Missing cells count as `fill`. A grid that nowhere exceeds the level has no ring. Coordinates of a cell are those of its
@@ -20,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.operators.graph import components
+from emberframe.operators.graph import components, forest
 from emberframe.operators.rasters import BLOCK, rows_of
 from emberframe.operators.surfaces import mass_levels
-from emberframe.session import cut
+from emberframe.session import cut, shuffle_partitions
 
 TOP, LEFT, BOTTOM, RIGHT = range(4)
 #: by corners inside (upper left 1, upper right 2, lower left 4, lower right 8): segments from edge to edge, the inside on one hand
@@ -31,14 +32,27 @@ SEGMENTS = {
     1: ((TOP, LEFT),), 2: ((RIGHT, TOP),), 3: ((RIGHT, LEFT),), 4: ((LEFT, BOTTOM),), 5: ((TOP, BOTTOM),), 6: ((RIGHT, TOP), (LEFT, BOTTOM)), 7: ((RIGHT, BOTTOM),), 8: ((BOTTOM, RIGHT),),
     9: ((TOP, LEFT), (BOTTOM, RIGHT)), 10: ((BOTTOM, TOP),), 11: ((BOTTOM, LEFT),), 12: ((LEFT, RIGHT),), 13: ((TOP, RIGHT),), 14: ((LEFT, TOP),),
 }
-SCHEMA = "grid_id long, level double, e1 long, e2 long, x1 double, y1 double, x2 double, y2 double"
+SCHEMA = "grid_id long, level double, e1 long, e2 long, x1 double, y1 double, x2 double, y2 double, chain long, open boolean, enters boolean, leaves boolean"
+PIECES = 10_000  #: of blocks that are handed on together, at least
+NAMES = [column.split()[0] for column in SCHEMA.split(", ")]
+
+
+def _chains(e1: np.ndarray, e2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a block's segments: the least edge of their chain, whether it is open, and whether they are where it enters and leaves the block."""
+    edges, of = np.unique(np.concatenate([e1, e2]), return_inverse=True)
+    x, y = of[: len(e1)], of[len(e1) :]
+    label = np.arange(len(edges))
+    moved, least = forest(len(edges), x, y)
+    label[moved] = least
+    enters, leaves, open_at = np.bincount(y, minlength=len(edges))[x] == 0, np.bincount(x, minlength=len(edges))[y] == 0, np.zeros(len(edges), bool)
+    open_at[label[x[enters]]] = open_at[label[x[leaves]]] = True
+    return edges[label[x]], open_at[label[x]], enters, leaves
 
 
 def _squares(batches: Iterator[pa.RecordBatch], block: int, fill: float) -> Iterator[pa.RecordBatch]:
+    made = []
     for batch in batches:
         for r in rows_of(batch):
-            ny, nx, level = r["ny"], r["nx"], r["level"]
-            y0, x0 = r["by"] * block, r["bx"] * block
             # corners from one row and column before the block (used at the grid's edge alone) to one after it
             whole = np.full((block + 2, block + 2), fill)
             square = lambda a: np.where(np.isnan(a), fill, a)
@@ -47,50 +61,75 @@ def _squares(batches: Iterator[pa.RecordBatch], block: int, fill: float) -> Iter
             for side, at in (("below", np.s_[-1, 1:-1]), ("right", np.s_[1:-1, -1]), ("corner", np.s_[-1, -1])):
                 if r[side] is not None:
                     whole[at] = square(r[side]) if side != "corner" else square(r[side])[0]
-            y, x = np.arange(y0 - 1, y0 + block + 1), np.arange(x0 - 1, x0 + block + 1)
-            whole[(y < 0) | (y >= ny), :] = level - 1
-            whole[:, (x < 0) | (x >= nx)] = level - 1
-            a, b = (0 if y0 == 0 else 1), (0 if x0 == 0 else 1)
-            part = whole[a : min(block, ny - y0) + 2, b : min(block, nx - x0) + 2]
-            high = (part > level).astype(int)
-            case = high[:-1, :-1] + 2 * high[:-1, 1:] + 4 * high[1:, :-1] + 8 * high[1:, 1:]
-            row, col = np.nonzero((case > 0) & (case < 15))
-            if not len(row):
-                continue
-            kind, ul, ur, ll, lr = case[row, col], part[row, col], part[row, col + 1], part[row + 1, col], part[row + 1, col + 1]
-            row, col = row + y0 - 1 + a, col + x0 - 1 + b
-            with np.errstate(divide="ignore", invalid="ignore"):
-                share = lambda p, q: (level - p) / (q - p)
-                points = {TOP: (col + share(ul, ur), row), BOTTOM: (col + share(ll, lr), row + 1), LEFT: (col, row + share(ul, ll)), RIGHT: (col + 1, row + share(ur, lr))}
-            number = lambda r, c, upright: ((r + 1) * (nx + 2) + c + 1) * 2 + upright
-            edges = {TOP: number(row, col, 0), BOTTOM: number(row + 1, col, 0), LEFT: number(row, col, 1), RIGHT: number(row, col + 1, 1)}
-            parts = []
-            for value, segments in SEGMENTS.items():
-                own = np.flatnonzero(kind == value)
-                for p, q in segments if len(own) else ():
-                    parts.append([edges[p][own], edges[q][own], *(np.asarray(v, dtype=float)[own] for v in (*points[p], *points[q]))])
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            n = len(columns[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["grid_id"])), pa.array(np.full(n, level)), *map(pa.array, columns)], names=["grid_id", "level", "e1", "e2", "x1", "y1", "x2", "y2"])
+            for level in r["levels"].tolist():
+                columns = _pieces(whole.copy(), level, r["ny"], r["nx"], r["by"] * block, r["bx"] * block, block)
+                if columns is not None:
+                    n = len(columns[0])
+                    made.append([np.full(n, r["grid_id"]), np.full(n, level), *columns, *_chains(*columns[:2])])
+            if sum(len(m[0]) for m in made) >= PIECES:
+                yield _batch(made)
+                made = []
+    if made:
+        yield _batch(made)
+
+
+def _batch(made: list[list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], names=NAMES)
+
+
+def _pieces(whole: np.ndarray, level: float, ny: int, nx: int, y0: int, x0: int, block: int) -> list[np.ndarray] | None:
+    """e1, e2, x1, y1, x2, y2 of the segments in a block's squares, or None where there are none."""
+    y, x = np.arange(y0 - 1, y0 + block + 1), np.arange(x0 - 1, x0 + block + 1)
+    whole[(y < 0) | (y >= ny), :] = level - 1
+    whole[:, (x < 0) | (x >= nx)] = level - 1
+    a, b = (0 if y0 == 0 else 1), (0 if x0 == 0 else 1)
+    part = whole[a : min(block, ny - y0) + 2, b : min(block, nx - x0) + 2]
+    high = (part > level).astype(int)
+    case = high[:-1, :-1] + 2 * high[:-1, 1:] + 4 * high[1:, :-1] + 8 * high[1:, 1:]
+    row, col = np.nonzero((case > 0) & (case < 15))
+    if not len(row):
+        return None
+    kind, ul, ur, ll, lr = case[row, col], part[row, col], part[row, col + 1], part[row + 1, col], part[row + 1, col + 1]
+    row, col = row + y0 - 1 + a, col + x0 - 1 + b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = lambda p, q: (level - p) / (q - p)
+        points = {TOP: (col + share(ul, ur), row), BOTTOM: (col + share(ll, lr), row + 1), LEFT: (col, row + share(ul, ll)), RIGHT: (col + 1, row + share(ur, lr))}
+    number = lambda r, c, upright: ((r + 1) * (nx + 2) + c + 1) * 2 + upright
+    edges = {TOP: number(row, col, 0), BOTTOM: number(row + 1, col, 0), LEFT: number(row, col, 1), RIGHT: number(row, col + 1, 1)}
+    parts = []
+    for value, segments in SEGMENTS.items():
+        own = np.flatnonzero(kind == value)
+        for p, q in segments if len(own) else ():
+            parts.append([edges[p][own], edges[q][own], *(np.asarray(v, dtype=float)[own] for v in (*points[p], *points[q]))])
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
 def segments(blocks: DataFrame, grids: DataFrame, levels: DataFrame, fill: float = 0.0, block: int = BLOCK) -> DataFrame:
-    """grid_id, level, e1, e2, x1, y1, x2, y2: pieces of the contours at the levels (grid_id, level), in columns and rows. e1 and e2 are edges of the lattice."""
+    """grid_id, level, e1, e2, x1, y1, x2, y2, chain, open, enters, leaves: pieces of the contours at the levels (grid_id, level), in columns and rows.
+
+    e1 and e2 are edges of the lattice, chain is the least one of what a block joins; an open chain enters and leaves the block.
+    """
     cells = F.col("cells")
     first_column = F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda i: F.element_at(cells, i * block + 1))
     sent = F.array(*[F.struct((F.col("by") + dy).alias("by"), (F.col("bx") + dx).alias("bx"), F.lit(side).alias("side"), part.alias("part"))
                      for dy, dx, side, part in ((0, 0, "own", cells), (-1, 0, "below", F.slice(cells, 1, block)), (0, -1, "right", first_column), (-1, -1, "corner", F.slice(cells, 1, 1)))])
     given = blocks.select("grid_id", F.explode(sent).alias("s")).select("grid_id", "s.*").where("by >= 0 AND bx >= 0")
     whole = given.groupBy("grid_id", "by", "bx").agg(*[F.first(F.when(F.col("side") == s, F.col("part")), ignorenulls=True).alias(s) for s in ("own", "below", "right", "corner")])
-    asked = whole.join(grids.select("grid_id", "nx", "ny"), "grid_id").join(levels.select("grid_id", F.col("level").cast("double").alias("level")), "grid_id")
-    return asked.mapInArrow(partial(_squares, block=block, fill=fill), SCHEMA)
+    known = grids.select("grid_id", "nx", "ny").join(levels.groupBy("grid_id").agg(F.collect_list(F.col("level").cast("double")).alias("levels")), "grid_id")
+    asked = whole.join(known, "grid_id")
+    # by their number: blocks are few bytes for the work in them, so Spark would put all of them into one task
+    dealt = asked.repartition(shuffle_partitions(blocks.sparkSession), "grid_id", "by", "bx")
+    return dealt.mapInArrow(partial(_squares, block=block, fill=fill), SCHEMA)
 
 
 def ringed(pieces: DataFrame) -> DataFrame:
-    """pieces with ring: the component of their edges, a number within (grid_id, level)."""
-    held = cut(pieces.withColumns({f"n{i}": F.xxhash64("grid_id", "level", f"e{i}") for i in (1, 2)}))
-    labels = components(held.select(F.col("n1").alias("a"), F.col("n2").alias("b")))
-    return held.join(labels.select(F.col("id").alias("n1"), F.col("component").alias("ring")), "n1").drop("n1", "n2")
+    """pieces with ring: the component of their chains, a number within (grid_id, level). Closed chains are rings already."""
+    number = lambda c: F.xxhash64("grid_id", "level", c)
+    held = cut(pieces)
+    ends = held.where("enters OR leaves").select(number("chain").alias("a"), F.explode(F.array_compact(F.array(F.when(F.col("enters"), number("e1")), F.when(F.col("leaves"), number("e2"))))).alias("b"))
+    labels = components(ends).withColumnsRenamed({"id": "node", "component": "ring"})
+    across = held.where("open").withColumn("node", number("chain")).join(labels, "node").drop("node")
+    return held.where("NOT open").withColumn("ring", number("chain")).unionByName(across).drop("chain", "open", "enters", "leaves")
 
 
 def measured(pieces: DataFrame) -> DataFrame:

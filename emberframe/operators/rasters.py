@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.session import shuffle_partitions
+
 BLOCK = 64
 SLICE = 64  #: blocks that a task works on at once, of those that Spark hands it
 GEOMETRY = ("grid_id", "west", "south", "east", "north", "nx", "ny")
@@ -27,13 +29,15 @@ def _blocked(table: pa.Table, block: int) -> pa.Table:
     first = table.slice(0, 1).to_pylist()[0]
     cells = np.full(block * block, np.nan)
     cells[table["at"].to_numpy()] = table["value"].to_numpy()
-    return pa.table({"grid_id": [first["grid_id"]], "by": [first["by"]], "bx": [first["bx"]], "cells": pa.array([np.ma.masked_invalid(cells).tolist()], pa.list_(pa.float64()))})
+    return pa.table({"grid_id": [first["grid_id"]], "by": [first["by"]], "bx": [first["bx"]], "cells": _listed([cells])})
 
 
 def blocks(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     """Blocks of cells (grid_id, row, col, value), one value for each cell. A group is a block: block * block rows at most."""
     at = F.pmod("row", F.lit(block)) * block + F.pmod("col", F.lit(block))
     dealt = cells.where("value IS NOT NULL").select("grid_id", F.floor(F.col("row") / block).alias("by"), F.floor(F.col("col") / block).alias("bx"), at.cast("long").alias("at"), F.col("value").cast("double").alias("value"))
+    # by their number: blocks are few bytes for the work in them, so Spark would put all of them into one task
+    dealt = dealt.repartition(shuffle_partitions(cells.sparkSession), "grid_id", "by", "bx")
     return dealt.groupBy("grid_id", "by", "bx").applyInArrow(lambda t: _blocked(t, block), "grid_id long, by long, bx long, cells array<double>")
 
 
