@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.plans.incidents import _units, units
-from emberframe.session import table, work_dir
+from emberframe.session import shuffle_partitions, table, work_dir
 from emberframe.sources import documents, feeds, store
 from emberframe.sources.detections import DETECTIONS_SQL, detections
 
@@ -82,7 +82,8 @@ def sentence_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     gga = F.concat_ws(",", F.lit("GPGGA"), time, lat, F.lit("N"), lon, F.when(i % 2 == 0, "W").otherwise("E"), F.when(i % 11 == 0, "0").otherwise("1"), F.lit("08"), F.concat((i % 9).cast("string"), F.lit(".5")), (i % 500).cast("string"), F.lit("M"), F.lit(""), F.lit("M"), F.lit(""))
     check = lambda b: F.lpad(F.hex(F.aggregate(F.split(b, ""), F.lit(0), lambda x, c: x.bitwiseXOR(F.ascii(c)))), 2, "0")
     whole = lambda b: F.concat(F.lit("$"), b, F.lit("*"), check(b))
-    rows = detections(spark, sf_dir).select(i.alias("id"), "unit", "acq_ts", (F.col("unit") * 1000 + F.floor(F.col("acq_ts") / 86_400) % 1000).alias("payload_id"), F.concat(whole(rmc), F.lit("\r\n"), F.lit("garbage\r\n"), whole(gga)).alias("lines"))
+    seen = detections(spark, sf_dir).select("id", "unit", "acq_ts").repartition(shuffle_partitions(spark))  # by their number: a file of few bytes is one task
+    rows = seen.select("id", "unit", "acq_ts", (F.col("unit") * 1000 + F.floor(F.col("acq_ts") / 86_400) % 1000).alias("payload_id"), F.concat(whole(rmc), F.lit("\r\n"), F.lit("garbage\r\n"), whole(gga)).alias("lines"))
     burst = rows.groupBy("payload_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "lines"))), lambda x: x["lines"]), "\n").alias("body"), F.max("acq_ts").alias("received"))
     p = F.col("payload_id")
     bad = F.when(p % 17 == 0, F.regexp_replace("body", r"\*..$", "*ZZ")).when(p % 19 == 0, "$GPGSV,1,1").otherwise(F.col("body"))

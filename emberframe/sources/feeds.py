@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.text import clock
 from emberframe.operators.workspace import first_failure
+from emberframe.session import cut, shuffle_partitions
 from emberframe.sources.detections import normalise_confidence
 
 FIELDS = 40  #: of a CSV line at most; a line of more is refused
@@ -108,7 +109,7 @@ def detections_of(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 def sentence_ok(sentence: Column) -> Column:
     """Whether the checksum after * is that of the characters before it (without leading $ and !); a sentence without one is taken."""
     body, declared = F.substring_index(F.regexp_replace(sentence, r"^[$!]+", ""), "*", 1), F.trim(F.regexp_extract(sentence, r"\*(.*)$", 1))
-    found = F.aggregate(F.filter(F.split(body, ""), lambda c: c != ""), F.lit(0), lambda x, c: x.bitwiseXOR(F.ascii(c)))
+    found = F.aggregate(F.split(body, ""), F.lit(0), lambda x, c: x.bitwiseXOR(F.ascii(c)))
     two = F.substring(declared, 1, 2)
     return ~F.contains(sentence, F.lit("*")) | F.coalesce(F.when(two.rlike("^[0-9A-Fa-f]{2}$"), F.conv(two, 16, 10).cast("int") == found), F.lit(False))
 
@@ -126,9 +127,11 @@ def fixes_of(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(position reports, refused payloads with a reason) of sentence payloads (payload_id, callsign, received, body).
 
     RMC and GGA sentences of one instant are one report: speed and course of the one, altitude and accuracy of the other. A GGA has the
-    date of the payload's first RMC, else the day of receipt (epoch seconds).
+    date of the payload's first RMC, else the day of receipt (epoch seconds). Sentences are parsed once and stored, since payloads are judged by all of theirs.
     """
-    lines = _lines(payloads.select("payload_id", "body"), "payload_id").withColumn("text", F.trim("text")).where(F.substring("text", 1, 1).isin("$", "!"))
+    # by their number: payloads are few bytes for the work in them, so Spark would put many of them into one task
+    dealt = payloads.select("payload_id", "body").repartition(shuffle_partitions(payloads.sparkSession))
+    lines = _lines(dealt, "payload_id").withColumn("text", F.trim("text")).where(F.substring("text", 1, 1).isin("$", "!"))
     f = F.split(F.regexp_replace(F.substring_index("text", "*", 1), r"^[$!]+", ""), ",")
     kind = F.substring(F.get(f, F.lit(0)), -3, 3)
     told = lines.select("payload_id", "line", sentence_ok(F.col("text")).alias("ok"), f.alias("f"), kind.alias("kind"))
@@ -138,11 +141,13 @@ def fixes_of(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     fixed = full & ((rmc & (F.upper(F.substring(at(2), 1, 1)) == "A")) | (gga & at(6).isin(*FIXES)))
     pick = lambda a, b: F.when(rmc, a).otherwise(b)
     number = lambda c: F.when(c != "", c.try_cast("double"))
-    sentences = told.where(rmc | gga).select(
-        "payload_id", "line", "ok", "kind", fixed.alias("fixed"), pick(_degrees(at(3), at(4), 2), _degrees(at(2), at(3), 2)).alias("latitude"), pick(_degrees(at(5), at(6), 3), _degrees(at(4), at(5), 3)).alias("longitude"), at(1).alias("time"), F.when(rmc & full, F.nullif(at(9), F.lit(""))).alias("date"),
+    parsed = told.select(
+        "payload_id", "line", "ok", "kind", F.coalesce(rmc | gga, F.lit(False)).alias("position"), fixed.alias("fixed"), pick(_degrees(at(3), at(4), 2), _degrees(at(2), at(3), 2)).alias("latitude"), pick(_degrees(at(5), at(6), 3), _degrees(at(4), at(5), 3)).alias("longitude"), at(1).alias("time"), F.when(rmc & full, F.nullif(at(9), F.lit(""))).alias("date"),
         F.when(rmc, F.round(number(at(7)) * KMH_PER_KNOT, 3)).alias("speed_kmh"), F.when(rmc, F.pmod(number(at(8)), F.lit(360.0))).alias("heading"), F.when(gga, number(at(9))).alias("altitude_m"), F.when(gga, F.round(number(at(8)) * METRES_PER_HDOP, 1)).alias("accuracy_m"),
     )
-    whole = told.groupBy("payload_id").agg(F.bool_and("ok").alias("checked"), F.sum((rmc | gga).cast("int")).alias("positions"))
+    parsed = cut(parsed)
+    sentences = parsed.where("position")
+    whole = parsed.groupBy("payload_id").agg(F.bool_and("ok").alias("checked"), F.sum(F.col("position").cast("int")).alias("positions"))
     dated = sentences.groupBy("payload_id").agg(F.min_by("date", F.when(F.col("date").isNotNull(), F.col("line"))).alias("day"))
     day = F.coalesce("date", "day")
     # a two-digit year of 69 or more belongs to the last century
