@@ -44,11 +44,11 @@ def gathered(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
 class Encoder:
     """encode(texts) gives each text's ids."""
 
-    memo = MEMO_PIECES
+    memo, batch = MEMO_PIECES, BATCH_BYTES
 
-    def __init__(self, vocabulary: str, plain: bool = False, memo: int = MEMO_PIECES) -> None:
-        """plain: special tokens' strings in texts are plain text. memo: pieces that are remembered."""
-        self.memo = memo
+    def __init__(self, vocabulary: str, plain: bool = False, memo: int = MEMO_PIECES, batch: int = BATCH_BYTES) -> None:
+        """plain: special tokens' strings in texts are plain text. memo: pieces that are remembered. batch: bytes of texts that are encoded together."""
+        self.memo, self.batch = memo, batch
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -179,7 +179,7 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         upto, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BATCH_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + self.batch, side="right")))
             ids, lengths = self._batch(texts.slice(at, to - at))
             raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist()
             for a, b in zip([0, *ends], ends):  # noqa: B905
