@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. Within a stage, decisions travel by a row number that is stored with the
 table, under a name that the table doesn't have. The order that mixing gives is that of the files and rows it is written
-in; packing reads it back from there and deals documents by ranges of it, so sequences follow the curriculum.
+in; packing packs each file as it stands and numbers sequences by files and rows, so they follow the curriculum and no text is shuffled for it.
 
 Defined results. Nulls in any column, repeated rows and columns of any name pass through the stages as their operators state. An empty
 table gives an empty result. Packing a DataFrame that wasn't read from files takes its rows as they come.
@@ -49,7 +49,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each document in sequences, which follow the order that docs were written in."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), order=stored_order(docs))
+    held, row = numbered(docs) if stored_order(docs) else (docs, None)
+    return packing.pack(held, public_tokenizers.path("byte_bpe_50k.json"), row=row)
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing sources to target weights", mixing), ("packing", pack)]

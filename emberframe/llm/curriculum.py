@@ -16,11 +16,11 @@ the result's names are kept out of the plan; mix() returns docs' own columns onl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from emberframe.llm.rows import fresh, numbered, row_of
-from emberframe.session import cut
+from emberframe.llm.rows import numbered, row_of
+from emberframe.session import cut, shuffle_partitions
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)  #: by the sources' code point order, repeating
@@ -29,14 +29,24 @@ SHARE = 1.5  #: words of the mix for each word of the corpus
 MOST = 2.0  #: times a source's size that its target is at most
 BUCKET_ROWS = 1024  #: documents of a source's bucket, about
 BROADCAST_SOURCES = 10_000  #: a table of more sources is joined by shuffle
+BROADCAST_BUCKETS = 100_000  #: more of them aren't sent to every task, and texts are joined with their positions by a shuffle of their own
 SALTS = 64
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: str | None = None) -> DataFrame:
-    """doc_id, source, size, order: a fixed random order by doc_id."""
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+def size_of(text: str | Column) -> Column:
+    return F.regexp_count(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def identity(id_col: str, source_col: str, row: str | None) -> list[Column]:
+    """doc_id, source, order (a fixed random order by doc_id), row."""
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("order"), row_of(row).alias("row"))
+    return [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("order"), row_of(row).alias("row")]
+
+
+def bucket_of(order: Column, n: Column) -> Column:
+    """The bucket of a source's order, of n documents."""
+    buckets = F.ceil(n / BUCKET_ROWS)
+    return F.least(F.floor(order / F.lit(4294967296.0) * buckets), buckets - 1)
 
 
 def pick(values: tuple, place: Column) -> Column:
@@ -76,36 +86,69 @@ def due(demand: Column, target: Column, slope: Column) -> Column:
     return 2.0 * u / ((1.0 - g) + F.sqrt((1.0 - g) * (1.0 - g) + 4.0 * g * u))
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: str | None = None) -> DataFrame:
-    """A row per document: doc_id, size, source_size, target, taken, passes, positions (one for each pass), row."""
-    keyed = cut(sized(docs, id_col, text_col, source_col, row))
-    sources = cut(source_targets(keyed, weights, slopes, share, most))
+def in_bucket(last: int) -> WindowSpec:
+    """A bucket's documents in their order, from the first one to this many after the current."""
+    return Window.partitionBy("place", "bucket").orderBy("order", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, last)
+
+
+def passes_of(most: float) -> range:
+    return range(int(-(-most // 1)))
+
+
+def placed(keyed: DataFrame, sources: DataFrame, most: float) -> DataFrame:
+    """keyed's documents with their source's row, bucket and times: for each pass over the source the training position, null where the mix doesn't take it."""
     both = with_sources(keyed, sources)
-    buckets = F.ceil(F.col("n") / BUCKET_ROWS)
-    both = cut(both.withColumn("bucket", F.least(F.floor(F.col("order") / F.lit(4294967296.0) * buckets), buckets - 1)))
+    both = cut(both.withColumn("bucket", bucket_of(F.col("order"), F.col("n"))))
     # a bucket's documents come whole to one task, at most about BUCKET_ROWS of them; the sums of buckets are few
     sums = both.groupBy("place", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = F.sum("bucket_size").over(Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("place", "bucket", F.coalesce(earlier, F.lit(0)).alias("bucket_start"))
-    inside = Window.partitionBy("place", "bucket").orderBy("order", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["place", "bucket"])
-    start = F.col("bucket_start") + F.col("inside")
-    whole_passes = range(int(-(-most // 1)))
-    begins = [start + p * F.col("source_size") for p in whole_passes]
+    both = both.withColumn("inside", F.coalesce(F.sum("size").over(in_bucket(-1)), F.lit(0))).join(sums, ["place", "bucket"])
+    begins = [F.col("bucket_start") + F.col("inside") + p * F.col("source_size") for p in passes_of(most)]
     taken = [(b + F.col("size") / 2.0 <= F.col("target")) & (F.col("target") > 0) for b in begins]
-    positions = F.filter(F.array(*[F.when(t, due(b.cast("double"), F.col("target"), F.col("slope"))) for b, t in zip(begins, taken, strict=True)]), lambda x: x.isNotNull())
-    passes = sum((t.cast("long") for t in taken), F.lit(0).cast("long"))
-    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * passes).alias("taken"), passes.alias("passes"), positions.alias("positions"), "row")
+    return both.withColumn("times", F.array(*[F.when(t, due(b.cast("double"), F.col("target"), F.col("slope"))) for b, t in zip(begins, taken, strict=True)]))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows in training order, as often as the mix takes them; docs' own columns. Written, its files follow the order; rows.stored_order() gives it back."""
-    id_col = options.get("id_col", "doc_id")
+def plan(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: str | None = None) -> DataFrame:
+    """A row per document: doc_id, size, source_size, target, taken, passes, positions (one for each pass), row."""
+    keyed = cut(docs.select(*identity(id_col, source_col, row), size_of(text_col).alias("size")))
+    sources = cut(source_targets(keyed, weights, slopes, share, most))
+    positions = F.filter("times", lambda x: x.isNotNull())
+    passes = F.size(positions).cast("long")
+    return placed(keyed, sources, most).select("doc_id", "size", "source_size", "target", (F.col("size") * passes).alias("taken"), passes.alias("passes"), positions.alias("positions"), "row")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs' rows in training order, as often as the mix takes them; docs' own columns. Written, its files follow the order; rows.stored_order() gives it back.
+
+    Texts are shuffled once, straight to the part of the training time that they belong to. The plan is made without them; a row of a text learns its
+    parts from where they begin in its source's order, which is told for each bucket, and its position where it meets the plan's rows of that part.
+    """
     held, row = numbered(docs)
-    place = fresh(held, "position")
-    planned = plan(held, row=row, **options).select(F.col("row").alias(row), F.explode("positions").alias(place))
-    joined = held.join(planned, row)
-    return joined.orderBy(place, id_col, row).select(*docs.columns)
+    keyed = cut(held.select(*identity(id_col, source_col, row), size_of(text_col).alias("size")))
+    sources = cut(source_targets(keyed, weights, slopes, share, most))
+    parts = shuffle_partitions(docs.sparkSession)
+    words, bent = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.coalesce(F.sum(F.col("target") * F.col("slope")), F.lit(0.0))).first()
+    # the mix's words up to a time are words * t + bent * (t^2 - t), so parts of equal words need no sample
+    part_at = lambda t: F.when(t.isNotNull() & F.lit(words > 0), F.least(F.floor(F.lit(parts / (words or 1.0)) * (words * t + bent * (t * t - t))), F.lit(parts - 1))).otherwise(F.lit(parts))
+    # no part comes before one that earlier documents of the bucket have, whatever the last bits of times
+    timed = placed(keyed, sources, most)
+    passes = [F.struct(F.lit(p).alias("pass"), F.max(part_at(F.get("times", F.lit(p)))).over(in_bucket(0)).cast("int").alias("part"), F.get("times", F.lit(p)).alias("time")) for p in passes_of(most)]
+    planned = cut(timed.withColumn("of", F.array(*passes)).select("place", "bucket", "order", "doc_id", "size", "row", F.explode("of").alias("of")).select("place", "bucket", "order", "doc_id", "size", "row", "of.*"))
+    begins = planned.groupBy("place", "bucket", "pass", "part").agg(F.min(F.struct("order", "doc_id", "size", "row")).alias("first"))
+    buckets = cut(begins.groupBy("place", "bucket").agg(F.collect_list(F.struct("pass", "part", F.struct("first.order", "first.doc_id").alias("at"), F.struct("first.size", "first.row").alias("then"))).alias("begins")))
+    wanted = planned.where(F.col("time").isNotNull()).select("part", "pass", "row", "time")
+    texts = held.select(F.struct(*docs.columns).alias("doc"), *identity(id_col, source_col, row))
+    if buckets.count() > BROADCAST_BUCKETS:  # most likely for having that many sources
+        joined = texts.select("doc", "row").join(wanted, "row")
+        return joined.orderBy("time", F.col("doc")[id_col], "row").select("doc.*")
+    bucketed = with_sources(texts, sources).withColumn("bucket", bucket_of(F.col("order"), F.col("n"))).join(F.broadcast(buckets), ["place", "bucket"])
+    at, then = F.struct("order", "doc_id"), F.struct(size_of(F.col("doc")[text_col]).alias("size"), F.col("row"))  # words are counted again for equal doc_ids alone
+    begun = lambda p: F.filter("begins", lambda x: (x["pass"] == p) & ((at > x["at"]) | ((at == x["at"]) & (then >= x["then"]))))
+    own = F.array(*[F.struct(F.lit(p).alias("pass"), F.array_max(F.transform(begun(p), lambda x: x["part"])).alias("part")) for p in passes_of(most)])
+    dealt = bucketed.withColumn("of", F.explode(own)).select("doc", "row", "of.*").where(F.col("part") < parts)
+    met = dealt.repartitionById(parts, F.col("part")).join(wanted.repartitionById(parts, F.col("part")), ["part", "pass", "row"])
+    return met.sortWithinPartitions("time", F.col("doc")[id_col], "row").select("doc.*")
 
 
 def ordered_plan(docs: DataFrame, **options) -> DataFrame:

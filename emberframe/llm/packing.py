@@ -7,7 +7,8 @@ partition is left: near-equal windows. As long as one of them exceeds the capaci
 dealt anew. Nothing is moved or cut after differencing: every window is a part of its partition.
 
 The work is a narrow map: memory is bounded by a batch and a block. Where an order is given, documents are first dealt to tasks by
-ranges of it, and sequence numbers follow the order from block to block.
+ranges of it, and sequence numbers follow the order from block to block. Documents that stand in files in their order aren't dealt at all: each
+stretch of rows that a task reads of a file is packed by itself, and its sequences are numbered from the file and the stretch's first row.
 
 Defined results. A null or empty text is its end id alone, one piece. Every row is packed by itself, also rows with the
 same doc_id (or none). An empty table gives no rows. Other columns are not read.
@@ -34,6 +35,8 @@ WINDOW = 1024  #: ids in a sequence at most
 BLOCK = 64  #: windows that are balanced against each other, about
 TEXTS = 2_000_000  #: bytes of texts that are encoded together: four times as many take 160 MB more of a worker
 
+FILE_BITS, ROW_BITS, WINDOW_BITS = 16, 26, 21  #: of a sequence's number: its file, its stretch's first row there, and windows for each row (a text has less than 2^31 bytes)
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
@@ -81,10 +84,18 @@ def pack_sizes(sizes: list[int], capacity: int = WINDOW, cut: bool = False) -> l
         k += 1
 
 
+def first_sequence(number: int) -> int:
+    """The first number of the sequences of a stretch of a file, whose first row has this number (rows.numbered: file << 40, plus the row's place). Later stretches have larger ones."""
+    file, row = number >> 40, number & ((1 << 40) - 1)
+    if file >> FILE_BITS or row >> ROW_BITS:
+        raise ValueError(f"sequences are numbered in up to {1 << FILE_BITS} files of {1 << ROW_BITS} rows")
+    return (file << ROW_BITS | row) << WINDOW_BITS
+
+
 def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, window: int, block: int, cut: bool) -> Iterator[pa.RecordBatch]:
     trim()  # stages before this one ran in the same worker
     encode, end = encoder(vocabulary, batch=TEXTS).encode, np.array([end_id], dtype="<u4").tobytes()
-    sequence, out, pool, held = TaskContext.get().partitionId() << 36, [], [], 0  # a pool's rests: doc_id, start, ids, doc_tokens
+    sequence, out, pool, held, due = TaskContext.get().partitionId() << 36, [], [], 0, -1  # a pool's rests: doc_id, start, ids, doc_tokens
 
     def close() -> None:
         nonlocal sequence, pool, held
@@ -104,7 +115,13 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, win
         return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
     for batch in batches:
-        for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+        numbers = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        for doc_id, ids, number in zip(batch.column(0).to_pylist(), encode(batch.column(1)), numbers, strict=True):
+            if number is not None:
+                if number != due:  # another file or another part of it
+                    close()
+                    sequence = first_sequence(number)
+                due = number + 1
             ids += end
             n = len(ids) // 4
             start = n // window * window
@@ -124,13 +141,15 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, win
         yield rows()
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WINDOW, block: int = BLOCK, cut: bool = True, id_col: str = "doc_id", text_col: str = "text", order: Sequence[Column] = ()) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WINDOW, block: int = BLOCK, cut: bool = True, id_col: str = "doc_id", text_col: str = "text", order: Sequence[Column] = (), row: str | None = None) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. vocabulary: path of a tokenizers file.
 
     order: columns by whose ranges documents are dealt; sequences of a block of documents come before those of later ones.
+    row: the column of the rows' places in files, as rows.numbered gives it; then the order is that of these, and tasks pack what they read.
     """
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c.alias(f"order{i}") for i, c in enumerate(order)])
+    place = [F.col(row).alias("place")] if row else []
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *place, *[c.alias(f"order{i}") for i, c in enumerate(order)])
     if order:
         by = [f"order{i}" for i in range(len(order))]
         given = given.repartitionByRange(shuffle_partitions(docs.sparkSession), *by).sortWithinPartitions(*by)
-    return given.select("doc_id", "text").mapInArrow(partial(_packed, vocabulary=vocabulary, end_id=end_id, window=window, block=block, cut=cut), SCHEMA)
+    return given.select("doc_id", "text", *(["place"] if row else [])).mapInArrow(partial(_packed, vocabulary=vocabulary, end_id=end_id, window=window, block=block, cut=cut), SCHEMA)
