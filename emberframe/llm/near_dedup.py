@@ -7,6 +7,9 @@ probability 0.998 and down one of the TREES with all but 4 in 10^9. Small nodes
 each minwise token, then on parity sketches, which lose no pair at the threshold; what is left is confirmed on the full
 sets, made from the whole texts of just those pairs.
 
+Members of a node that is too large to be compared are parted by the sizes of their sets first: similar sets are in one class of sizes or in
+neighbours, so this loses no pair and makes two rows of a member at most, where branching makes BRANCHES of it at every level. Only what is still large branches.
+
 A large group of near copies would fill every node of a tree, so large root nodes are worn down before any branching: in
 each round every node draws a member as leader, each member of another component is compared with the likeliest of its
 nodes' leaders, and links that are confirmed join components. A node takes part as long as its leaders find any. Only pairs of different components are news. A node has as many of them as its
@@ -26,6 +29,7 @@ kept. An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -112,6 +116,18 @@ def branches(members: DataFrame, depth: int) -> DataFrame:
     return members.select("id", F.explode(children).alias("node"), "component", F.col("size").alias("above"))
 
 
+def by_size(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The children of nodes by set size: members (id, node, component, size, n) go to the class of their size and to the one below, where
+    the node has members of that one. Sizes of similar sets are at most a class apart, so two of them meet."""
+    step = math.log(similarity[1] / similarity[0]) * (1 + 1e-9)  # a little wider, so that no rounding puts them two classes apart
+    classed = members.select("id", "node", "component", F.floor(F.log("n") / step).alias("own"))
+    classes = classed.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.collect_set("own").alias("classes"))
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    children = F.transform(F.array_intersect("classes", F.array("own", F.col("own") - 1)), lambda k: F.xxhash64("node", F.lit("size"), k))
+    # a child may keep all of its node, where sizes are much the same: that doesn't tell whether branching parts it
+    return join_groups(classed, classes, "node", "size", total).select("id", F.explode(children).alias("node"), "component", F.lit(None).cast("long").alias("above"))
+
+
 def _columns(table: pa.Table | pa.RecordBatch, of: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Set sizes, marks (the lowest byte of each minwise token) and sketches as arrays."""
     n = table.column("n" + of).to_numpy()
@@ -364,17 +380,18 @@ def _labels(given: DataFrame, classes: DataFrame, words: int, similarity: tuple[
         large = by_class(join_groups(members.select("id", "node"), alike, "node", "size", members.count()).where(F.col("alike") >= LEADER_SHARE * F.col("outside")))
     if stats is None:
         level = members_of(in_nodes)
-    for depth in range(DEPTH + 1):
+    for depth in range(DEPTH + 2):
         stats = cut(node_stats(level)) if stats is None else stats
         # a node that kept more than half of the one above holds members too alike for branching to part them
-        leaf = (F.col("pairs") <= FEW) | F.coalesce(2 * F.col("size") > F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
+        leaf = (F.col("pairs") <= FEW) | F.coalesce(2 * F.col("size") > F.col("above"), F.lit(False)) | F.lit(depth > DEPTH)
         members = cut(with_stats(level, stats.where("pairs > 0")).withColumn("leaf", leaf).drop("leader", "pairs"))
         leaves = leaves.union(members.where("leaf").select("id", "node"))
         found = found.union(cut(node_pairs(members.where("leaf").join(signatures.select("id", "n", "marks", "sketch"), "id"), similarity, best=True)))
         rest = members.where("NOT leaf")
         if rest.isEmpty():
             break
-        level, stats = cut(branches(rest.join(signatures.select("id", "signature"), "id"), depth)), None
+        described = rest.join(signatures.select("id", "n", "signature"), "id")
+        level, stats = cut(branches(described, depth) if depth else by_size(described, similarity)), None
     # each member's likeliest pairs come first: what they join needs no further pairs, so a group of m alike costs m rows, not m squared
     found = cut(found.distinct())
     link(likeliest(found))
