@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 LATITUDE_KM, LONGITUDE_KM, EARTH_KM = 110.574, 111.320, 6371.0
 FOOTPRINT_KM = 1.0  #: of a detection without a pixel size
@@ -30,10 +33,17 @@ def footprint_km(scan: Column, track: Column) -> Column:
     return F.when(half > 0, half).otherwise(F.lit(FOOTPRINT_KM))
 
 
+@F.arrow_udf(DoubleType())
+def _heading(a: pa.Array, b: pa.Array, d: pa.Array) -> pa.Array:
+    """The angle from north, in radians. Java's atan2 and the C library's, which Arrow and SQL engines call, differ in a last bit here and there."""
+    level = pc.cos(b)
+    north = pc.subtract(pc.multiply(pc.cos(a), pc.sin(b)), pc.multiply(pc.multiply(pc.sin(a), level), pc.cos(d)))
+    return pc.atan2(pc.multiply(pc.sin(d), level), north)
+
+
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Initial bearing in 0..360."""
-    a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
-    return F.pmod(F.degrees(F.atan2(F.sin(d) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(d))) + 360, F.lit(360.0))
+    return F.pmod(F.degrees(_heading(F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1))) + 360, F.lit(360.0))
 
 
 def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
